@@ -52,9 +52,11 @@ def ranking_metrics(
     buckets = buckets or default_buckets(scores)
     edges, groups = score_ranges(scores, keys, buckets)
     placed = Bucketizer(splits=[-INF, *edges, INF], inputCol="y_score", outputCol="bucket").transform(scores)
+    # Never null: the join on it below then adds no filter, and both of its sides read one shuffle.
+    bucket = F.coalesce(F.col("bucket").cast("int"), F.lit(0))
     weight = F.col("weight") if "weight" in scores.columns else F.lit(1)
     distinct = (
-        placed.withColumn("bucket", F.col("bucket").cast("int"))
+        placed.withColumn("bucket", bucket)
         .groupBy(*keys, "bucket", "y_score", "label", "slice_ids")
         .agg(F.sum(weight.cast("bigint")).alias("n"))
     )
@@ -62,30 +64,36 @@ def ranking_metrics(
         few = F.broadcast(frequencies.select(*keys, "label", "freq_ids"))  # two rows per model and split
         distinct = distinct.join(few, [*keys, "label"]).withColumn("slice_ids", F.concat("slice_ids", "freq_ids"))
 
-    local = [*keys, "bucket", "slice_id"]
+    # Selective columns first: they decide most comparisons of the sort.
+    local = ["bucket", "slice_id", *keys]
     positive = F.col("label") == 1
+    counts = [
+        F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("pos"),
+        F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("neg"),
+    ]
+    ranges = distinct.repartition("bucket", *keys)
     runs = (
-        distinct.repartition(*keys, "bucket")
-        .select(*keys, "bucket", F.explode("slice_ids").alias("slice_id"), "y_score", "label", "n")
+        ranges.withColumn("slice_id", F.explode("slice_ids"))
         .groupBy(*local, "y_score")
-        .agg(
-            F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("pos"),
-            F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("neg"),
-        )
+        .agg(*counts)
+    )
+    # The totals of a range need no scores: combine per set of slices before repeating.
+    totals = (
+        ranges.groupBy("bucket", *keys, "label", "slice_ids")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("slice_id", F.explode("slice_ids"))
+        .groupBy(*local)
+        .agg(*counts)
     )
     group = [*keys, "slice_id"]
     whole = Window.partitionBy(*group)
     before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        runs.groupBy(*local)
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .select(
-            *local,
-            F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("pos_before"),
-            F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("neg_before"),
-            F.sum("pos").over(whole).alias("p"),
-            F.sum("neg").over(whole).alias("q"),
-        )
+    offsets = totals.select(
+        *local,
+        F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("pos_before"),
+        F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("neg_before"),
+        F.sum("pos").over(whole).alias("p"),
+        F.sum("neg").over(whole).alias("q"),
     )
     if groups * n_slices * (len(edges) + 1) <= MAX_BROADCAST_OFFSETS:
         offsets = F.broadcast(offsets)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructType
 
 from evalspark.config import EvalConfig, SliceRule
 from evalspark.functions import scores as S
@@ -50,19 +50,25 @@ def rule_mask(df: DataFrame, predicate: str) -> Column:
     return F.coalesce(F.expr(predicate), F.lit(False))
 
 
-def _is_missing_column(error: AnalysisException) -> bool:
-    return (error.getCondition() or "").startswith("UNRESOLVED_COLUMN")
-
-
 def try_rule(df: DataFrame, rule: SliceRule) -> Column | None:
+    """The rule's mask, or None if a column is missing."""
     try:
         return rule_mask(df, rule.predicate)
     except AnalysisException as error:
-        if _is_missing_column(error):
+        if (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
             return None
         raise
 
 
+def needs_scores(metadata: DataFrame, rule: SliceRule, score_columns: list[str]) -> bool:
+    """Does a rule that holds over metadata and scores need a column of the scores?
+
+    Only a rule that mentions such a name has to be tried without the scores.
+    """
+    mentioned = any(c.lower() in rule.predicate.lower() for c in score_columns)
+    return mentioned and try_rule(metadata, rule) is None
+
+
 def models_disagree(id_window: Window, score: Column, threshold: float = 0.5) -> Column:
     """True where the models vote differently; null if only one model scored the row."""
     vote = S.predicted(score, threshold)
@@ -81,10 +87,11 @@ def disagreement(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def _members(masks: list[tuple[int, Column]]) -> Column:
-    """The positions whose mask holds, as an array of small integers."""
+    """The positions whose mask holds, as an array of integers (compiled, no lambda)."""
+    none = F.array().cast("array<int>")
     if not masks:
-        return F.array().cast("array<int>")
-    return F.filter(F.array(*[F.when(mask, F.lit(i)) for i, mask in masks]), lambda i: i.isNotNull())
+        return none
+    return F.concat(*[F.when(mask, F.array(F.lit(i))).otherwise(none) for i, mask in masks])
 
 
 def _binned(slices: list[Slice], family: str, value: Column) -> list[tuple[int, Column]]:
@@ -126,20 +133,21 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     metadata = examples.drop("label", "y_score", *[k for k in KEYS if k != "split"])
     has_text = cfg.text_col is not None and cfg.text_col in examples.columns
 
-    # Resolve each rule against the metadata, or else against metadata and scores.
-    joined_schema = preds.join(metadata, on)
-    resolved, skipped = [], []
+    # Spark's analyzer tells which rules resolve, over empty tables of the same columns.
+    own = [f for f in preds.schema.fields if f.name not in metadata.columns]
+    spark = preds.sparkSession
+    joined_row = spark.createDataFrame([], StructType([*metadata.schema.fields, *own]))
+    metadata_row = spark.createDataFrame([], metadata.schema)
+    early_masks, late_masks, resolved, skipped = [], [], [], []
     for rule in cfg.rules:
-        early = try_rule(metadata, rule)
-        late = None if early is not None else try_rule(joined_schema, rule)
-        if early is None and late is None:
+        mask = try_rule(joined_row, rule)
+        if mask is None:
             skipped.append((rule, "missing column"))
-        else:
-            resolved.append((rule, early, late))
-    slices = _catalog(cfg, [rule for rule, _, _ in resolved], has_text)
-
-    early_masks = [(1 + i, early) for i, (_, early, _) in enumerate(resolved) if early is not None]
-    late_masks = [(1 + i, late) for i, (_, _, late) in enumerate(resolved) if late is not None]
+            continue
+        resolved.append(rule)
+        late = needs_scores(metadata_row, rule, [f.name for f in own])
+        (late_masks if late else early_masks).append((len(resolved), mask))
+    slices = _catalog(cfg, resolved, has_text)
     if has_text:
         early_masks += _binned(slices, "text_len", S.text_length(F.col(cfg.text_col)))
     late_masks += _binned(slices, "confidence", S.confidence(F.col("y_score")))
@@ -156,7 +164,9 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
 
     tagged = metadata.withColumn("_early", _members(early_masks))
     ids = F.sort_array(F.concat(F.array(F.lit(0)), F.col("_early"), _members(late_masks)))
-    scores = preds.join(tagged, on).withColumn("slice_ids", ids)
+    # Both sides grow with the data. The votes already distribute and sort the predictions
+    # by id, so a merge join only has to bring the narrow example side along.
+    scores = preds.join(tagged.hint("merge"), on).withColumn("slice_ids", ids)
     keep = [c for c in preds.columns if c != "_hard"]
     return SlicedScores(scores.select(*keep, "slice_ids"), slices, skipped)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,6 @@ from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normali
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +25,9 @@ MAX_DIMENSIONS = 50
 MAX_CLUSTERS = 6
 TOP_TERMS = 10
 EXAMPLES = 5
+OVERSAMPLING = 10
+POWER_PASSES = 5
+DENSE_ROWS = 256
 
 
 def default_stop_words() -> list[str]:
@@ -44,13 +46,8 @@ def words(text: Column, stop_words: list[str] | None = None) -> Column:
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Words and pairs of neighbouring words, after the stop words are gone."""
     single = words(text, stop_words)
-    pairs = F.transform(
-        F.arrays_zip(
-            F.slice(single, 1, F.greatest(F.size(single) - 1, F.lit(0))).alias("a"),
-            F.slice(single, 2, F.greatest(F.size(single) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda pair: F.concat_ws(" ", pair[0], pair[1]),
-    )
+    gaps = F.greatest(F.size(single) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(single, 1, gaps), F.slice(single, 2, gaps), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(single, pairs)
 
 
@@ -64,11 +61,48 @@ def tfidf(docs: DataFrame, max_terms: int = MAX_TERMS) -> tuple[DataFrame, list[
     return unit.drop("counts", "weights", "tokens"), counter.vocabulary
 
 
-def latent_basis(docs: DataFrame, n_terms: int, dimensions: int) -> np.ndarray:
-    """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions)."""
-    rows = MLUtils.convertVectorColumnsFromML(docs.select("tfidf"), "tfidf")
-    svd = RowMatrix(rows, 0, n_terms).computeSVD(dimensions, computeU=False)
-    return svd.V.toArray()
+def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X'X q for the rows X of ``docs``: one pass, summed per term across the cluster.
+
+    Each task emits one partial row per term, the rows are added in a shuffle by term,
+    and only the sum (terms x columns of q) comes back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(q)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shared.value.shape)
+        for batch in batches:
+            for at in range(0, len(batch), DENSE_ROWS):
+                part = batch.iloc[at : at + DENSE_ROWS]
+                x = np.zeros((len(part), len(total)))
+                for row, (indices, values) in enumerate(zip(part["indices"], part["values"])):
+                    x[row, indices] = values
+                total += x.T @ (x @ shared.value)
+        yield pd.DataFrame({"term": np.arange(len(total)), "part": list(total)})
+
+    raw = F.unwrap_udt(F.col("tfidf"))
+    parts = docs.select(raw["indices"].alias("indices"), raw["values"].alias("values")).mapInPandas(
+        partial, "term int, part array<double>"
+    )
+    sums = parts.groupBy("term").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    out = np.zeros(q.shape)
+    for row in sums.collect():  # one row per term of the vocabulary
+        out[row["term"]] = row["part"]
+    return out
+
+
+def latent_basis(docs: DataFrame, n_terms: int, dimensions: int, seed: int) -> np.ndarray:
+    """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions).
+
+    Subspace iteration from a random start: a fixed, small number of passes over the
+    rows, however many rows there are.
+    """
+    width = min(n_terms, dimensions + OVERSAMPLING)
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))
+    for _ in range(POWER_PASSES):
+        q, _ = np.linalg.qr(_gram_times(docs, q))
+    values, vectors = np.linalg.eigh(q.T @ _gram_times(docs, q))
+    return (q @ vectors)[:, np.argsort(values)[::-1][:dimensions]]
 
 
 def project(docs: DataFrame, basis: np.ndarray) -> DataFrame:
@@ -98,7 +132,7 @@ def cluster_texts(errors: DataFrame, n: int, seed: int, stop_words: list[str] |
     vectors, vocabulary = tfidf(materialize(docs, "error-tokens"))
     vectors = materialize(vectors, "error-tfidf")
     dimensions = min(MAX_DIMENSIONS, len(vocabulary) - 1) if len(vocabulary) > 1 else 1
-    latent = materialize(project(vectors, latent_basis(vectors, len(vocabulary), dimensions)), "error-latent")
+    latent = materialize(project(vectors, latent_basis(vectors, len(vocabulary), dimensions, seed)), "error-latent")
     model = KMeans(k=cluster_count(n), seed=seed, featuresCol="features", predictionCol="cluster").fit(latent)
     return model.transform(latent), vocabulary
 
@@ -113,12 +147,12 @@ def summarize_clusters(clustered: DataFrame, vocabulary: list[str]) -> DataFrame
         vector_to_array(Summarizer.mean(F.col("tfidf"))).alias("mean_tfidf"),
     )
     # One row per cluster and term of the vocabulary: bounded by the settings.
-    name = F.array(*[F.lit(t) for t in vocabulary])[F.col("pos")]
+    names = clustered.sparkSession.createDataFrame(list(enumerate(vocabulary)), "pos int, term string")
     heavy = Window.partitionBy(*group).orderBy(F.col("weight").desc(), "term")
     terms = (
         totals.select(*group, F.posexplode("mean_tfidf").alias("pos", "weight"))
         .where(F.col("weight") > 0)
-        .withColumn("term", name)
+        .join(F.broadcast(names), "pos")
         .withColumn("rank", F.row_number().over(heavy))
         .where(F.col("rank") <= TOP_TERMS)
         .groupBy(*group)

@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/evalspark/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
@@ -34,6 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     size of the result for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evalspark/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
