@@ -10,6 +10,7 @@ from evalspark.functions import scores as S
 from evalspark.operators.slicing import ALL
 from evalspark.operators.text import tokens
 from evalspark.sources.predictions import KEYS
+from evalspark.storage import materialize
 
 
 def overall_best(best: DataFrame) -> DataFrame:
@@ -52,6 +53,21 @@ def with_text(errors: DataFrame, examples: DataFrame, text_col: str | None) -> D
     return errors.join(examples.select(*on, F.col(text_col).alias("text")), on, "left")
 
 
+def with_text_of_few(worst: DataFrame, examples: DataFrame, text_col: str | None) -> DataFrame:
+    """``with_text`` for a top-k table: its ids are broadcast, so the texts of the other
+    examples are dropped where they are read instead of being shuffled.
+
+    Top-k rows are bounded by the settings (k per model, split, use case and error type);
+    they are written first because they are used twice.
+    """
+    if text_col is None or text_col not in examples.columns:
+        return worst
+    on = ["id", "split"] if "split" in examples.columns else ["id"]
+    worst = materialize(worst, "top-errors")
+    wanted = F.broadcast(worst.select(*on).distinct())
+    return with_text(worst, examples.join(wanted, on), text_col)
+
+
 def error_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy(*KEYS, "use_case").agg(
         F.count("*").alias("error_count"),

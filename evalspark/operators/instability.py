@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalspark.config import EvalConfig
 from evalspark.operators.metrics import CONFUSION
-from evalspark.operators.ranking import ranking_metrics
+from evalspark.operators.ranking import default_buckets, ranking_metrics, score_ranges
 
 # A metric of resampled confusion counts: arrays (tn, fp, fn, tp) -> array.
 ConfusionMetric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -109,9 +109,11 @@ def bootstrap_mean(scores: DataFrame, key: list[str], value: Column, cfg: EvalCo
 
 def bootstrap_ranking(scores: DataFrame, key: list[str], cfg: EvalConfig, metric: str = "roc_auc") -> DataFrame:
     """Interval of ROC AUC (or ``pr_auc``): every draw is ranked as a group of its own."""
+    edges, groups = score_ranges(scores, key, default_buckets(scores))
     weighted = resampled_weights(scores, key, cfg.bootstrap_iters, cfg.seed)
     draws = weighted.select(
         *key, "y_score", "label", F.array(F.lit(0)).alias("slice_ids"),
         F.posexplode("weights").alias("draw", "weight"),
     ).where(F.col("weight") > 0)
-    return _interval(ranking_metrics(draws, [*key, "draw"]), key, F.col(metric), cfg.ci_alpha)
+    ranked = ranking_metrics(draws, [*key, "draw"], ranges=(edges, groups * cfg.bootstrap_iters))
+    return _interval(ranked, key, F.col(metric), cfg.ci_alpha)

@@ -6,7 +6,14 @@ import logging
 from functools import reduce
 
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +62,12 @@ BUILDERS = {
     "boosted_trees": boosted_trees,
 }
 
+MODELS = {
+    "logistic_regression": LogisticRegressionModel,
+    "random_forest": RandomForestClassificationModel,
+    "boosted_trees": GBTClassificationModel,
+}
+
 
 def build_models(registry: list[dict], n_train: int) -> list[tuple[str, Estimator]]:
     """(name, estimator) for every enabled entry, in order. An entry may bring its own ``estimator``."""
@@ -73,6 +86,11 @@ def build_models(registry: list[dict], n_train: int) -> list[tuple[str, Estimato
     return out
 
 
+def load_model(kind: str, path: str) -> Model:
+    """A model saved by ``train_and_score``; ``kind`` is its type in the registry."""
+    return MODELS[kind].load(path)
+
+
 def score(model: Model, encoded: DataFrame, name: str, order: int) -> DataFrame:
     """Prediction rows of one model over every split."""
     p = vector_to_array(F.col("probability"))

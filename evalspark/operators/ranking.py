@@ -23,7 +23,7 @@ def score_ranges(scores: DataFrame, groups: list[str], buckets: int) -> tuple[li
         F.percentile_approx("y_score", at, max(1000, 4 * buckets)).alias("edges"),
         F.approx_count_distinct(F.struct(*groups)).alias("groups"),
     ).first()
-    return sorted(set(row["edges"] or [])), int(row["groups"])
+    return sorted(set(row["edges"] or [])), int(row["groups"])  # no edges: no rows
 
 
 def default_buckets(scores: DataFrame) -> int:
@@ -37,21 +37,21 @@ def ranking_metrics(
     keys: list[str],
     frequencies: DataFrame | None = None,
     n_slices: int = 1,
-    buckets: int | None = None,
+    ranges: tuple[list[float], int] | None = None,
 ) -> DataFrame:
     """ROC AUC (ties count half) and average precision per key and slice.
 
     ``scores`` has the keys, ``label``, ``y_score``, ``slice_ids`` and optionally a
     ``weight`` (a row count). Both metrics are null if only one class is present.
+    ``ranges`` is what ``score_ranges`` gives, if it is known already.
 
     Equal scores are combined first. The distinct scores are then distributed by score
     range and repeated per slice only inside their range, so a group, however large, is
     spread over all ranges. Each range ranks its own scores; what lies below the range
     is added from a small table of range totals.
     """
-    buckets = buckets or default_buckets(scores)
-    edges, groups = score_ranges(scores, keys, buckets)
-    placed = Bucketizer(splits=[-INF, *edges, INF], inputCol="y_score", outputCol="bucket").transform(scores)
+    edges, groups = ranges or score_ranges(scores, keys, default_buckets(scores))
+    placed = Bucketizer(splits=[-INF, *(edges or [0.5]), INF], inputCol="y_score", outputCol="bucket").transform(scores)
     # Never null: the join on it below then adds no filter, and both of its sides read one shuffle.
     bucket = F.coalesce(F.col("bucket").cast("int"), F.lit(0))
     weight = F.col("weight") if "weight" in scores.columns else F.lit(1)

@@ -69,15 +69,21 @@ def needs_scores(metadata: DataFrame, rule: SliceRule, score_columns: list[str])
     return mentioned and try_rule(metadata, rule) is None
 
 
-def models_disagree(id_window: Window, score: Column, threshold: float = 0.5) -> Column:
+def models_disagree(same_id: Window, score: Column, threshold: float = 0.5) -> Column:
     """True where the models vote differently; null if only one model scored the row."""
     vote = S.predicted(score, threshold)
     return F.when(
-        F.min("model_name").over(id_window) < F.max("model_name").over(id_window),
-        F.min(vote).over(id_window) < F.max(vote).over(id_window),
+        F.min("model_name").over(same_id) < F.max("model_name").over(same_id),
+        F.min(vote).over(same_id) < F.max(vote).over(same_id),
     )
 
 
+def _scored_twice(same_id: Window) -> Column:
+    """True on the second of two scores by one model for one id."""
+    by_model = same_id.orderBy("model_name")
+    return F.coalesce(F.lag("model_name").over(by_model) == F.col("model_name"), F.lit(False))
+
+
 def disagreement(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per example: do the models disagree on the class at ``threshold``?"""
     vote = S.predicted(F.col("y_score"), threshold)
@@ -153,12 +159,16 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     late_masks += _binned(slices, "confidence", S.confidence(F.col("y_score")))
 
     if any(s.family == "hard" for s in slices):
+        # One sort by id and model serves the votes, the check for repeated ids and the join.
         same_id = Window.partitionBy(*on)
+        votes = same_id.orderBy("model_name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         hard = F.coalesce(
-            models_disagree(same_id, F.col("y_score")),
+            models_disagree(votes, F.col("y_score")),
             S.is_uncertain(F.col("y_score"), cfg.uncertain_margin),
         )
-        preds = preds.withColumn("_hard", hard)
+        twice = F.raise_error(F.concat(F.lit("duplicate prediction of id "), F.col("id").cast("string")))
+        preds = preds.withColumns({"_hard": hard, "_twice": _scored_twice(same_id)})
+        preds = preds.withColumn("_hard", F.when(F.col("_twice"), twice.cast("boolean")).otherwise(F.col("_hard")))
         position = {s.family: i for i, s in enumerate(slices) if s.family in ("easy", "hard")}
         late_masks += [(position["easy"], ~F.col("_hard")), (position["hard"], F.col("_hard"))]
 
@@ -167,7 +177,7 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     # Both sides grow with the data. The votes already distribute and sort the predictions
     # by id, so a merge join only has to bring the narrow example side along.
     scores = preds.join(tagged.hint("merge"), on).withColumn("slice_ids", ids)
-    keep = [c for c in preds.columns if c != "_hard"]
+    keep = [c for c in preds.columns if c not in ("_hard", "_twice")]
     return SlicedScores(scores.select(*keep, "slice_ids"), slices, skipped)
 
 

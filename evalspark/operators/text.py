@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -69,25 +71,32 @@ def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
     """
     shared = docs.sparkSession.sparkContext.broadcast(q)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shared.value.shape)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, width = shared.value.shape
+        total = np.zeros((terms, width))
         for batch in batches:
-            for at in range(0, len(batch), DENSE_ROWS):
-                part = batch.iloc[at : at + DENSE_ROWS]
-                x = np.zeros((len(part), len(total)))
-                for row, (indices, values) in enumerate(zip(part["indices"], part["values"])):
-                    x[row, indices] = values
+            for at in range(0, batch.num_rows, DENSE_ROWS):
+                part = batch.slice(at, DENSE_ROWS)
+                lengths = pc.list_value_length(part.column("indices")).to_numpy(zero_copy_only=False)
+                x = np.zeros((part.num_rows, terms))
+                x[np.repeat(np.arange(part.num_rows), lengths), part.column("indices").flatten()] = part.column(
+                    "values"
+                ).flatten()
                 total += x.T @ (x @ shared.value)
-        yield pd.DataFrame({"term": np.arange(len(total)), "part": list(total)})
+        ends = np.arange(0, terms * width + 1, width, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(terms, dtype=np.int32)), pa.ListArray.from_arrays(ends, total.ravel())],
+            names=["term", "part"],
+        )
 
     raw = F.unwrap_udt(F.col("tfidf"))
-    parts = docs.select(raw["indices"].alias("indices"), raw["values"].alias("values")).mapInPandas(
+    parts = docs.select(raw["indices"].alias("indices"), raw["values"].alias("values")).mapInArrow(
         partial, "term int, part array<double>"
     )
     sums = parts.groupBy("term").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    back = sums.toArrow()  # one row per term of the vocabulary
     out = np.zeros(q.shape)
-    for row in sums.collect():  # one row per term of the vocabulary
-        out[row["term"]] = row["part"]
+    out[back["term"].to_numpy()] = back["part"].combine_chunks().flatten().to_numpy().reshape(-1, q.shape[1])
     return out
 
 

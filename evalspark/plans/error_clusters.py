@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark.config import EvalConfig
 from evalspark.operators.text import cluster_texts, summarize_clusters
+from evalspark.storage import materialize
 
 
 def error_clusters(errors: DataFrame, cfg: EvalConfig, stop_words: list[str] | None = None) -> DataFrame | None:
@@ -18,6 +19,7 @@ def error_clusters(errors: DataFrame, cfg: EvalConfig, stop_words: list[str] | N
     another; the loop is over models, never over rows. None if no model has enough.
     """
     group = ["model_name", "split", "use_case"]
+    errors = materialize(errors, "errors")  # read once per model below
     sizes = errors.groupBy(*group).count().where(F.col("count") >= cfg.min_errors_to_cluster)
     reports = []
     for row in sizes.orderBy(*group).collect():  # one row per model, split and use case

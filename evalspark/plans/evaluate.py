@@ -22,7 +22,14 @@ from evalspark.operators.slicing import (
     overall_scores,
     slice_columns,
 )
-from evalspark.sources.predictions import KEYS, require_unique_ids, valid_predictions
+from evalspark.sources.predictions import (
+    KEYS,
+    rejected_predictions,
+    require_unique_ids,
+    standard_columns,
+    unmatched_predictions,
+    valid_predictions,
+)
 from evalspark.storage import materialize
 
 METRICS = ["threshold", "accuracy", "precision", "recall", "f1", "brier", "ece", "avg_confidence",
@@ -176,11 +183,13 @@ class Evaluation:
     per_slice: DataFrame | None
     errors: DataFrame
     error_status: DataFrame
-    skipped_rules: list
+    rejected: DataFrame
+    unmatched: DataFrame
+    skipped_rules: list[tuple[str, str, str]]
 
     def tables(self) -> dict[str, DataFrame]:
         names = ("overall", "comparison", "cost_curve", "slices", "recommendation", "per_slice", "errors",
-                 "error_status")
+                 "error_status", "rejected", "unmatched")
         return {n: getattr(self, n) for n in names if getattr(self, n) is not None}
 
 
@@ -189,19 +198,26 @@ def evaluate(
     examples: DataFrame,
     cfg: EvalConfig,
     use_cases: list[str] | None = None,
-    check_ids: bool = True,
+    splits: list[str] | None = None,
 ) -> Evaluation:
-    """The whole evaluation of all models and splits for the given use cases (the default one if none)."""
+    """The whole evaluation of all models, for the given use cases (the default one if none).
+
+    Covers every split unless ``splits`` names some.
+    """
     use_cases = use_cases or [cfg.default_use_case]
     cfg.costs_of(use_cases)
-    if check_ids:
-        require_unique_ids(preds)
+    preds = standard_columns(preds, cfg.id_col, cfg.label_col, cfg.positive_label)
+    examples = standard_columns(examples, cfg.id_col, cfg.label_col, cfg.positive_label)
+    if splits is not None:
+        preds = preds.where(F.col("split").isin(splits))
+    if not (cfg.auto_slices and cfg.difficulty):
+        require_unique_ids(preds)  # otherwise checked while the models' votes are compared
     m = measure(preds, examples, cfg)
     if m.ranking is not None:
         m.ranking = materialize(m.ranking, "ranking")
     best = materialize(m.best(use_cases), "best")
     wrong = E.errors_at_best(valid_predictions(preds), E.overall_best(best))
-    worst = E.with_text(E.top_errors(wrong, cfg.top_errors), examples, cfg.text_col)
+    worst = E.with_text_of_few(E.top_errors(wrong, cfg.top_errors), examples, cfg.text_col)
     has_text = cfg.text_col is not None and cfg.text_col in examples.columns
     return Evaluation(
         run_id=cfg.run_id(),
@@ -213,5 +229,7 @@ def evaluate(
         per_slice=per_slice_recommendations(m, use_cases) if cfg.per_slice else None,
         errors=worst,
         error_status=E.cluster_status(E.overall_best(best), has_text, cfg.min_errors_to_cluster),
-        skipped_rules=m.skipped,
+        rejected=rejected_predictions(preds),
+        unmatched=unmatched_predictions(preds, examples),
+        skipped_rules=[(rule.name, rule.predicate, reason) for rule, reason in m.skipped],
     )

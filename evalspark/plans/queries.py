@@ -242,6 +242,14 @@ def difficulty_disagreement(spark, sf):
     return slicing.disagreement(W.orders_predictions(spark, sf))
 
 
+def single_model_slices(spark, sf):
+    """One model has nobody to disagree with: its hard examples are those with a score near 0.5."""
+    alone = W.orders_predictions(spark, sf).where(F.col("model_name") == "model_a")
+    m = P.measure(alone, W.orders_examples(spark, sf), CONFIG, with_ranking=False, once=False)
+    out = P.slice_table(m, ["low_fp"]).where(F.col("slice_name").endswith("_examples"))
+    return out.select(*NAMES, "slice_name", "use_case", "n", "best_threshold", r6("accuracy"), r6("expected_cost"))
+
+
 def label_frequency(spark, sf):
     counts = W.orders_predictions(spark, sf).groupBy(*KEYS, "label").agg(F.count("*").alias("n"))
     return slicing.label_frequency_ids(counts, []).select(*NAMES, "label", "n", r6("label_freq"))
@@ -292,7 +300,7 @@ def _docs_errors(spark, sf):
 
 def top_errors(spark, sf):
     worst = E.top_errors(_orders_errors(spark, sf), CONFIG.top_errors)
-    return E.with_text(worst, W.orders_examples(spark, sf), "text").select(
+    return E.with_text_of_few(worst, W.orders_examples(spark, sf), "text").select(
         *NAMES, "use_case", "error_type", "rank", "id", "y_score", r6("confidence"), "text"
     )
 
@@ -480,6 +488,7 @@ QUERIES = {
     "text_length_slices": text_length_slices,
     "difficulty_disagreement": difficulty_disagreement,
     "label_frequency": label_frequency,
+    "single_model_slices": single_model_slices,
     "evaluation_overall": evaluation_overall,
     "confidence_accuracy": confidence_accuracy,
     "slice_cost_matrix": slice_cost_matrix,

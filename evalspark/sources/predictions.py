@@ -41,9 +41,15 @@ def rejected_predictions(preds: DataFrame) -> DataFrame:
     return preds.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
 
 
-def binary_labels(preds: DataFrame, label_col: str, positive_label: int) -> DataFrame:
-    """The label as 1 for the positive class and 0 for the others; null stays null."""
-    return preds.withColumn("label", (F.col(label_col) == F.lit(positive_label)).cast("int"))
+def standard_columns(df: DataFrame, id_col: str, label_col: str, positive_label: int) -> DataFrame:
+    """Name the columns ``id`` and ``label``; with another positive label than 1 the label becomes 0/1."""
+    if id_col != "id":
+        df = df.withColumnRenamed(id_col, "id")
+    if label_col != "label":
+        df = df.withColumnRenamed(label_col, "label")
+    if positive_label != 1 and "label" in df.columns:
+        df = df.withColumn("label", (F.col("label") == F.lit(positive_label)).cast("int"))
+    return df
 
 
 def duplicate_predictions(preds: DataFrame) -> DataFrame:

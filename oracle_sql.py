@@ -345,6 +345,13 @@ ORACLE = {
       FROM preds GROUP BY split, id""",
     "label_frequency": f"""WITH {ORDERS}, c AS (SELECT model_name, split, label, count(*) AS n FROM preds GROUP BY ALL)
       SELECT *, {r6('n / CAST(sum(n) OVER (PARTITION BY model_name, split) AS DOUBLE)', 'label_freq')} FROM c""",
+    "single_model_slices": f"""WITH {ORDERS},
+      sl AS (SELECT *, CASE WHEN abs(y_score - {num(0.5)}) < {num(0.15)} THEN 'hard_examples' ELSE 'easy_examples' END AS slice_name
+             FROM preds WHERE model_name = 'model_a'), {curve('sl', SBY)},
+      half AS (SELECT {SBY}, {COUNTS_HALF} FROM sl GROUP BY {SBY})
+      SELECT h.model_name, h.split, h.slice_name, use_case, h.n, t AS best_threshold,
+        {r6('CAST(h.tp + h.tn AS DOUBLE) / h.n', 'accuracy')}, {r6('expected_cost', 'expected_cost')}
+      FROM half h JOIN best b USING (slice_name, model_name, split) WHERE use_case = 'low_fp'""",
     "evaluation_overall": f"""WITH {ORDERS}, {curve('preds', BY)}, {ece_cte('preds', BY)}, {HALF}
       SELECT h.model_name, h.split, use_case, h.n, CAST(0.5 AS DOUBLE) AS threshold, t AS best_threshold,
         {r6('CAST(h.tp + h.tn AS DOUBLE) / h.n', 'accuracy')},
