@@ -32,16 +32,12 @@ def with_costs(df: DataFrame, costs: dict[str, dict[str, float]]) -> DataFrame:
 
     The cost matrix is a setting, so it enters the plan as a literal array.
     """
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("use_case"),
-                *[F.lit(float(c[k])).alias(f"cost_{k.lower()}") for k in ("TP", "TN", "FP", "FN")],
-            )
-            for name, c in costs.items()
-        ]
-    )
-    return df.select("*", F.inline(table))
+    def entry(name: str, c: dict[str, float]) -> str:
+        values = ", ".join(f"{float(c[k])!r}D AS cost_{k.lower()}" for k in ("TP", "TN", "FP", "FN"))
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        return f"struct('{quoted}' AS use_case, {values})"
+
+    return df.select("*", F.expr("inline(array(" + ", ".join(entry(n, c) for n, c in costs.items()) + "))"))
 
 
 def expected_cost(tp: Column, tn: Column, fp: Column, fn: Column, n: Column) -> Column:

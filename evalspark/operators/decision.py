@@ -19,8 +19,8 @@ def threshold_confusions(cells: DataFrame, cfg: EvalConfig) -> DataFrame:
     running sum over the buckets, from the top, gives the counts, and each bucket
     answers for the thresholds between the next lower bucket and itself.
     """
-    grid = cfg.thresholds
-    top = len(grid)
+    top = len(cfg.thresholds)
+    grid = F.expr("array(" + ", ".join(f"{t!r}D" for t in cfg.thresholds) + ")")
     positive = F.col("label") == 1
     # Every group also gets an empty top bucket, so that the whole grid is answered for.
     both = F.array(
@@ -47,9 +47,7 @@ def threshold_confusions(cells: DataFrame, cfg: EvalConfig) -> DataFrame:
     )
     return sums.where(F.col("bucket") > 0).select(
         *GROUP,
-        F.explode(
-            F.slice(F.array(*[F.lit(t) for t in grid]), F.col("lower") + 1, F.col("bucket") - F.col("lower"))
-        ).alias("threshold"),
+        F.explode(F.slice(grid, F.col("lower") + 1, F.col("bucket") - F.col("lower"))).alias("threshold"),
         (F.col("p") + F.col("q")).alias("n"),
         (F.col("q") - F.col("fp")).alias("tn"),
         "fp",

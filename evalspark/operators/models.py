@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.scores import positive_score
+from evalspark.storage import materialize
 
 logger = logging.getLogger(__name__)
 
@@ -105,7 +106,11 @@ def score(model: Model, encoded: DataFrame, name: str, order: int) -> DataFrame:
 
 
 def train_and_score(encoded: DataFrame, registry: list[dict], save_to: str | None = None) -> DataFrame:
-    """Fit every model on the train split and score all splits into one long table."""
+    """Fit every model on the train split and score all splits into one long table.
+
+    The features are written once: every fit and every scoring pass reads them again.
+    """
+    encoded = materialize(encoded, "features")
     train = encoded.where(F.col("split") == "train")
     scored = []
     for order, (name, estimator) in enumerate(build_models(registry, max(1, train.count()))):

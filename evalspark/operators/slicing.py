@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -60,13 +61,10 @@ def try_rule(df: DataFrame, rule: SliceRule) -> Column | None:
         raise
 
 
-def needs_scores(metadata: DataFrame, rule: SliceRule, score_columns: list[str]) -> bool:
-    """Does a rule that holds over metadata and scores need a column of the scores?
-
-    Only a rule that mentions such a name has to be tried without the scores.
-    """
-    mentioned = any(c.lower() in rule.predicate.lower() for c in score_columns)
-    return mentioned and try_rule(metadata, rule) is None
+def mentions(rule: SliceRule, columns: list[str]) -> bool:
+    """Does the rule name one of the columns, if only in a string?"""
+    words = {w.lower() for w in re.findall(r"\w+", rule.predicate)}
+    return any(c.lower() in words for c in columns)
 
 
 def models_disagree(same_id: Window, score: Column, threshold: float = 0.5) -> Column:
@@ -139,19 +137,18 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     metadata = examples.drop("label", "y_score", *[k for k in KEYS if k != "split"])
     has_text = cfg.text_col is not None and cfg.text_col in examples.columns
 
-    # Spark's analyzer tells which rules resolve, over empty tables of the same columns.
+    # Spark's analyzer tells which rules resolve, over an empty table of the same columns.
+    # A rule that may need the scores waits for the join; that is never wrong, only later.
     own = [f for f in preds.schema.fields if f.name not in metadata.columns]
-    spark = preds.sparkSession
-    joined_row = spark.createDataFrame([], StructType([*metadata.schema.fields, *own]))
-    metadata_row = spark.createDataFrame([], metadata.schema)
+    blank = preds.sparkSession.createDataFrame([], StructType([*metadata.schema.fields, *own]))
     early_masks, late_masks, resolved, skipped = [], [], [], []
     for rule in cfg.rules:
-        mask = try_rule(joined_row, rule)
+        mask = try_rule(blank, rule)
         if mask is None:
             skipped.append((rule, "missing column"))
             continue
         resolved.append(rule)
-        late = needs_scores(metadata_row, rule, [f.name for f in own])
+        late = mentions(rule, [f.name for f in own])
         (late_masks if late else early_masks).append((len(resolved), mask))
     slices = _catalog(cfg, resolved, has_text)
     if has_text:

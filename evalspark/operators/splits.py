@@ -21,7 +21,7 @@ def exact_split(
     seed: int = 42,
     test_size: float = 0.2,
     val_size: float = 0.1,
-    cells: int = 4096,
+    cells: int = 16384,
 ) -> DataFrame:
     """Add ``split`` so that every label has exactly ``round(n * size)`` test and val rows.
 

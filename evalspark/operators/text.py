@@ -70,6 +70,7 @@ def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
     and only the sum (terms x columns of q) comes back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(q)
+    columns = [f"c{i}" for i in range(q.shape[1])]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, width = shared.value.shape
@@ -83,20 +84,18 @@ def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
                     "values"
                 ).flatten()
                 total += x.T @ (x @ shared.value)
-        ends = np.arange(0, terms * width + 1, width, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(terms, dtype=np.int32)), pa.ListArray.from_arrays(ends, total.ravel())],
-            names=["term", "part"],
+            [pa.array(np.arange(terms, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(width)]],
+            names=["term", *columns],
         )
 
     raw = F.unwrap_udt(F.col("tfidf"))
     parts = docs.select(raw["indices"].alias("indices"), raw["values"].alias("values")).mapInArrow(
-        partial, "term int, part array<double>"
+        partial, "term int, " + ", ".join(f"{c} double" for c in columns)
     )
-    sums = parts.groupBy("term").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
-    back = sums.toArrow()  # one row per term of the vocabulary
+    sums = parts.groupBy("term").sum(*columns).toArrow()  # one row per term of the vocabulary
     out = np.zeros(q.shape)
-    out[back["term"].to_numpy()] = back["part"].combine_chunks().flatten().to_numpy().reshape(-1, q.shape[1])
+    out[sums["term"].to_numpy()] = np.column_stack([sums[f"sum({c})"].to_numpy() for c in columns])
     return out
 
 

@@ -61,24 +61,22 @@ def measure(
     examples: DataFrame | None,
     cfg: EvalConfig,
     with_ranking: bool = True,
-    once: bool = True,
 ) -> Measured:
     """Read the scores once into cells and, if asked for, once more into ranking metrics.
 
-    With ``once`` the joined scores (if two passes need them) and the cells are written
-    to the shared folder, because several reports are derived from them.
+    The cells are written to the shared folder because every report reads them. The joined
+    scores are written too if ranking needs a second pass over them: one narrow write
+    instead of another join. Predictions alone are simply scanned again.
     """
     preds = valid_predictions(preds)
     if examples is None:
         sliced = overall_scores(preds)
     else:
         sliced = assign_slices(preds, examples, cfg)
-        if with_ranking and once:
+        if with_ranking:
             kept = [c for c in (*KEYS, "label", "y_score", "threshold", "slice_ids") if c in sliced.scores.columns]
             sliced = SlicedScores(materialize(sliced.scores.select(*kept), "scores"), sliced.slices, sliced.skipped)
-    cells = score_cells(sliced.scores, cfg)
-    if once:
-        cells = materialize(cells, "cells")
+    cells = materialize(score_cells(sliced.scores, cfg), "cells")
     ranking = None
     if with_ranking:
         frequencies = None

@@ -55,12 +55,12 @@ def _orders_cells(spark, sf):
     return slice_cells(score_cells(sliced.scores, CONFIG), sliced)
 
 
-def _orders(spark, sf, with_ranking=False, once=True) -> P.Measured:
-    return P.measure(W.orders_predictions(spark, sf), W.orders_examples(spark, sf), CONFIG, with_ranking, once)
+def _orders(spark, sf, with_ranking=False) -> P.Measured:
+    return P.measure(W.orders_predictions(spark, sf), W.orders_examples(spark, sf), CONFIG, with_ranking)
 
 
-def _docs(spark, sf, once=True) -> P.Measured:
-    return P.measure(W.docs_predictions(spark, sf), W.docs_examples(spark, sf), DOCS_CONFIG, False, once)
+def _docs(spark, sf) -> P.Measured:
+    return P.measure(W.docs_predictions(spark, sf), W.docs_examples(spark, sf), DOCS_CONFIG, False)
 
 
 NAMES = ["model_name", "split"]
@@ -200,7 +200,7 @@ def slice_membership(spark, sf):
 
 
 def slice_sizes(spark, sf):
-    return P.slice_sizes(_orders(spark, sf, once=False)).select(*NAMES, "slice_name", "n")
+    return P.slice_sizes(_orders(spark, sf)).select(*NAMES, "slice_name", "n")
 
 
 def slice_metrics(spark, sf):
@@ -213,20 +213,20 @@ def slice_metrics(spark, sf):
 
 
 def slice_costs(spark, sf):
-    m = _orders(spark, sf, once=False)
+    m = _orders(spark, sf)
     return slicing.slice_columns(m.best(), m.slices).select(
         *NAMES, "slice_name", "use_case", "n", "best_threshold", r6("expected_cost")
     )
 
 
 def slice_recommendation(spark, sf):
-    return P.per_slice_recommendations(_orders(spark, sf, once=False)).select(
+    return P.per_slice_recommendations(_orders(spark, sf)).select(
         "use_case", "split", "slice_name", "recommended_model", "recommended_threshold", r6("expected_cost"), "n", "unstable"
     )
 
 
 def instability_flags(spark, sf):
-    m = _docs(spark, sf, once=False)
+    m = _docs(spark, sf)
     sizes = I.low_count_flags(m.cells.groupBy(*M.GROUP).agg(F.sum("n").alias("n")), DOCS_CONFIG.min_count)
     return slicing.slice_columns(sizes, m.slices).select(*NAMES, "slice_name", "n", "unstable", "reason")
 
@@ -245,7 +245,7 @@ def difficulty_disagreement(spark, sf):
 def single_model_slices(spark, sf):
     """One model has nobody to disagree with: its hard examples are those with a score near 0.5."""
     alone = W.orders_predictions(spark, sf).where(F.col("model_name") == "model_a")
-    m = P.measure(alone, W.orders_examples(spark, sf), CONFIG, with_ranking=False, once=False)
+    m = P.measure(alone, W.orders_examples(spark, sf), CONFIG, with_ranking=False)
     out = P.slice_table(m, ["low_fp"]).where(F.col("slice_name").endswith("_examples"))
     return out.select(*NAMES, "slice_name", "use_case", "n", "best_threshold", r6("accuracy"), r6("expected_cost"))
 
@@ -265,12 +265,12 @@ def evaluation_overall(spark, sf):
 # -- charts -------------------------------------------------------------------------
 
 def confidence_accuracy(spark, sf):
-    out = charts.confidence_accuracy(_orders(spark, sf, once=False))
+    out = charts.confidence_accuracy(_orders(spark, sf))
     return out.select(*NAMES, r6("confidence_midpoint"), "n", r6("accuracy"))
 
 
 def slice_cost_matrix(spark, sf):
-    out = charts.slice_cost_matrix(_orders(spark, sf, once=False), W.MODELS)
+    out = charts.slice_cost_matrix(_orders(spark, sf), W.MODELS)
     return out.select("split", "slice_name", "rank", "n", *[r6(m) for m in W.MODELS])
 
 
@@ -344,7 +344,7 @@ def error_clusters(spark, sf):
 
 def bootstrap_intervals(spark, sf):
     """Accuracy at 0.5 with its interval and the flag, per slice."""
-    m = _orders(spark, sf, once=False)
+    m = _orders(spark, sf)
     out = P.slice_table(P.Measured(CONFIG, m.slices, m.cells, None), ["default"], intervals=True)
     return out.select(*NAMES, "slice_name", "n", "accuracy", "ci_low", "ci_high", "ci_width", "unstable", "reason")
 

@@ -24,6 +24,15 @@ def write_report(df: DataFrame, path: str, run_id: str, fmt: str = "json") -> No
     writer.save(path)
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, keys: tuple[str, ...] = ("id", "split")) -> None:
+    """Save examples or predictions as a table bucketed by id and split.
+
+    Two tables bucketed alike are joined, and the models' votes compared, without a
+    shuffle: worth it for examples that many runs are evaluated against.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+
+
 def write_reports(tables: dict[str, DataFrame], path: str, run_id: str, fmt: str = "json") -> None:
     for name, df in tables.items():
         write_report(df, f"{path}/{name}", run_id, fmt)

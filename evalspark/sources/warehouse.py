@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute a table that is read by fewer tasks than there are cores.
+
+    A file with one row group is read by one task; hashing or tokenising its rows should
+    not stay there. A table of many row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def _score(weight: float, label: Column, noise: Column) -> Column:
     return F.round(F.lit(weight) * label + F.lit(round(1.0 - weight, 2)) * noise, 4)
 
@@ -50,7 +60,9 @@ def _length_score() -> Column:
 def orders_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: id, split, label and both scores. Reads ``orders`` only."""
     label = (F.col("o_orderstatus") == "F").cast("int")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), label.alias("label"))
+    orders = spread(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), label.alias("label")), "id"
+    )
     a, b = (hash_uniform(F.col("id"), F.lit(tag)) for tag in ("a", "b"))
     return orders.select(
         "id",
@@ -75,7 +87,7 @@ def orders_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     details = F.repeat(F.lit(" detail"), (F.col("o_orderkey") % 30).cast("int"))
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("id"),
@@ -92,7 +104,7 @@ def docs_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with their texts; a document of low quality is the positive class."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"), "doc_id")
         .join(labels, "doc_id")
         .select(F.col("doc_id").alias("id"), "label", "text", "lang", "source")
     )
@@ -139,7 +151,7 @@ def lineitem_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     label = (F.col("l_returnflag") == "R").cast("int")
-    scored = table(spark, sf_dir, "lineitem").select(
+    scored = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey").select(
         F.lit("all").alias("split"),
         label.alias("label"),
         _score(0.35, label, hash_uniform(*key, cents, day, F.lit("a"))).alias("model_a"),

@@ -9,13 +9,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.checkpoint.dir", str(folder / "shared"))
+        .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")

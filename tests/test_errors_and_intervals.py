@@ -98,7 +98,7 @@ def orders(spark):
 
 
 def test_confusion_interval_holds_the_accuracy_and_repeats(orders):
-    m = P.measure(orders, None, Q.CONFIG, with_ranking=False, once=False)
+    m = P.measure(orders, None, Q.CONFIG, with_ranking=False)
     key = [*KEYS, "slice_id"]
     a = I.bootstrap_confusion(m.summary(), key, Q.CONFIG).collect()
     b = I.bootstrap_confusion(m.summary().repartition(7), key, Q.CONFIG).collect()
@@ -109,7 +109,7 @@ def test_confusion_interval_holds_the_accuracy_and_repeats(orders):
 
 
 def test_own_metric_of_the_confusion(orders):
-    m = P.measure(orders, None, Q.CONFIG, with_ranking=False, once=False)
+    m = P.measure(orders, None, Q.CONFIG, with_ranking=False)
     got = I.bootstrap_confusion(m.summary(), [*KEYS, "slice_id"], Q.CONFIG, lambda tn, fp, fn, tp: tp / (tp + fn)).collect()
     assert all(r.ci_low <= r.recall <= r.ci_high for r in got)
 

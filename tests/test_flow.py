@@ -41,7 +41,7 @@ def test_every_report_has_rows(full):
 
 
 def test_curve_at_one_half_is_the_confusion_at_one_half(full, inputs):
-    m = P.measure(inputs[0], None, Q.CONFIG, with_ranking=False, once=False)
+    m = P.measure(inputs[0], None, Q.CONFIG, with_ranking=False)
     half = table(M.confusion(m.cells, "n_half"), "model_name", "split")
     for r in full.cost_curve.where("threshold = 0.5 and use_case = 'default'").collect():
         assert (r.tn, r.fp, r.fn, r.tp) == tuple(half[(r.model_name, r.split)][c] for c in ("tn", "fp", "fn", "tp"))

@@ -7,6 +7,7 @@ from evalspark import EvalConfig, SliceRule
 from evalspark.operators.slicing import assign_slices, disagreement
 from evalspark.plans import evaluate as P
 from evalspark.sources import predictions as pr
+from evalspark.sources.sinks import save_bucketed
 
 
 def rules(*pairs):
@@ -34,7 +35,7 @@ def preds(make):
 
 
 def members(preds, examples, cfg):
-    m = P.measure(preds, examples, cfg, with_ranking=False, once=False)
+    m = P.measure(preds, examples, cfg, with_ranking=False)
     sizes = P.slice_sizes(m).collect()
     return {(r.model_name, r.slice_name): r.n for r in sizes}, m
 
@@ -158,3 +159,12 @@ def test_texts_do_not_travel_through_the_join(preds, examples, spark, tmp_path):
     join = project[project.index("Join"):]
     example_side = [line for line in join.splitlines() if "_early" in line][0]
     assert " text#" not in example_side.split("AS _early")[-1]
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(preds, examples, spark):
+    save_bucketed(preds, "bucketed_preds", 4)
+    save_bucketed(examples, "bucketed_examples", 4)
+    s = assign_slices(spark.table("bucketed_preds"), spark.table("bucketed_examples"), EvalConfig())
+    plan = s.scores._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert s.scores.count() == preds.count()
