@@ -18,9 +18,9 @@ def score_ranges(scores: DataFrame, groups: list[str], buckets: int) -> tuple[li
     One aggregate over two narrow columns. The edges only balance the work: any edges
     give the same metrics.
     """
-    at = [i / buckets for i in range(1, buckets)]
+    at = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
     row = scores.agg(
-        F.percentile_approx("y_score", at, max(1000, 4 * buckets)).alias("edges"),
+        F.expr(f"percentile_approx(y_score, array({at}), {max(1000, 4 * buckets)})").alias("edges"),
         F.approx_count_distinct(F.struct(*groups)).alias("groups"),
     ).first()
     return sorted(set(row["edges"] or [])), int(row["groups"])  # no edges: no rows

@@ -19,14 +19,10 @@ def long_predictions(df: DataFrame, models: list[str], keep: list[str]) -> DataF
     return df.select(*keep, F.inline(scores))
 
 
-def _usable():
-    score = F.col("y_score")
-    return F.col("label").isin(0, 1) & score.isNotNull() & ~F.isnan(score)
-
-
 def valid_predictions(preds: DataFrame) -> DataFrame:
     """Rows with a 0/1 label and a score that is a number."""
-    return preds.where(F.coalesce(_usable(), F.lit(False)))
+    score = F.col("y_score")
+    return preds.where(F.col("label").isin(0, 1) & score.isNotNull() & ~F.isnan(score))
 
 
 def rejected_predictions(preds: DataFrame) -> DataFrame:
