@@ -57,6 +57,7 @@ class EvalConfig:
     difficulty: bool = True
     optimize_threshold: bool = True
     per_slice: bool = True
+    per_slice_thresholds: bool = True
     default_use_case: str = "default"
     costs: dict = field(default_factory=lambda: {k: dict(v) for k, v in DEFAULT_COSTS.items()})
     rules: tuple[SliceRule, ...] = ()

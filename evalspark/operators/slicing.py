@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
@@ -178,10 +178,10 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     return SlicedScores(scores.select(*keep, "slice_ids"), slices, skipped)
 
 
-def skipped_rules(sliced: SlicedScores, like: DataFrame) -> DataFrame:
+def skipped_rules(skipped: list[tuple[SliceRule, str]], spark: SparkSession) -> DataFrame:
     """The rules left out, with the reason."""
-    rows = [(rule.name, rule.predicate, reason) for rule, reason in sliced.skipped]
-    return like.sparkSession.createDataFrame(rows, "slice_name string, predicate string, reason string")
+    rows = [(rule.name, rule.predicate, reason) for rule, reason in skipped]
+    return spark.createDataFrame(rows, "slice_name string, predicate string, reason string")
 
 
 def label_frequency_ids(label_counts: DataFrame, slices: list[Slice]) -> DataFrame:

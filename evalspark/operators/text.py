@@ -130,14 +130,19 @@ def cluster_count(n: int) -> int:
     return min(MAX_CLUSTERS, max(2, int(math.sqrt(n / 2))))
 
 
-def cluster_texts(errors: DataFrame, n: int, seed: int, stop_words: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def cluster_texts(
+    errors: DataFrame, n: int, seed: int, stop_words: list[str] | None = None
+) -> tuple[DataFrame, list[str]] | None:
     """Cluster one model's ``n`` errors by their texts; adds ``cluster`` and ``tfidf``.
 
-    The rows are written once as TF-IDF vectors and once as latent features: the
-    iterative fits then read a small table instead of parsing texts on every pass.
+    The rows are written once as tokens, once as TF-IDF vectors and once as latent
+    features: the iterative fits then read small tables instead of parsing texts on every
+    pass. None if no text holds a word.
     """
-    docs = errors.withColumn("tokens", tokens(F.col("text"), stop_words))
-    vectors, vocabulary = tfidf(materialize(docs, "error-tokens"))
+    docs = materialize(errors.withColumn("tokens", tokens(F.col("text"), stop_words)), "error-tokens")
+    if docs.where(F.size("tokens") > 0).isEmpty():
+        return None
+    vectors, vocabulary = tfidf(docs)
     vectors = materialize(vectors, "error-tfidf")
     dimensions = min(MAX_DIMENSIONS, len(vocabulary) - 1) if len(vocabulary) > 1 else 1
     latent = materialize(project(vectors, latent_basis(vectors, len(vocabulary), dimensions, seed)), "error-latent")

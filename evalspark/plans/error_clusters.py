@@ -28,6 +28,7 @@ def error_clusters(errors: DataFrame, cfg: EvalConfig, stop_words: list[str] | N
             & (F.col("split") == row["split"])
             & (F.col("use_case") == row["use_case"])
         )
-        clustered, vocabulary = cluster_texts(own, row["count"], cfg.seed, stop_words)
-        reports.append(summarize_clusters(clustered, vocabulary))
+        found = cluster_texts(own, row["count"], cfg.seed, stop_words)
+        if found is not None:
+            reports.append(summarize_clusters(*found))
     return reduce(DataFrame.unionByName, reports) if reports else None

@@ -20,6 +20,7 @@ from evalspark.operators.slicing import (
     assign_slices,
     label_frequency_ids,
     overall_scores,
+    skipped_rules,
     slice_columns,
 )
 from evalspark.sources.predictions import (
@@ -123,9 +124,10 @@ def metrics_at_best(m: Measured, use_cases: list[str] | None = None) -> DataFram
 
 
 def slice_table(m: Measured, use_cases: list[str] | None = None, intervals: bool = False) -> DataFrame:
-    """Per model and slice: metrics at 0.5, the cheapest threshold, the count and the flag.
+    """Per model and slice: metrics at 0.5, the count, the flag and the cheapest threshold.
 
-    With ``intervals`` the flag also looks at the bootstrap interval of the accuracy.
+    With ``intervals`` the flag also looks at the bootstrap interval of the accuracy. The
+    thresholds are left out if ``per_slice_thresholds`` is off.
     """
     rows = m.summary().where(F.col("slice_id") > 0)
     if intervals:
@@ -134,7 +136,7 @@ def slice_table(m: Measured, use_cases: list[str] | None = None, intervals: bool
         )
     else:
         rows = low_count_flags(rows, m.cfg.min_count)
-    if m.cfg.per_slice:
+    if m.cfg.per_slice_thresholds:
         best = m.best(use_cases).select(*GROUP, "use_case", "best_threshold", "expected_cost")
         rows = rows.join(best, GROUP)
     if m.ranking is not None:
@@ -183,11 +185,12 @@ class Evaluation:
     error_status: DataFrame
     rejected: DataFrame
     unmatched: DataFrame
-    skipped_rules: list[tuple[str, str, str]]
+    skipped_rules: DataFrame
+    all_errors: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         names = ("overall", "comparison", "cost_curve", "slices", "recommendation", "per_slice", "errors",
-                 "error_status", "rejected", "unmatched")
+                 "error_status", "rejected", "unmatched", "skipped_rules")
         return {n: getattr(self, n) for n in names if getattr(self, n) is not None}
 
 
@@ -200,7 +203,9 @@ def evaluate(
 ) -> Evaluation:
     """The whole evaluation of all models, for the given use cases (the default one if none).
 
-    Covers every split unless ``splits`` names some.
+    Covers every split unless ``splits`` names some. Without ``per_slice`` the examples
+    are not joined at all. ``all_errors`` holds every error with its text, for
+    ``error_terms`` and ``error_clusters``; it is not among ``tables()``.
     """
     use_cases = use_cases or [cfg.default_use_case]
     cfg.costs_of(use_cases)
@@ -208,11 +213,10 @@ def evaluate(
     examples = standard_columns(examples, cfg.id_col, cfg.label_col, cfg.positive_label)
     if splits is not None:
         preds = preds.where(F.col("split").isin(splits))
-    if not (cfg.auto_slices and cfg.difficulty):
+    if not (cfg.per_slice and cfg.auto_slices and cfg.difficulty):
         require_unique_ids(preds)  # otherwise checked while the models' votes are compared
-    m = measure(preds, examples, cfg)
-    if m.ranking is not None:
-        m.ranking = materialize(m.ranking, "ranking")
+    m = measure(preds, examples if cfg.per_slice else None, cfg)
+    m.ranking = materialize(m.ranking, "ranking")
     best = materialize(m.best(use_cases), "best")
     wrong = E.errors_at_best(valid_predictions(preds), E.overall_best(best))
     worst = E.with_text_of_few(E.top_errors(wrong, cfg.top_errors), examples, cfg.text_col)
@@ -222,12 +226,13 @@ def evaluate(
         overall=overall_report(m, use_cases),
         comparison=compare(m, use_cases),
         cost_curve=slice_columns(whole_keep(m.curve(use_cases)), m.slices),
-        slices=slice_table(m, use_cases),
+        slices=slice_table(m, use_cases) if cfg.per_slice else None,
         recommendation=recommend(m, use_cases),
-        per_slice=per_slice_recommendations(m, use_cases) if cfg.per_slice else None,
+        per_slice=per_slice_recommendations(m, use_cases) if cfg.per_slice and cfg.per_slice_thresholds else None,
         errors=worst,
         error_status=E.cluster_status(E.overall_best(best), has_text, cfg.min_errors_to_cluster),
         rejected=rejected_predictions(preds),
         unmatched=unmatched_predictions(preds, examples),
-        skipped_rules=[(rule.name, rule.predicate, reason) for rule, reason in m.skipped],
+        skipped_rules=skipped_rules(m.skipped, preds.sparkSession),
+        all_errors=E.with_text(wrong, examples, cfg.text_col),
     )

@@ -27,12 +27,14 @@ def r6(expr: str, name: str) -> str:
 
 def _stop_words() -> list[str]:
     """The English list that ships with Spark ML."""
-    jar = next(Path(pyspark.__path__[0], "jars").glob("spark-mllib_*.jar"))
+    jar = next(Path(pyspark.__path__[0], "jars").glob("spark-mllib_*.jar"), None)
+    if jar is None:
+        return []
     with zipfile.ZipFile(jar) as z:
         return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
 
 
-STOP = ", ".join("'" + w.strip().replace("'", "''") + "'" for w in _stop_words() if w.strip())
+STOP = ", ".join("'" + w.strip().replace("'", "''") + "'" for w in _stop_words() if w.strip()) or "''"
 GRID = "[" + ", ".join(num(t) for t in CFG.thresholds) + "]"
 LOW_EDGES = CFG.ece_edges[:-1]
 

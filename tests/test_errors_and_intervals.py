@@ -86,8 +86,9 @@ def test_clusters_add_up_to_the_errors(spark):
     assert all("parcel" in r.top_terms or "glass" in r.top_terms for r in got)
 
 
-def test_no_model_with_enough_errors_gives_none(spark):
-    df = spark.createDataFrame([("m", 0, "s", "u", 1, "FP", 0.5, "x")], "model_name string, model_order int, split string, "
+@pytest.mark.parametrize("n, text", [(1, "word"), (30, "a !"), (30, None)])
+def test_too_few_errors_or_no_words_give_none(spark, n, text):
+    df = spark.createDataFrame([("m", 0, "s", "u", i, "FP", 0.5, text) for i in range(n)], "model_name string, model_order int, split string, "
                                "use_case string, id bigint, error_type string, y_score double, text string")
     assert error_clusters(df, EvalConfig()) is None
 

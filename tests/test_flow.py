@@ -31,10 +31,10 @@ def table(df, *keys):
 
 def test_every_report_has_rows(full):
     for name, df in full.tables().items():
-        if name not in ("rejected", "unmatched"):
+        if name not in ("rejected", "unmatched"):  # empty in a sound data set
             assert df.take(1), name
     assert full.rejected.count() == full.unmatched.count() == 0
-    assert [n for n, _, _ in full.skipped_rules] == ["web"]
+    assert [(r.slice_name, r.reason) for r in full.skipped_rules.collect()] == [("web", "missing column")]
     errors = full.errors.groupBy("model_name", "split", "use_case", "error_type").count()
     assert errors.agg(F.max("count")).first()[0] <= 25
     assert full.errors.where("text is null").count() == 0
@@ -126,3 +126,26 @@ def test_no_product_of_rows(spark, name):
 def test_scans_read_only_the_columns_they_need(spark):
     plan = Q.QUERIES["cost_curve"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_slices_and_their_thresholds_can_be_left_out(inputs):
+    plain = P.evaluate(*inputs, EvalConfig(per_slice=False))
+    assert plain.slices is None and plain.per_slice is None
+    assert plain.comparison.count() == 6
+    m = P.measure(*inputs, EvalConfig(per_slice_thresholds=False, auto_slices=False, rules=Q.RULES[:1]), with_ranking=False)
+    assert "best_threshold" not in P.slice_table(m).columns
+
+
+def test_all_errors_carry_their_texts(full):
+    counts = table(full.all_errors.groupBy("model_name", "split", "use_case").agg(F.count("text").alias("n")),
+                   "model_name", "split", "use_case")
+    for r in full.error_status.collect():
+        if r.error_count:
+            assert counts[(r.model_name, r.split, r.use_case)].n == r.error_count
+
+
+def test_intermediate_tables_go_to_the_named_folder(spark, full):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"), "evalspark")
+    assert any(p.name.startswith("cells-") for p in folder.iterdir())
