@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo, suffix
+from . import cuckoo, pieces, quality, suffix, toxicity, urls
 from .common import read
 
 
@@ -18,4 +18,22 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_substrings(read(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cuckoo_dedup, op2_suffix_dedup)}
+def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_table(read(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_cuckoo_dedup, op2_suffix_dedup, op3_byte_cnn_quality, op5_ordinal_toxicity, op6_viterbi_pieces, op7_url_filter)
+}
