@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo, pieces, quality, suffix, toxicity, urls
+from . import bagminhash, cuckoo, egojoin, mixing, pieces, quality, suffix, toxicity, urls, windows
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
 def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -34,6 +38,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op8_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cuckoo_dedup, op2_suffix_dedup, op3_byte_cnn_quality, op5_ordinal_toxicity, op6_viterbi_pieces, op7_url_filter)
+    f.__name__: f
+    for f in (
+        op1_cuckoo_dedup, op2_suffix_dedup, op3_byte_cnn_quality, op4_raked_mixing, op5_ordinal_toxicity,
+        op6_viterbi_pieces, op7_url_filter, op8_ego_join, op9_bagminhash, op10_compact_windows,
+    )
 }
