@@ -109,11 +109,11 @@ def bootstrap_mean(scores: DataFrame, key: list[str], value: Column, cfg: EvalCo
 
 def bootstrap_ranking(scores: DataFrame, key: list[str], cfg: EvalConfig, metric: str = "roc_auc") -> DataFrame:
     """Interval of ROC AUC (or ``pr_auc``): every draw is ranked as a group of its own."""
-    edges, groups = score_ranges(scores, key, default_buckets(scores))
+    edges = score_ranges(scores, default_buckets(scores))
     weighted = resampled_weights(scores, key, cfg.bootstrap_iters, cfg.seed)
     draws = weighted.select(
         *key, "y_score", "label", F.array(F.lit(0)).alias("slice_ids"),
         F.posexplode("weights").alias("draw", "weight"),
     ).where(F.col("weight") > 0)
-    ranked = ranking_metrics(draws, [*key, "draw"], ranges=(edges, groups * cfg.bootstrap_iters))
+    ranked = ranking_metrics(draws, [*key, "draw"], edges=edges)
     return _interval(ranked, key, F.col(metric), cfg.ci_alpha)

@@ -3,54 +3,73 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.scores import INF
 
-# Rows of the offsets table (groups x buckets) that are still broadcast, about 60 bytes each.
-MAX_BROADCAST_OFFSETS = 1_000_000
+# Cells of the first count over [0, 1], parts a crowded cell is cut into, and how often that is repeated at most.
+CELLS, PARTS, LEVELS = 4096, 64, 6
 
 
-def score_ranges(scores: DataFrame, groups: list[str], buckets: int) -> tuple[list[float], int]:
-    """Edges that cut the scores into ranges of like size, and the number of groups.
+def score_ranges(scores: DataFrame, buckets: int) -> list[float]:
+    """Edges that cut the scores into ranges of like size. They only balance the work: any edges give the same metrics.
 
-    One aggregate over two narrow columns. The edges only balance the work: any edges
-    give the same metrics.
+    Rows are counted per cell of a fixed grid, which combines in the tasks, so that one row per cell comes back
+    however many rows there are. A cell that holds several scores and more than half a range is cut into parts and counted
+    again. Scores outside [0, 1] are in the outermost ranges.
     """
-    at = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    row = scores.agg(
-        F.expr(f"percentile_approx(y_score, array({at}), {max(1000, 4 * buckets)})").alias("edges"),
-        F.approx_count_distinct(F.struct(*groups)).alias("groups"),
-    ).first()
-    return sorted(set(row["edges"] or [])), int(row["groups"])  # no edges: no rows
+    score = F.col("y_score")
+
+    def count(cell: Column, rows: DataFrame) -> list:
+        return rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high")).collect()
+
+    cell = F.least(F.greatest(F.floor(score * CELLS), F.lit(-1)), F.lit(CELLS)).cast("int")
+    found = [(r.low, r.high, r.n) for r in count(cell, scores)]
+    limit = max(1, sum(n for _, _, n in found) // (2 * buckets))
+    for _ in range(LEVELS):
+        crowded = sorted((low, high) for low, high, n in found if n > limit and low < high)
+        if not crowded:
+            break
+        # Between the cells' own smallest and largest scores: at most 2 x buckets cells are crowded.
+        place = Bucketizer(splits=[-INF, *(low for low, _ in crowded), INF], inputCol="y_score", outputCol="place")
+        inside = place.transform(scores).where(F.col("place") > 0).withColumn("which", F.col("place").cast("int") - 1)
+        low, high = (F.array(*[F.lit(p[k]) for p in crowded])[F.col("which")] for k in (0, 1))
+        part = F.least(F.floor((score - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
+        again = count(F.struct("which", part.alias("part")), inside.where(score <= high))
+        found = [x for x in found if not (x[2] > limit and x[0] < x[1])] + [(r.low, r.high, r.n) for r in again]
+    edges, rows = [], 0
+    for low, _, n in sorted(found):
+        if rows + n > 2 * limit and rows:
+            edges.append(low)
+            rows = 0
+        rows += n
+    return sorted(set(edges))
 
 
 def default_buckets(scores: DataFrame) -> int:
     """Enough ranges to keep every shuffle partition busy."""
-    partitions = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(8192, max(32, partitions))
+    return max(32, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ranking_metrics(
     scores: DataFrame,
     keys: list[str],
     frequencies: DataFrame | None = None,
-    n_slices: int = 1,
-    ranges: tuple[list[float], int] | None = None,
+    edges: list[float] | None = None,
 ) -> DataFrame:
     """ROC AUC (ties count half) and average precision per key and slice.
 
     ``scores`` has the keys, ``label``, ``y_score``, ``slice_ids`` and optionally a
     ``weight`` (a row count). Both metrics are null if only one class is present.
-    ``ranges`` is what ``score_ranges`` gives, if it is known already.
+    ``edges`` is what ``score_ranges`` gives, if it is known already.
 
     Equal scores are combined first. The distinct scores are then distributed by score
     range and repeated per slice only inside their range, so a group, however large, is
     spread over all ranges. Each range ranks its own scores; what lies below the range
     is added from a small table of range totals.
     """
-    edges, groups = ranges or score_ranges(scores, keys, default_buckets(scores))
+    edges = score_ranges(scores, default_buckets(scores)) if edges is None else edges
     placed = Bucketizer(splits=[-INF, *(edges or [0.5]), INF], inputCol="y_score", outputCol="bucket").transform(scores)
     # Never null: the join on it below then adds no filter, and both of its sides read one shuffle.
     bucket = F.coalesce(F.col("bucket").cast("int"), F.lit(0))
@@ -95,8 +114,6 @@ def ranking_metrics(
         F.sum("pos").over(whole).alias("p"),
         F.sum("neg").over(whole).alias("q"),
     )
-    if groups * n_slices * (len(edges) + 1) <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
 
     below = Window.partitionBy(*local).orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = runs.select(
