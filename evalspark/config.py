@@ -53,6 +53,11 @@ class EvalConfig:
     id_col: str = "id"
     label_col: str = "label"
     text_col: str | None = "text"
+    max_terms: int = 5000
+    max_dimensions: int = 50
+    max_clusters: int = 6
+    top_terms: int = 10
+    cluster_examples: int = 5
     auto_slices: bool = True
     difficulty: bool = True
     optimize_threshold: bool = True
@@ -84,7 +89,13 @@ class EvalConfig:
             raise ValueError(f"unknown use case(s) {unknown}; known: {sorted(self.costs)}")
         return {u: self.costs[u] for u in use_cases}
 
-    def run_id(self) -> str:
-        """Twelve hex digits over every setting, costs and rules included."""
-        text = json.dumps(asdict(self), sort_keys=True)
+    def run_id(self, registry: list[dict] | None = None, data: dict | str | None = None) -> str:
+        """Twelve hex digits over every setting, costs and rules included, and over the models and the data if given.
+
+        ``registry`` as for ``train_and_score``; ``data`` names what was read (paths, options). Runs that differ in
+        either must not share an id: saved predictions are replaced by id.
+        """
+        known = [{k: v for k, v in m.items() if k != "estimator"} | ({"estimator": type(m["estimator"]).__name__} if "estimator" in m else {}) for m in registry or []]
+        extra = ({"models": known} if registry is not None else {}) | ({"data": data} if data is not None else {})
+        text = json.dumps(asdict(self) | extra, sort_keys=True, default=str)
         return hashlib.sha256(text.encode("utf-8")).hexdigest()[:12]

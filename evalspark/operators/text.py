@@ -3,43 +3,34 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.config import EvalConfig
 from evalspark.functions.scores import clean_text
+from evalspark.functions.stopwords import ENGLISH
 from evalspark.storage import materialize
 
-# A word is two or more letters, digits or underscores; sizes of the text analysis.
+# Fixed value: a word is two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
-MAX_TERMS = 5000
-MAX_DIMENSIONS = 50
-MAX_CLUSTERS = 6
-TOP_TERMS = 10
-EXAMPLES = 5
-OVERSAMPLING = 10
-POWER_PASSES = 5
-DENSE_ROWS = 256
-
-
-def default_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+# Errors are dealt by id into so many tasks before a fit, so that fits don't depend on how the input was dealt.
+FIT_PARTS = 32
 
 
 def words(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-case words without stop words."""
     found = F.regexp_extract_all(F.lower(clean_text(text)), F.lit(WORD), F.lit(0))
-    stop = default_stop_words() if stop_words is None else stop_words
+    stop = ENGLISH if stop_words is None else stop_words
     if not stop:
         return found
     return F.filter(found, lambda word: ~word.isin(*stop))
@@ -53,69 +44,32 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.concat(single, pairs)
 
 
-def tfidf(docs: DataFrame, max_terms: int = MAX_TERMS) -> tuple[DataFrame, list[str]]:
+def vocabulary(docs: DataFrame, max_terms: int) -> list[str]:
+    """The most frequent terms of ``tokens``; of equally frequent ones the first by name."""
+    counts = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return [r.term for r in counts.orderBy(F.col("n").desc(), "term").limit(max_terms).collect()]
+
+
+def tfidf(docs: DataFrame, max_terms: int) -> tuple[DataFrame, list[str]]:
     """Add ``tfidf``: term count times (ln((n+1)/(df+1)) + 1), each row of length 1."""
-    counter = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=max_terms).fit(docs)
+    terms = vocabulary(docs, max_terms)
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="counts")
     counted = counter.transform(docs)
     idf = IDF(inputCol="counts").fit(counted).idf.toArray() + 1.0
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weights").transform(counted)
     unit = Normalizer(p=2.0, inputCol="weights", outputCol="tfidf").transform(scaled)
-    return unit.drop("counts", "weights", "tokens"), counter.vocabulary
+    return unit.drop("counts", "weights", "tokens"), terms
 
 
-def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
-    """X'X q for the rows X of ``docs``: one pass, summed per term across the cluster.
-
-    Each task emits one partial row per term, the rows are added in a shuffle by term,
-    and only the sum (terms x columns of q) comes back.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(q)
-    columns = [f"c{i}" for i in range(q.shape[1])]
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, width = shared.value.shape
-        total = np.zeros((terms, width))
-        for batch in batches:
-            for at in range(0, batch.num_rows, DENSE_ROWS):
-                part = batch.slice(at, DENSE_ROWS)
-                lengths = pc.list_value_length(part.column("indices")).to_numpy(zero_copy_only=False)
-                x = np.zeros((part.num_rows, terms))
-                x[np.repeat(np.arange(part.num_rows), lengths), part.column("indices").flatten()] = part.column(
-                    "values"
-                ).flatten()
-                total += x.T @ (x @ shared.value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(terms, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(width)]],
-            names=["term", *columns],
-        )
-
-    raw = F.unwrap_udt(F.col("tfidf"))
-    parts = docs.select(raw["indices"].alias("indices"), raw["values"].alias("values")).mapInArrow(
-        partial, "term int, " + ", ".join(f"{c} double" for c in columns)
-    )
-    sums = parts.groupBy("term").sum(*columns).toArrow()  # one row per term of the vocabulary
-    out = np.zeros(q.shape)
-    out[sums["term"].to_numpy()] = np.column_stack([sums[f"sum({c})"].to_numpy() for c in columns])
-    return out
-
-
-def latent_basis(docs: DataFrame, n_terms: int, dimensions: int, seed: int) -> np.ndarray:
-    """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions).
-
-    Subspace iteration from a random start: a fixed, small number of passes over the
-    rows, however many rows there are.
-    """
-    width = min(n_terms, dimensions + OVERSAMPLING)
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))
-    for _ in range(POWER_PASSES):
-        q, _ = np.linalg.qr(_gram_times(docs, q))
-    values, vectors = np.linalg.eigh(q.T @ _gram_times(docs, q))
-    return (q @ vectors)[:, np.argsort(values)[::-1][:dimensions]]
+def latent_basis(docs: DataFrame, dimensions: int) -> np.ndarray:
+    """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions)."""
+    rows = MLUtils.convertVectorColumnsFromML(docs.select("tfidf"), "tfidf")
+    return RowMatrix(rows).computeSVD(dimensions).V.toArray()
 
 
 def project(docs: DataFrame, basis: np.ndarray) -> DataFrame:
     """Add ``features``: the row's TF-IDF vector in the latent dimensions."""
-    shared = docs.sparkSession.sparkContext.broadcast(basis)  # at most MAX_TERMS x MAX_DIMENSIONS doubles
+    shared = docs.sparkSession.sparkContext.broadcast(basis)  # terms x dimensions doubles, both bounded by the settings
 
     @F.pandas_udf("array<double>")
     def onto_basis(indices: pd.Series, values: pd.Series) -> pd.Series:
@@ -126,31 +80,30 @@ def project(docs: DataFrame, basis: np.ndarray) -> DataFrame:
     return docs.withColumn("features", array_to_vector(onto_basis(raw["indices"], raw["values"])))
 
 
-def cluster_count(n: int) -> int:
-    return min(MAX_CLUSTERS, max(2, int(math.sqrt(n / 2))))
+def cluster_count(n: int, most: int) -> int:
+    return min(most, max(2, int(math.sqrt(n / 2))))
 
 
-def cluster_texts(
-    errors: DataFrame, n: int, seed: int, stop_words: list[str] | None = None
-) -> tuple[DataFrame, list[str]] | None:
+def cluster_texts(errors: DataFrame, n: int, cfg: EvalConfig, stop_words: list[str] | None = None) -> tuple[DataFrame, list[str]] | None:
     """Cluster one model's ``n`` errors by their texts; adds ``cluster`` and ``tfidf``.
 
     The rows are written once as tokens, once as TF-IDF vectors and once as latent
     features: the iterative fits then read small tables instead of parsing texts on every
     pass. None if no text holds a word.
     """
-    docs = materialize(errors.withColumn("tokens", tokens(F.col("text"), stop_words)), "error-tokens")
+    dealt = errors.withColumn("tokens", tokens(F.col("text"), stop_words)).repartition(FIT_PARTS, "id").sortWithinPartitions("id")
+    docs = materialize(dealt, "error-tokens")
     if docs.where(F.size("tokens") > 0).isEmpty():
         return None
-    vectors, vocabulary = tfidf(docs)
+    vectors, terms = tfidf(docs, cfg.max_terms)
     vectors = materialize(vectors, "error-tfidf")
-    dimensions = min(MAX_DIMENSIONS, len(vocabulary) - 1) if len(vocabulary) > 1 else 1
-    latent = materialize(project(vectors, latent_basis(vectors, len(vocabulary), dimensions, seed)), "error-latent")
-    model = KMeans(k=cluster_count(n), seed=seed, featuresCol="features", predictionCol="cluster").fit(latent)
-    return model.transform(latent), vocabulary
+    dimensions = min(cfg.max_dimensions, len(terms) - 1) if len(terms) > 1 else 1
+    latent = materialize(project(vectors, latent_basis(vectors, dimensions)), "error-latent")
+    model = KMeans(k=cluster_count(n, cfg.max_clusters), seed=cfg.seed, featuresCol="features", predictionCol="cluster").fit(latent)
+    return model.transform(latent), terms
 
 
-def summarize_clusters(clustered: DataFrame, vocabulary: list[str]) -> DataFrame:
+def summarize_clusters(clustered: DataFrame, terms: list[str], cfg: EvalConfig) -> DataFrame:
     """Per cluster: size, error mix, leading terms by mean TF-IDF, and example rows."""
     group = [c for c in ("model_name", "model_order", "split", "use_case") if c in clustered.columns] + ["cluster"]
     totals = clustered.groupBy(*group).agg(
@@ -160,22 +113,22 @@ def summarize_clusters(clustered: DataFrame, vocabulary: list[str]) -> DataFrame
         vector_to_array(Summarizer.mean(F.col("tfidf"))).alias("mean_tfidf"),
     )
     # One row per cluster and term of the vocabulary: bounded by the settings.
-    names = clustered.sparkSession.createDataFrame(list(enumerate(vocabulary)), "pos int, term string")
+    names = clustered.sparkSession.createDataFrame(list(enumerate(terms)), "pos int, term string")
     heavy = Window.partitionBy(*group).orderBy(F.col("weight").desc(), "term")
-    terms = (
+    leading = (
         totals.select(*group, F.posexplode("mean_tfidf").alias("pos", "weight"))
         .where(F.col("weight") > 0)
         .join(F.broadcast(names), "pos")
         .withColumn("rank", F.row_number().over(heavy))
-        .where(F.col("rank") <= TOP_TERMS)
+        .where(F.col("rank") <= cfg.top_terms)
         .groupBy(*group)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "term")))["term"].alias("top_terms"))
     )
     first = Window.partitionBy(*group).orderBy("id")
     examples = (
         clustered.withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= EXAMPLES)
+        .where(F.col("rank") <= cfg.cluster_examples)
         .groupBy(*group)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "id", "text", "y_score", "error_type"))).alias("examples"))
     )
-    return totals.drop("mean_tfidf").join(terms, group, "left").join(examples, group)
+    return totals.drop("mean_tfidf").join(leading, group, "left").join(examples, group)

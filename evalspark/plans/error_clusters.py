@@ -28,7 +28,7 @@ def error_clusters(errors: DataFrame, cfg: EvalConfig, stop_words: list[str] | N
             & (F.col("split") == row["split"])
             & (F.col("use_case") == row["use_case"])
         )
-        found = cluster_texts(own, row["count"], cfg.seed, stop_words)
+        found = cluster_texts(own, row["count"], cfg, stop_words)
         if found is not None:
-            reports.append(summarize_clusters(*found))
+            reports.append(summarize_clusters(*found, cfg))
     return reduce(DataFrame.unionByName, reports) if reports else None

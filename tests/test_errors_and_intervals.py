@@ -48,12 +48,12 @@ def test_cluster_status_without_text_and_with_few_errors(spark):
 
 
 def test_number_of_clusters():
-    assert [T.cluster_count(n) for n in (20, 60, 200, 10_000)] == [3, 5, 6, 6]
+    assert [T.cluster_count(n, 6) for n in (20, 60, 200, 10_000)] == [3, 5, 6, 6]
 
 
 def test_tfidf_is_smoothed_and_of_length_one(spark):
     docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "c"])], "id int, tokens array<string>")
-    rows, vocabulary = T.tfidf(docs)
+    rows, vocabulary = T.tfidf(docs, 5000)
     raw = rows.where("id = 1").select(F.unwrap_udt("tfidf").alias("v")).first().v
     got = dict(zip((vocabulary[i] for i in raw["indices"]), raw["values"]))
     a, b = 2 * (np.log(3 / 3) + 1), np.log(3 / 2) + 1
@@ -63,11 +63,11 @@ def test_tfidf_is_smoothed_and_of_length_one(spark):
 def test_latent_basis_spans_the_leading_singular_vectors(spark):
     rng = np.random.default_rng(1)
     docs = [(i, [f"t{int(x)}" for x in rng.zipf(1.6, 30) if x < 40]) for i in range(80)]
-    rows, vocabulary = T.tfidf(spark.createDataFrame(docs, "id int, tokens array<string>"))
+    rows, vocabulary = T.tfidf(spark.createDataFrame(docs, "id int, tokens array<string>"), 5000)
     x = np.zeros((80, len(vocabulary)))
     for r in rows.select("id", F.unwrap_udt("tfidf").alias("v")).collect():
         x[r.id, r.v["indices"]] = r.v["values"]
-    basis = T.latent_basis(rows, len(vocabulary), 5, 42)
+    basis = T.latent_basis(rows, 5)
     exact = np.linalg.svd(x, full_matrices=False)[2][:5]
     assert np.linalg.norm(x @ basis) == pytest.approx(np.linalg.norm(x @ exact.T), rel=1e-4)
     assert np.allclose(basis.T @ basis, np.eye(5), atol=1e-8)
@@ -86,6 +86,18 @@ def test_clusters_add_up_to_the_errors(spark):
     assert all("parcel" in r.top_terms or "glass" in r.top_terms for r in got)
 
 
+def test_clusters_do_not_depend_on_the_partitions(spark):
+    words = ["late", "parcel", "glass", "broken", "refund", "again", "colour", "wrong"]
+    rng = np.random.default_rng(5)
+    rows = [("m", 0, "s", "u", i, "FP", 0.5, " ".join(rng.choice(words, 12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "model_name string, model_order int, split string, use_case string, id bigint, "
+                                     "error_type string, y_score double, text string")
+    found = []
+    for n in (1, 5, 16):
+        found.append(sorted((r.error_count, r.top_terms, [e.id for e in r.examples]) for r in error_clusters(df.repartition(n), EvalConfig()).collect()))
+    assert found[0] == found[1] == found[2]
+
+
 @pytest.mark.parametrize("n, text", [(1, "word"), (30, "a !"), (30, None)])
 def test_too_few_errors_or_no_words_give_none(spark, n, text):
     df = spark.createDataFrame([("m", 0, "s", "u", i, "FP", 0.5, text) for i in range(n)], "model_name string, model_order int, split string, "
