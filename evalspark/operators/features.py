@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from evalspark.sources.examples import non_numeric
 
-# A column with more levels than this is an identifier rather than a category.
-MAX_LEVELS = 10_000
-
-
 def feature_columns(df: DataFrame, label_col: str = "label", id_col: str = "id", text_col: str | None = "text") -> list[str]:
     """All columns but label, id, text and split."""
     return [c for c in df.columns if c not in (label_col, id_col, text_col, "split")]
 
 
-def drop_non_features(df: DataFrame, label_col: str = "label", id_col: str = "id", text_col: str | None = "text") -> DataFrame:
-    return df.select(*feature_columns(df, label_col, id_col, text_col))
-
-
 def category_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """The sorted levels of each column over all splits, null left out, in one pass.
-
-    The number of levels is checked first: levels become columns, so they have to be few.
-    """
-    if not columns:
-        return {}
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-    wide = [c for c, n in sizes.items() if n > MAX_LEVELS]
-    if wide:
-        raise ValueError(f"too many levels to one-hot encode: {wide}")
-    levels = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(levels[c]) for c in columns}
+    """The sorted levels of each column over all splits, null left out. For the wide form: levels become columns."""
+    return {c: [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()] for c in columns}
 
 
 def one_hot(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
@@ -57,17 +40,24 @@ def assemble(df: DataFrame, columns: list[str], output: str = "features") -> Dat
     for f in df.schema.fields:
         if f.name in columns and isinstance(f.dataType, BooleanType):
             df = df.withColumn(f.name, F.col(f.name).cast("int"))
-    bad = non_numeric(df.select(*[F.col(f"`{c}`") for c in columns]))
+    plain = [f.name for f in df.schema.fields if f.name in columns and not isinstance(f.dataType, VectorUDT)]
+    bad = non_numeric(df.select(*[F.col(f"`{c}`") for c in plain]))
     if bad:
         raise ValueError(f"non-numeric columns among the features: {bad}")
     return VectorAssembler(inputCols=columns, outputCol=output, handleInvalid="error").transform(df)
 
 
 def encode(df: DataFrame, label_col: str = "label", id_col: str = "id", text_col: str | None = "text") -> DataFrame:
-    """One-hot encode over all splits at once and assemble; keeps id, label and split."""
+    """One-hot encode over all splits at once and assemble; keeps id, label and split.
+
+    A category is one sparse block of the vector, however many levels it has; null is all zeros.
+    """
     columns = feature_columns(df, label_col, id_col, text_col)
-    levels = category_levels(df, categorical_columns(df, columns))
-    wide = one_hot(df, levels)
-    keep = [c for c in (id_col, label_col, "split") if c in wide.columns]
-    names = [c for c in wide.columns if c not in (*keep, text_col)]
-    return assemble(wide, names).select(*keep, "features")
+    categories = categorical_columns(df, columns)
+    keep = [c for c in (id_col, label_col, "split") if c in df.columns]
+    if categories:
+        places, blocks = ([f"{c}__{kind}" for c in categories] for kind in ("place", "levels"))
+        df = StringIndexer(inputCols=categories, outputCols=places, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df).transform(df)
+        df = OneHotEncoder(inputCols=places, outputCols=blocks, dropLast=True, handleInvalid="error").fit(df).transform(df)
+        columns = [c for c in columns if c not in categories] + blocks
+    return assemble(df, columns).select(*keep, "features")

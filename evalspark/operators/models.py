@@ -105,13 +105,16 @@ def score(model: Model, encoded: DataFrame, name: str, order: int) -> DataFrame:
     )
 
 
-def train_and_score(encoded: DataFrame, registry: list[dict], save_to: str | None = None) -> DataFrame:
+def train_and_score(encoded: DataFrame, registry: list[dict], save_to: str | None = None, most_rows: int | None = None) -> DataFrame:
     """Fit every model on the train split and score all splits into one long table.
 
     The features are written once: every fit and every scoring pass reads them again.
+    ``most_rows`` bounds the labelled rows that a fit sees (by a hash of the id); all rows are scored.
     """
     encoded = materialize(encoded, "features")
     train = encoded.where(F.col("split") == "train")
+    if most_rows is not None:
+        train = materialize(train.orderBy(F.xxhash64("id"), "id").limit(most_rows), "training-rows")
     scored = []
     for order, (name, estimator) in enumerate(build_models(registry, max(1, train.count()))):
         model = estimator.fit(train)

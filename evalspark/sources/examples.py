@@ -12,14 +12,17 @@ from pyspark.sql.types import NumericType, StructType
 Loader = Callable[[SparkSession], DataFrame]
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header line. Without a schema Spark reads the file twice to infer one."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header line. Without a schema Spark reads the file twice to infer one.
+
+    ``multi_line`` is for values that contain line ends; such a file is read by one task.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def csv_loader(path: str, schema: StructType | str | None = None) -> Loader:
-    return lambda spark: read_csv(spark, path, schema)
+def csv_loader(path: str, schema: StructType | str | None = None, multi_line: bool = False) -> Loader:
+    return lambda spark: read_csv(spark, path, schema, multi_line)
 
 
 def parquet_loader(path: str) -> Loader:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 KEYS = ["model_name", "model_order", "split"]
 
@@ -59,18 +60,6 @@ def require_unique_ids(preds: DataFrame) -> None:
         raise ValueError(f"duplicate prediction: {found[0].asDict()}")
 
 
-def operating_thresholds(preds: DataFrame, default: float) -> DataFrame:
-    """The threshold stored with a model's predictions, or the default; it must be one value."""
-    if "threshold" not in preds.columns:
-        preds = preds.withColumn("threshold", F.lit(None).cast("double"))
-    low, high = F.min("threshold"), F.max("threshold")
-    return preds.groupBy(*KEYS).agg(
-        F.when(low < high, F.raise_error(F.lit("a model has more than one operating threshold")))
-        .otherwise(F.coalesce(high, F.lit(default)))
-        .alias("threshold")
-    )
-
-
 def unmatched_predictions(preds: DataFrame, examples: DataFrame) -> DataFrame:
     """Predictions without an example of the same id (and split, if the examples have one)."""
     on = ["id", "split"] if "split" in examples.columns else ["id"]
@@ -96,7 +85,10 @@ def load_predictions(
     splits: list[str] | None = None,
 ) -> DataFrame:
     """Predictions of a run. The filters are on folder names, so other folders are not read."""
-    df = spark.read.parquet(path).where(F.col("run_id") == run_id)
+    names = ("run_id", "model_name", "split")  # names, even where they look like numbers
+    found = spark.read.parquet(path).schema
+    schema = StructType([StructField(f.name, StringType()) if f.name in names else f for f in found.fields])
+    df = spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id)
     if models is not None:
         df = df.where(F.col("model_name").isin(models))
     if splits is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 FORMATS = ("json", "parquet", "csv")
 
@@ -12,6 +13,9 @@ def write_report(df: DataFrame, path: str, run_id: str, fmt: str = "json") -> No
     """Write a table under its run id, replacing only what that run wrote before."""
     if fmt not in FORMATS:
         raise ValueError(f"format '{fmt}' is not one of {FORMATS}")
+    if fmt == "csv":  # a line has no nested values: they become JSON text
+        nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+        df = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
     writer = (
         df.withColumn("run_id", F.lit(run_id))
         .write.mode("overwrite")

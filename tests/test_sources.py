@@ -16,10 +16,10 @@ SF = "/root/testdata/sf0.001"
 def test_csv_load_drops_copies_and_rows_without_a_label(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('x,label,text\n1,1,"a, ""b"""\n1,1,"a, ""b"""\n2,,c\n3,0.9,d\n')
-    rows = ex.load(spark, ex.csv_loader(str(path))).collect()
+    rows = ex.load(spark, ex.csv_loader(str(path), multi_line=True)).collect()
     assert {(r.x, r.label, r.text) for r in rows} == {(1, 1, 'a, "b"'), (3, 0, "d")}
     assert len({r.id for r in rows}) == 2
-    with_schema = ex.load(spark, ex.csv_loader(str(path), "x int, label double, text string"))
+    with_schema = ex.load(spark, ex.csv_loader(str(path), "x int, label double, text string", True))
     assert {r.id for r in with_schema.collect()} == {r.id for r in rows}
 
 
@@ -76,10 +76,11 @@ def test_predictions_are_stored_and_pruned_by_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_id" in plan
 
 
-def test_operating_thresholds(spark):
-    preds = W.orders_predictions(spark, SF)
-    assert {r.threshold for r in pr.operating_thresholds(preds, 0.5).collect()} == {0.5}
-    assert {r.threshold for r in pr.operating_thresholds(preds.withColumn("threshold", F.lit(0.3)), 0.5).collect()} == {0.3}
+def test_names_that_look_like_numbers_stay_names(spark, make, tmp_path):
+    path = str(tmp_path / "named")
+    pr.save_predictions(make([("01", 0, 1, 0.5), ("02", 0, 1, 0.6)]), path, "000123456789")
+    back = pr.load_predictions(spark, path, "000123456789", ["01"], ["test"]).collect()
+    assert [(r.run_id, r.model_name, r.split, r.y_score) for r in back] == [("000123456789", "01", "test", 0.5)]
 
 
 def test_one_hot_covers_all_splits_and_leaves_nulls_at_zero(spark):
@@ -101,10 +102,10 @@ def test_text_among_the_features_is_an_error(spark):
         X.assemble(df, ["a", "b"])
 
 
-def test_identifiers_are_not_one_hot_encoded(spark):
-    df = spark.range(30000).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="too many levels"):
-        X.category_levels(df, ["c"])
+def test_any_number_of_levels_is_encoded_sparsely(spark):
+    df = spark.range(30000).select("id", F.lit(1).alias("label"), F.col("id").cast("string").alias("c"))
+    got = X.encode(df.unionAll(spark.createDataFrame([(30000, 0, None)], "id bigint, label int, c string"))).where("id in (7, 30000)").collect()
+    assert {r.id: (r.features.size, r.features.numNonzeros()) for r in got} == {7: (30000, 1), 30000: (30000, 0)}
 
 
 def test_registry():
