@@ -111,5 +111,4 @@ def recommendation(ranked: DataFrame, size: int) -> DataFrame:
             F.sort_array(F.collect_list(entry)).alias("ranking"),
         )
         .withColumn("objective", F.lit("min_expected_cost"))
-        .withColumn("note", F.lit("Depends on the cost matrix and the slices: other costs can have another winner."))
     )

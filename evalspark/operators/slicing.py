@@ -82,14 +82,6 @@ def _scored_twice(same_id: Window) -> Column:
     return F.coalesce(F.lag("model_name").over(by_model) == F.col("model_name"), F.lit(False))
 
 
-def disagreement(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per example: do the models disagree on the class at ``threshold``?"""
-    vote = S.predicted(F.col("y_score"), threshold)
-    return preds.groupBy("split", "id").agg(
-        (F.min(vote) < F.max(vote)).alias("difficulty_hard"),
-    )
-
-
 def _members(masks: list[tuple[int, Column]]) -> Column:
     """The positions whose mask holds, as an array of integers (compiled, no lambda)."""
     none = F.array().cast("array<int>")
@@ -103,26 +95,26 @@ def _binned(slices: list[Slice], family: str, value: Column) -> list[tuple[int,
 
 
 def _catalog(cfg: EvalConfig, rules: list[SliceRule], has_text: bool) -> list[Slice]:
-    out = [Slice(ALL, "All rows", "all")]
+    out = [Slice(ALL, "Every scored row", "all")]
     out += [Slice(r.name, r.description, "rule") for r in rules]
     if not cfg.auto_slices:
         return out
-    families = [("confidence", "Auto: confidence bin", cfg.confidence_bins),
-                ("label_freq", "Auto: label frequency bin", cfg.label_freq_bins)]
+    families = [("confidence", "By the score of the likelier class", cfg.confidence_bins),
+                ("label_freq", "By the share of the row's label", cfg.label_freq_bins)]
     if has_text:
-        families.insert(0, ("text_len", "Auto: text length bin", cfg.text_length_bins))
+        families.insert(0, ("text_len", "By characters of text", cfg.text_length_bins))
     for family, description, edges in families:
         out += [Slice(S.bin_name(family, lo, hi), description, family, lo, hi) for lo, hi in S.bins(edges)]
     if cfg.difficulty:
-        out += [Slice("easy_examples", "Auto: easy examples", "easy"),
-                Slice("hard_examples", "Auto: hard examples", "hard")]
+        out += [Slice("easy_examples", "The models agree on the row", "easy"),
+                Slice("hard_examples", "The models disagree on the row, or the only one is unsure", "hard")]
     return out
 
 
 def overall_scores(preds: DataFrame) -> SlicedScores:
     """No slices but the whole: predictions alone, no join."""
     ids = F.array(F.lit(0))
-    return SlicedScores(preds.withColumn("slice_ids", ids), [Slice(ALL, "All rows", "all")])
+    return SlicedScores(preds.withColumn("slice_ids", ids), [Slice(ALL, "Every scored row", "all")])
 
 
 def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> SlicedScores:
@@ -132,6 +124,9 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     evaluated before the join, so that texts never travel through the shuffle. The
     model votes are compared over the same distribution by id that the join needs.
     The label of the prediction counts, not the one on the example.
+
+    A scored row without an example stays: it is in the whole and in the slices by score, and in no slice that
+    looks at the example. An example that occurs twice would count its scores twice and is an error.
     """
     on = ["id", "split"] if "split" in examples.columns else ["id"]
     metadata = examples.drop("label", "y_score", *[k for k in KEYS if k != "split"])
@@ -156,8 +151,11 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
     late_masks += _binned(slices, "confidence", S.confidence(F.col("y_score")))
 
     if any(s.family == "hard" for s in slices):
-        # One sort by id and model serves the votes, the check for repeated ids and the join.
-        same_id = Window.partitionBy(*on)
+        # One sort by id and model serves the votes, the check for repeated ids and the join. Votes are
+        # compared within a split; where examples have none, the join needs the rows by id alone.
+        if on == ["id"]:
+            preds = preds.repartition("id")
+        same_id = Window.partitionBy("id", "split")
         votes = same_id.orderBy("model_name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         hard = F.coalesce(
             models_disagree(votes, F.col("y_score")),
@@ -169,11 +167,15 @@ def assign_slices(preds: DataFrame, examples: DataFrame, cfg: EvalConfig) -> Sli
         position = {s.family: i for i, s in enumerate(slices) if s.family in ("easy", "hard")}
         late_masks += [(position["easy"], ~F.col("_hard")), (position["hard"], F.col("_hard"))]
 
+    again = (F.count(F.lit(1)).over(Window.partitionBy(*on)) > 1) & F.col("id").isNotNull()
+    repeated = F.raise_error(F.concat(F.lit("duplicate example of id "), F.col("id").cast("string"))).cast("array<int>")
     tagged = metadata.withColumn("_early", _members(early_masks))
-    ids = F.sort_array(F.concat(F.array(F.lit(0)), F.col("_early"), _members(late_masks)))
+    tagged = tagged.withColumn("_early", F.when(again, repeated).otherwise(F.col("_early")))
+    none = F.array().cast("array<int>")
+    ids = F.sort_array(F.concat(F.array(F.lit(0)), F.coalesce(F.col("_early"), none), _members(late_masks)))
     # Both sides grow with the data. The votes already distribute and sort the predictions
     # by id, so a merge join only has to bring the narrow example side along.
-    scores = preds.join(tagged.hint("merge"), on).withColumn("slice_ids", ids)
+    scores = preds.join(tagged.hint("merge"), on, "left").withColumn("slice_ids", ids)
     keep = [c for c in preds.columns if c not in ("_hard", "_twice")]
     return SlicedScores(scores.select(*keep, "slice_ids"), slices, skipped)
 

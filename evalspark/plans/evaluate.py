@@ -83,7 +83,7 @@ def measure(
         frequencies = None
         if any(s.family == "label_freq" for s in sliced.slices):
             frequencies = label_frequency_ids(cells, sliced.slices)
-        ranking = ranking_metrics(sliced.scores, KEYS, frequencies, len(sliced.slices))
+        ranking = ranking_metrics(sliced.scores, KEYS, frequencies)
     return Measured(cfg, sliced.slices, slice_cells(cells, sliced), ranking, sliced.skipped)
 
 

@@ -7,7 +7,9 @@ engine adds cannot change the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.config import EvalConfig, SliceRule
@@ -106,12 +108,18 @@ def average_precision(spark, sf):
     return _ranked(W.orders_predictions(spark, sf)).select(*NAMES, r6("pr_auc"))
 
 
+def _class_scores() -> Column:
+    """Ten class scores from the 64 components of a vector: the sum of every tenth."""
+    part = lambda i: F.col("embedding")[i].cast("double")
+    return F.array(*[reduce(Column.__add__, [part(i) for i in range(k, 64, 10)]) for k in range(10)])
+
+
 def multiclass_metrics(spark, sf):
-    """The first ten components of each vector stand for class scores; the largest one is the class."""
+    """The largest class score is the class."""
     df = W.embedding_examples(spark, sf).select(
         F.lit("argmax").alias("model_name"),
         "label",
-        S.predicted_class(F.slice("embedding", 1, 10)).alias("y_pred"),
+        S.predicted_class(_class_scores()).alias("y_pred"),
     )
     out = M.multiclass_metrics(df, ["model_name"])
     return out.select("model_name", "n", *[r6(c) for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro")])
@@ -119,8 +127,8 @@ def multiclass_metrics(spark, sf):
 
 def class_decisions(spark, sf):
     """Chosen class and score of a multiclass model, per row."""
-    p = F.slice("embedding", 1, 10)
-    return W.embedding_examples(spark, sf).select(
+    p = F.col("p")
+    return W.embedding_examples(spark, sf).select("id", "label", _class_scores().alias("p")).select(
         "id", "label", S.predicted_class(p).alias("y_pred"), r6(S.positive_score(p).cast("double"), "y_score")
     )
 
@@ -239,7 +247,9 @@ def text_length_slices(spark, sf):
 
 
 def difficulty_disagreement(spark, sf):
-    return slicing.disagreement(W.orders_predictions(spark, sf))
+    same_id = Window.partitionBy("id", "split")
+    voted = W.orders_predictions(spark, sf).withColumn("difficulty_hard", slicing.models_disagree(same_id, F.col("y_score")))
+    return voted.where(F.col("model_order") == 0).select("split", "id", "difficulty_hard")
 
 
 def single_model_slices(spark, sf):
@@ -262,6 +272,39 @@ def evaluation_overall(spark, sf):
                       *[r6(c) for c in ("accuracy", "precision", "recall", "f1", "brier", "ece", "expected_cost")])
 
 
+def evaluate_report(spark, sf):
+    """The whole flow from one call, its eleven reports as (report, model_name, item, value).
+
+    Scored are all documents by model b and the labelled ones by both models; examples are the English documents. So
+    some scores have no label and are rejected, and others have no example and are in no slice by text.
+    """
+    plain = W.docs_predictions(spark, sf)
+    without = W.docs_unlabelled_predictions(spark, sf).where(F.col("label").isNull()).withColumn("model_order", F.lit(1))
+    examples = W.docs_examples(spark, sf).where(F.col("lang") == "en")
+    run = P.evaluate(plain.unionByName(without), examples, DOCS_CONFIG)
+
+    def item(name: str, df: DataFrame, *pairs: tuple) -> DataFrame:
+        pairs = [F.struct(F.lit(k).alias("item") if isinstance(k, str) else k.alias("item"), v.cast("double").alias("value")) for k, v in pairs]
+        return df.select(F.lit(name).alias("report"), "model_name", F.inline(F.array(*pairs)))
+
+    count = F.count("*").alias("n")
+    status = run.error_status
+    parts = [
+        item("overall", run.overall, ("n", F.col("n")), ("accuracy", r6(F.col("accuracy")))),
+        item("comparison", run.comparison, ("rank", F.col("rank")), ("expected_cost", r6(F.col("expected_cost")))),
+        item("recommendation", run.recommendation.withColumnRenamed("recommended_model", "model_name"), ("threshold", F.col("recommended_threshold"))),
+        item("cost_curve", run.cost_curve.groupBy("model_name").agg(count), ("points", F.col("n"))),
+        item("slices", run.slices, (F.col("slice_name"), F.col("n"))),
+        item("per_slice", run.per_slice.withColumnRenamed("recommended_model", "model_name"), (F.col("slice_name"), r6(F.col("expected_cost")))),
+        item("error_status", status, ("FP", F.col("fp_count")), ("FN", F.col("fn_count"))).where(F.col("value") > 0),
+        item("all_errors", run.all_errors.groupBy("model_name").agg(count), ("n", F.col("n"))),
+        item("errors", run.errors.groupBy("model_name", "error_type").agg(count), (F.col("error_type"), F.col("n"))),
+        item("rejected", run.rejected.groupBy("model_name", "reject_reason").agg(count), (F.col("reject_reason"), F.col("n"))),
+        item("unmatched", run.unmatched.where(F.col("label").isNotNull()).groupBy("model_name").agg(count), ("n", F.col("n"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- charts -------------------------------------------------------------------------
 
 def confidence_accuracy(spark, sf):
@@ -390,7 +433,7 @@ def predictions_roundtrip(spark, sf):
     path = fresh_path(spark, "predictions")
     pr.save_predictions(W.orders_predictions(spark, sf), path, CONFIG.run_id())
     back = pr.load_predictions(spark, path, CONFIG.run_id(), ["model_b"], ["test"])
-    return back.select("id", "label", "y_score", F.col("model_name").cast("string"), F.col("split").cast("string"))
+    return back.select("id", "label", "y_score", "model_name", "split")
 
 
 def rejected_labels(spark, sf):
@@ -421,16 +464,20 @@ def one_hot(spark, sf):
     return wide.select("id", r6("amount"), *[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in names])
 
 
+# The parameters of the three models.
 REGISTRY = [
-    {"name": "logreg", "type": "logistic_regression", "params": {"C": 1.0, "max_iter": 100}},
-    {"name": "rf", "type": "random_forest", "params": {"n_estimators": 20, "max_depth": 8, "random_state": 42}},
+    {"name": "logreg", "type": "logistic_regression", "params": {"C": 1.0, "max_iter": 500}},
+    {"name": "rf", "type": "random_forest", "params": {"n_estimators": 300, "max_depth": None, "random_state": 42}},
+    {"name": "xgb", "type": "boosted_trees", "params": {"n_estimators": 400, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "random_state": 42}},
 ]
+# Labelled rows that a fit of these two queries sees at most; every row is scored.
+TRAINING_ROWS = 1000
 
 
 def train_score(spark, sf):
-    """Two models trained on orders and scored on all splits, summed up per model and split."""
+    """Three models trained on orders and scored on all splits, summed up per model and split."""
     rows = W.orders_examples(spark, sf)
-    scored = models.train_and_score(X.encode(rows), REGISTRY)
+    scored = models.train_and_score(X.encode(rows), REGISTRY, most_rows=TRAINING_ROWS)
     return scored.groupBy(*NAMES).agg(
         F.count("*").alias("n"), F.min("y_score").alias("min_score"), F.max("y_score").alias("max_score"),
         F.avg((F.col("y_score") - F.col("label")) ** 2).alias("brier"),
@@ -444,7 +491,7 @@ def train_score_vectors(spark, sf):
         "id", (F.col("label") < 5).cast("int").alias("label"), hash_split(F.col("id")).alias("split"),
         *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)],
     )
-    scored = models.train_and_score(X.encode(wide, text_col=None), REGISTRY)
+    scored = models.train_and_score(X.encode(wide, text_col=None), REGISTRY, most_rows=TRAINING_ROWS)
     return _ranked(scored).drop("slice_id", "model_order")
 
 
@@ -490,6 +537,7 @@ QUERIES = {
     "label_frequency": label_frequency,
     "single_model_slices": single_model_slices,
     "evaluation_overall": evaluation_overall,
+    "evaluate_report": evaluate_report,
     "confidence_accuracy": confidence_accuracy,
     "slice_cost_matrix": slice_cost_matrix,
     "error_distribution": error_distribution,

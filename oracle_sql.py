@@ -6,14 +6,15 @@ and slices are one query per predicate.
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
+from evalspark.functions.stopwords import ENGLISH
 
-import pyspark
-
-from evalspark.config import EvalConfig
-
-CFG = EvalConfig()
+# Fixed values, written out here once more so that a wrong one on the other side shows.
+COST_TABLE = {"default": (-1.0, 0.0, 2.0, 5.0), "low_fp": (-1.0, 0.0, 10.0, 3.0), "low_fn": (-1.0, 0.0, 2.0, 20.0)}  # TP, TN, FP, FN
+ECE_BINS = 10
+TEXT_BINS = [0, 30, 80, 160, 1000000]
+CONFIDENCE_BINS = [0.0, 0.5, 0.7, 0.85, 1.01]
+FREQUENCY_BINS = [0.0, 0.01, 0.05, 0.2, 1.01]
+MIN_COUNT, HEATMAP_SLICES, TOP_ERRORS, MIN_ERRORS = 50, 25, 25, 20
 
 
 def num(x: float) -> str:
@@ -25,18 +26,8 @@ def r6(expr: str, name: str) -> str:
     return f"round(({expr}) + 1e-10, 6) AS {name}"
 
 
-def _stop_words() -> list[str]:
-    """The English list that ships with Spark ML."""
-    jar = next(Path(pyspark.__path__[0], "jars").glob("spark-mllib_*.jar"), None)
-    if jar is None:
-        return []
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
-STOP = ", ".join("'" + w.strip().replace("'", "''") + "'" for w in _stop_words() if w.strip()) or "''"
-GRID = "[" + ", ".join(num(t) for t in CFG.thresholds) + "]"
-LOW_EDGES = CFG.ece_edges[:-1]
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
+GRID = "[" + ", ".join(f"CAST('{t // 100}.{t % 100:02d}' AS DOUBLE)" for t in range(5, 96)) + "]"  # 0.05 to 0.95
 
 
 def u(key: str, tag) -> str:
@@ -93,7 +84,7 @@ preds AS (
 )"""
 
 COSTS = "costs(use_case, c_tp, c_tn, c_fp, c_fn) AS (VALUES " + ", ".join(
-    f"('{n}', {num(c['TP'])}, {num(c['TN'])}, {num(c['FP'])}, {num(c['FN'])})" for n, c in CFG.costs.items()
+    f"('{name}', {num(tp)}, {num(tn)}, {num(fp)}, {num(fn)})" for name, (tp, tn, fp, fn) in COST_TABLE.items()
 ) + ")"
 
 COUNTS = """count(*) AS n,
@@ -108,8 +99,7 @@ F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 *
 BRIER = "avg((y_score - label) * (y_score - label))"
 CONF = "greatest(y_score, 1 - y_score)"
 BIN = "CASE " + " ".join(
-    f"WHEN y_score >= {num(lo)} AND y_score {'<=' if i == CFG.ece_bins - 1 else '<'} {num(hi)} THEN {i}"
-    for i, (lo, hi) in enumerate(zip(CFG.ece_edges[:-1], CFG.ece_edges[1:]))
+    f"WHEN y_score >= {i} * {num(0.1)} AND y_score {'<= 1.0' if i == ECE_BINS - 1 else f'< {i + 1} * {num(0.1)}'} THEN {i}" for i in range(ECE_BINS)
 ) + " END"
 
 
@@ -172,13 +162,16 @@ examples AS (
 )"""
 
 
-def _members(rules: list[tuple[str, str]], hard: str) -> str:
-    """CTEs from ``preds`` and ``examples`` to ``sl``: one row per prediction and slice."""
-    lens = list(zip(CFG.text_length_bins[:-1], CFG.text_length_bins[1:]))
-    confs = list(zip(CFG.confidence_bins[:-1], CFG.confidence_bins[1:]))
-    freqs = list(zip(CFG.label_freq_bins[:-1], CFG.label_freq_bins[1:]))
+def _members(rules: list[tuple[str, str]], hard: str, partial: bool = False) -> str:
+    """CTEs from ``preds`` and ``examples`` to ``sl``: one row per prediction and slice.
+
+    ``partial``: some predictions have no example; they are in no slice by text.
+    """
+    lens = list(zip(TEXT_BINS[:-1], TEXT_BINS[1:]))
+    confs = list(zip(CONFIDENCE_BINS[:-1], CONFIDENCE_BINS[1:]))
+    freqs = list(zip(FREQUENCY_BINS[:-1], FREQUENCY_BINS[1:]))
     named = list(rules)
-    named += [(f"text_len[{a},{b})", f"length(coalesce(text, '')) >= {a} AND length(coalesce(text, '')) < {b}") for a, b in lens]
+    named += [(f"text_len[{a},{b})", f"length(coalesce(text, '')) >= {a} AND length(coalesce(text, '')) < {b}{' AND matched' if partial else ''}") for a, b in lens]
     named += [(f"confidence[{a},{b})", f"{CONF} >= {num(a)} AND {CONF} < {num(b)}") for a, b in confs]
     named += [(f"label_freq[{a},{b})", f"freq >= {num(a)} AND freq < {num(b)}") for a, b in freqs]
     named += [("easy_examples", f"NOT ({hard})"), ("hard_examples", hard)]
@@ -193,8 +186,8 @@ freq AS (
   FROM preds GROUP BY model_name, split, label
 ),
 rows_ AS (
-  SELECT p.*, e.* EXCLUDE (id, split, label), v.disagree, f.freq
-  FROM preds p JOIN examples e ON p.id = e.id AND p.split = e.split
+  SELECT p.*, e.* EXCLUDE (id, split, label), {"e.id IS NOT NULL AS matched, " if partial else ""}v.disagree, f.freq
+  FROM preds p {"LEFT " if partial else ""}JOIN examples e ON p.id = e.id AND p.split = e.split
   JOIN votes v ON v.id = p.id AND v.split = p.split
   JOIN freq f ON f.model_name = p.model_name AND f.split = p.split AND f.label = p.label
 ),
@@ -211,6 +204,10 @@ ORDERS_SLICED = f"{ORDERS}, {EXAMPLES}, {_members(ORDER_RULES, 'disagree')}"
 DOCS_EXAMPLES = "examples AS (SELECT id, split, label, text FROM wide)"
 DOCS_SLICED = f"{DOCS}, {DOCS_EXAMPLES}, {_members(ORDER_RULES[:2], 'disagree')}"
 SBY = "slice_name, model_name, model_order, split"
+# Examples of one language only: scores of the other documents have none.
+PARTIAL = f"""{DOCS},
+examples AS (SELECT w.id, w.split, w.label, w.text FROM wide w JOIN documents d ON d.doc_id = w.id WHERE d.lang = 'en'),
+{_members(ORDER_RULES[:2], 'disagree', True)}"""
 
 ERRORS = """
 wrong AS (
@@ -233,7 +230,7 @@ toks AS (
 
 CONF_NAME = "CASE " + " ".join(
     f"WHEN confidence >= {num(a)} AND confidence < {num(b)} THEN 'confidence[{a},{b})'"
-    for a, b in zip(CFG.confidence_bins[:-1], CFG.confidence_bins[1:])
+    for a, b in zip(CONFIDENCE_BINS[:-1], CONFIDENCE_BINS[1:])
 ) + " END"
 
 HALF = f"half AS (SELECT {BY}, {COUNTS_HALF}, {BRIER} AS brier, avg({CONF}) AS avg_confidence FROM preds GROUP BY {BY})"
@@ -245,6 +242,11 @@ def _scored(label: str) -> str:
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE {label}"""
 
 
+# Ten class scores from 64 components: the sum of every tenth.
+CLASS_SCORES = "[" + ", ".join(" + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(k, 64, 10)) for k in range(10)) + "]"
+CLASSES = f"classes_ AS (SELECT vec_id, label, {CLASS_SCORES} AS s FROM embeddings)"
+
+
 ORACLE = {
     "confusion_overall": f"WITH {ORDERS} SELECT model_name, split, {COUNTS_HALF} FROM preds GROUP BY model_name, split",
     "binary_metrics": f"""WITH {ORDERS}, {HALF}
@@ -263,8 +265,7 @@ ORACLE = {
       FROM bins WHERE ece_bin IS NOT NULL""",
     "roc_auc": f"WITH {ORDERS}, {rank_cte('preds', BY)} SELECT model_name, split, {r6('roc_auc', 'roc_auc')} FROM auc",
     "average_precision": f"WITH {ORDERS}, {rank_cte('preds', BY)} SELECT model_name, split, {r6('pr_auc', 'pr_auc')} FROM auc",
-    "multiclass_metrics": f"""WITH base AS (
-        SELECT label AS y, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS y_hat FROM embeddings),
+    "multiclass_metrics": f"""WITH {CLASSES}, base AS (SELECT label AS y, list_position(s, list_max(s)) - 1 AS y_hat FROM classes_),
       classes AS (SELECT y AS c FROM base UNION SELECT y_hat FROM base),
       per AS (SELECT c, count(*) FILTER (WHERE y = c AND y_hat = c) AS hit, count(*) FILTER (WHERE y = c) AS actual,
                      count(*) FILTER (WHERE y_hat = c) AS guessed FROM classes, base GROUP BY c)
@@ -274,9 +275,8 @@ ORACLE = {
         {r6('avg(CASE WHEN actual = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / actual END)', 'recall_macro')},
         {r6('avg(CASE WHEN actual + guessed = 0 THEN 0.0 ELSE CAST(2 * hit AS DOUBLE) / (actual + guessed) END)', 'f1_macro')}
       FROM per""",
-    "class_decisions": f"""SELECT vec_id AS id, label,
-        CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS y_pred,
-        {r6('CAST(list_max(embedding[1:10]) AS DOUBLE)', 'y_score')} FROM embeddings""",
+    "class_decisions": f"""WITH {CLASSES} SELECT vec_id AS id, label, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS y_pred,
+        {r6('list_max(s)', 'y_score')} FROM classes_""",
     "expected_cost": f"""WITH {ORDERS}, {HALF}, {COSTS}
       SELECT model_name, split, use_case, {r6(COST, 'expected_cost')} FROM half, costs""",
     "cost_curve": f"""WITH {ORDERS}, {curve('preds', BY)}
@@ -330,11 +330,11 @@ ORACLE = {
       SELECT model_name, split, slice_name, use_case, n, t AS best_threshold, {r6('expected_cost', 'expected_cost')} FROM best""",
     "slice_recommendation": f"""WITH {ORDERS_SLICED}, {curve('sl', SBY)}
       SELECT use_case, split, slice_name, model_name AS recommended_model, t AS recommended_threshold,
-             {r6('expected_cost', 'expected_cost')}, n, n < {CFG.min_count} AS unstable FROM best
+             {r6('expected_cost', 'expected_cost')}, n, n < {MIN_COUNT} AS unstable FROM best
       QUALIFY row_number() OVER (PARTITION BY use_case, split, slice_name ORDER BY best.expected_cost, model_order) = 1""",
     "instability_flags": f"""WITH {DOCS_SLICED}, everything AS (SELECT * FROM sl UNION ALL SELECT '__all__', * FROM rows_),
       c AS (SELECT model_name, split, slice_name, count(*) AS n FROM everything GROUP BY ALL)
-      SELECT *, n < {CFG.min_count} AS unstable, CASE WHEN n < {CFG.min_count} THEN 'low_sample_count' ELSE 'stable' END AS reason FROM c""",
+      SELECT *, n < {MIN_COUNT} AS unstable, CASE WHEN n < {MIN_COUNT} THEN 'low_sample_count' ELSE 'stable' END AS reason FROM c""",
     "text_length_slices": f"""WITH {DOCS_SLICED}, tl AS (SELECT * FROM sl WHERE slice_name LIKE 'text_len%'), {curve('tl', SBY)}, {ece_cte('tl', SBY)},
       half AS (SELECT {SBY}, {COUNTS_HALF}, {BRIER} AS brier FROM tl GROUP BY {SBY})
       SELECT h.model_name, h.split, h.slice_name, h.n, b.t AS best_threshold,
@@ -362,7 +362,29 @@ ORACLE = {
         {r6('CASE WHEN 2 * h.tp + h.fp + h.fn = 0 THEN 0.0 ELSE CAST(2 * h.tp AS DOUBLE) / (2 * h.tp + h.fp + h.fn) END', 'f1')},
         {r6('brier', 'brier')}, {r6('ece', 'ece')}, {r6('expected_cost', 'expected_cost')}
       FROM half h JOIN best b USING (model_name, split) JOIN ece USING (model_name, split)""",
-    "confidence_accuracy": f"""WITH {ORDERS_SLICED}, bins(lo, hi) AS (VALUES {', '.join(f"({num(a)}, {num(b)})" for a, b in zip(CFG.confidence_bins[:-1], CFG.confidence_bins[1:]))})
+    "evaluate_report": f"""WITH {PARTIAL}, {curve('preds', BY)}, {HALF}, {ERRORS},
+      sl_conf AS (SELECT {SBY}, t, {COUNTS} FROM sl, grid GROUP BY {SBY}, t),
+      sl_best AS (SELECT {SBY}, min({COST}) AS expected_cost FROM sl_conf, costs WHERE use_case = 'default' GROUP BY {SBY}),
+      wanted AS (SELECT * FROM best WHERE use_case = 'default'),
+      bad AS (SELECT * FROM wrong WHERE use_case = 'default'),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY expected_cost, model_order) AS rk FROM wanted),
+      report(report, model_name, item, value) AS (
+        SELECT 'overall', model_name, 'n', CAST(n AS DOUBLE) FROM half
+        UNION ALL SELECT 'overall', model_name, 'accuracy', {r6(ACC, 'v').rsplit(' AS ', 1)[0]} FROM half
+        UNION ALL SELECT 'comparison', model_name, 'rank', CAST(rk AS DOUBLE) FROM ranked
+        UNION ALL SELECT 'comparison', model_name, 'expected_cost', {r6('expected_cost', 'v').rsplit(' AS ', 1)[0]} FROM ranked
+        UNION ALL SELECT 'recommendation', model_name, 'threshold', t FROM ranked WHERE rk = 1
+        UNION ALL SELECT 'cost_curve', model_name, 'points', CAST(count(*) AS DOUBLE) FROM curve WHERE use_case = 'default' GROUP BY model_name
+        UNION ALL SELECT 'slices', model_name, slice_name, CAST(count(*) AS DOUBLE) FROM sl GROUP BY model_name, slice_name
+        UNION ALL SELECT 'per_slice', arg_min(model_name, (expected_cost, model_order)), slice_name, {r6('min(expected_cost)', 'v').rsplit(' AS ', 1)[0]} FROM sl_best GROUP BY slice_name
+        UNION ALL SELECT 'error_status', model_name, error_type, CAST(count(*) AS DOUBLE) FROM bad GROUP BY model_name, error_type
+        UNION ALL SELECT 'all_errors', model_name, 'n', CAST(count(*) AS DOUBLE) FROM bad GROUP BY model_name
+        UNION ALL SELECT 'errors', model_name, error_type, CAST(least(count(*), {TOP_ERRORS}) AS DOUBLE) FROM bad GROUP BY model_name, error_type
+        UNION ALL SELECT 'rejected', 'model_b', 'label_missing', CAST(count(*) AS DOUBLE) FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL HAVING count(*) > 0
+        UNION ALL SELECT 'unmatched', model_name, 'n', CAST(count(*) AS DOUBLE) FROM rows_ WHERE NOT matched GROUP BY model_name
+      )
+      SELECT * FROM report""",
+    "confidence_accuracy": f"""WITH {ORDERS_SLICED}, bins(lo, hi) AS (VALUES {', '.join(f"({num(a)}, {num(b)})" for a, b in zip(CONFIDENCE_BINS[:-1], CONFIDENCE_BINS[1:]))})
       SELECT model_name, split, {r6('(lo + hi) / 2', 'confidence_midpoint')}, count(*) AS n,
              {r6('avg(CAST(CAST(y_score >= 0.5 AS INTEGER) = label AS INTEGER))', 'accuracy')}
       FROM rows_ JOIN bins ON {CONF} >= lo AND {CONF} < hi GROUP BY model_name, split, lo, hi""",
@@ -372,20 +394,20 @@ ORACLE = {
             FROM best WHERE use_case = 'default' GROUP BY split, slice_name)
       SELECT split, slice_name, CAST(row_number() OVER (PARTITION BY split ORDER BY n DESC, slice_name) AS INTEGER) AS rank, n,
              {r6('a', 'model_a')}, {r6('b', 'model_b')} FROM m
-      QUALIFY row_number() OVER (PARTITION BY split ORDER BY n DESC, slice_name) <= {CFG.heatmap_slices}""",
+      QUALIFY row_number() OVER (PARTITION BY split ORDER BY n DESC, slice_name) <= {HEATMAP_SLICES}""",
     "error_distribution": f"""WITH {ORDERS}, {curve('preds', BY)}, {ERRORS}
       SELECT model_name, split, use_case, error_type, {CONF_NAME} AS confidence_bin, count(*) AS error_count FROM wrong GROUP BY ALL""",
     "top_errors": f"""WITH {ORDERS}, {EXAMPLES}, {curve('preds', BY)}, {ERRORS},
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY model_name, split, use_case, error_type ORDER BY confidence DESC, id) AS INTEGER) AS rank FROM wrong)
       SELECT r.model_name, r.split, use_case, error_type, rank, r.id, y_score, {r6('confidence', 'confidence')}, text
-      FROM r JOIN examples e ON r.id = e.id WHERE rank <= {CFG.top_errors}""",
+      FROM r JOIN examples e ON r.id = e.id WHERE rank <= {TOP_ERRORS}""",
     "error_counts": f"""WITH {ORDERS}, {curve('preds', BY)}, {ERRORS}
       SELECT model_name, split, use_case, count(*) AS error_count, count(*) FILTER (WHERE error_type = 'FP') AS fp_count,
              count(*) FILTER (WHERE error_type = 'FN') AS fn_count FROM wrong GROUP BY ALL""",
     "cluster_status": f"""WITH {DOCS}, {curve('preds', BY)}
       SELECT model_name, split, use_case, fp + fn AS error_count, fp AS fp_count, fn AS fn_count,
-             fp + fn >= {CFG.min_errors_to_cluster} AS available,
-             CASE WHEN fp + fn < {CFG.min_errors_to_cluster} THEN 'too_few_errors' END AS reason
+             fp + fn >= {MIN_ERRORS} AS available,
+             CASE WHEN fp + fn < {MIN_ERRORS} THEN 'too_few_errors' END AS reason
       FROM best WHERE use_case = 'default'""",
     "error_terms": f"""WITH {DOCS}, {curve('preds', BY)}, {ERRORS},
       src AS (SELECT wrong.*, text FROM wrong JOIN wide ON wrong.id = wide.id WHERE use_case = 'default'), {TOKENS},

@@ -1,10 +1,12 @@
 """Slices: overlap, nulls, missing columns, difficulty, label frequency."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalspark import EvalConfig, SliceRule
-from evalspark.operators.slicing import assign_slices, disagreement
+from evalspark.plans.evaluate import measure
+from evalspark.operators.slicing import assign_slices, models_disagree
 from evalspark.plans import evaluate as P
 from evalspark.sources import predictions as pr
 from evalspark.sources.sinks import save_bucketed
@@ -81,7 +83,8 @@ def test_difficulty_is_disagreement_or_uncertainty(preds, examples):
     assert found[("a", "hard_examples")] == found[("b", "hard_examples")] == 1
     alone, _ = members(preds.where("model_name = 'a'"), examples, EvalConfig())
     assert alone[("a", "hard_examples")] == 2  # 0.5 and 0.36
-    hard = {r.id: r.difficulty_hard for r in disagreement(preds).collect()}
+    same_id = Window.partitionBy("id", "split")
+    hard = {r.id: r.hard for r in preds.withColumn("hard", models_disagree(same_id, F.col("y_score"))).collect()}
     assert hard == {0: True, 1: False, 2: False, 3: False}
 
 
@@ -168,3 +171,33 @@ def test_bucketed_tables_are_joined_without_a_shuffle(preds, examples, spark):
     plan = s.scores._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert s.scores.count() == preds.count()
+
+
+def test_scored_rows_without_an_example_stay(make, examples, spark):
+    """With and without slices the same rows are measured."""
+    preds = make([("a", i, i % 2, i / 10) for i in range(10)])
+    few = examples.where("id < 3")
+    for per_slice in (few, None):
+        m = measure(preds, per_slice, EvalConfig(), with_ranking=False)
+        assert {r.n for r in m.summary().where("slice_id = 0").collect()} == {10}
+    sliced = assign_slices(preds, few, EvalConfig())
+    names = {r.id: {sliced.slices[i].name.split("[")[0] for i in r.slice_ids} for r in sliced.scores.collect()}
+    assert all("confidence" in n for n in names.values())
+    assert {i for i, n in names.items() if "text_len" in n} == {0, 1, 2}
+
+
+def test_a_repeated_example_is_an_error(make, examples):
+    preds = make([("a", i, i % 2, i / 10) for i in range(4)])
+    with pytest.raises(Exception, match="duplicate example"):
+        assign_slices(preds, examples.unionAll(examples), EvalConfig()).scores.collect()
+
+
+def test_one_id_in_two_splits(make, examples):
+    """Examples without a split: each split has its own votes, and no score counts as scored twice."""
+    rows = [("a", 0, 1, 0.9), ("a", 1, 0, 0.1), ("b", 0, 1, 0.8), ("b", 1, 0, 0.2)]
+    other = [("a", 0, 1, 0.9), ("a", 1, 0, 0.1), ("b", 0, 1, 0.1), ("b", 1, 0, 0.2)]
+    preds = make(rows).unionAll(make(other, "val"))
+    sliced = assign_slices(preds, examples.drop("split"), EvalConfig())
+    hard = [s.name for s in sliced.slices].index("hard_examples")
+    got = {(r.model_name, r.split, r.id) for r in sliced.scores.collect() if hard in r.slice_ids}
+    assert got == {("a", "val", 0), ("b", "val", 0)}
