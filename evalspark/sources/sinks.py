@@ -24,7 +24,7 @@ def write_report(df: DataFrame, path: str, run_id: str, fmt: str = "json") -> No
         .format(fmt)
     )
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
 
 

@@ -1,5 +1,6 @@
 """The whole flow, and what must not change its results."""
 
+import json
 import random
 
 import pytest
@@ -102,6 +103,9 @@ def test_reports_are_written_per_run(spark, full, tmp_path):
         assert back.select("run_id").distinct().count() == 2
     write_reports({"comparison": full.comparison}, str(tmp_path / "csv"), full.run_id, "csv")
     assert spark.read.csv(str(tmp_path / "csv" / "comparison"), header=True).count() == full.comparison.count()
+    write_reports({"recommendation": full.recommendation}, str(tmp_path / "csv"), full.run_id, "csv")
+    (line,) = spark.read.option("escape", '"').csv(str(tmp_path / "csv" / "recommendation"), header=True).limit(1).collect()
+    assert json.loads(line.ranking)[0]["rank"] == 1
     with pytest.raises(ValueError):
         write_reports(tables, str(tmp_path), full.run_id, "xml")
 
@@ -147,5 +151,13 @@ def test_all_errors_carry_their_texts(full):
 def test_intermediate_tables_go_to_the_named_folder(spark, full):
     from pathlib import Path
 
-    folder = Path(spark.conf.get("spark.checkpoint.dir"), "evalspark")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"), "evalspark", spark.sparkContext.applicationId)
     assert any(p.name.startswith("cells-") for p in folder.iterdir())
+
+
+def test_intermediate_tables_are_in_one_folder(spark):
+    from evalspark import storage
+
+    folder = storage.shared_dir(spark)
+    written = storage.materialize(spark.range(3), "three")
+    assert written.count() == 3 and written.inputFiles()[0].removeprefix("file://").startswith(folder.removeprefix("file://"))
