@@ -140,8 +140,9 @@ def _gradient(net: ByteNet, data: np.ndarray, bounds: np.ndarray, label: np.ndar
     return [d_embed, d_filters, d_answers.sum(axis=0), d_hidden, d_out]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int, batch: int = 32, rate: float = 3e-3, seed: int = 7) -> ByteNet:
-    """Adam on the cross-entropy; both classes weigh alike, and the threshold 0.3 is put where it separates best."""
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int, good_share: float | None = None, batch: int = 32, rate: float = 3e-3, seed: int = 7) -> ByteNet:
+    """Adam on the cross-entropy with both classes weighing alike; then the threshold 0.3 is put where it errs least
+    if a share of ``good_share`` of all documents is good (by default as many as in the sample)."""
     net = ByteNet.new(seed)
     if len(texts) == 0 or labels.min() == labels.max():
         net.out[:] = 0
@@ -172,8 +173,9 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int, batch: int = 32, ra
     cuts = np.unique((logit[1:] + logit[:-1]) / 2) if len(logit) > 1 else logit
     own = np.log(score / (1 - score))
     good, bad = np.sort(own[labels == 1]), np.sort(own[labels == 0])
-    right = (len(good) - np.searchsorted(good, cuts)) + np.searchsorted(bad, cuts)
-    best = cuts[right == right.max()]
+    natural = share if good_share is None else good_share
+    right = natural * (len(good) - np.searchsorted(good, cuts)) / len(good) + (1 - natural) * np.searchsorted(bad, cuts) / len(bad)
+    best = cuts[right >= right.max() - 1e-12]
     net.out[-1] += np.float32(np.log(0.3 / 0.7) - best[len(best) // 2])
     return net
 
@@ -186,6 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: i
     """
     learn = labels.select(common.id_column("doc_id").alias("_label_id"), F.col("quality").cast("int").alias("_label"))
     learn = learn.where(F.col("_label").isin(0, 1) & ~held_out(F.col("_label_id"))).withColumn("_draw", F.xxhash64("_label_id"))
+    counts = dict(learn.groupBy("_label").count().collect())
+    good_share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = None
     for value in (0, 1):  # at most max_rows / 2 rows of ids each: a top-k, not a collection
         part = learn.where(F.col("_label") == value).orderBy("_draw", "_label_id").limit(max_rows // 2)
@@ -200,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: i
                     texts.append(data[bounds[i] : bounds[i + 1]].tobytes())
                     labels.append(label)
                     size += bounds[i + 1] - bounds[i]
-        net = fit(texts, np.array(labels, np.float64), epochs)
+        net = fit(texts, np.array(labels, np.float64), epochs, good_share)
         yield pa.RecordBatch.from_arrays([pa.array([list(map(str, x.shape)) for x in net.parts()]), pa.array([x.astype("<f4").tobytes() for x in net.parts()], pa.binary())], ["shape", "weights"])
 
     rows = sample.repartition(1).sortWithinPartitions("_draw").mapInArrow(run, "shape array<string>, weights binary").collect()
