@@ -153,16 +153,17 @@ def _scored(judged: DataFrame, model: CharModel) -> DataFrame:
 
 
 def calibrated_cut(bins: list[tuple[int, int, int]]) -> float:
-    """From (bin, accepted, rejected): the score from which accepting errs least, both kinds of error weighing alike."""
+    """From (bin, accepted, rejected): the score from which accepting errs least, both kinds of error weighing alike: the middle of the gap."""
     if not bins:
         return 0.0
     at, good, bad = (np.array(x, float) for x in zip(*sorted(bins), strict=True))
     if not good.sum() or not bad.sum():
         return 0.0
     wrong = np.r_[0, np.cumsum(good)] / good.sum() + (bad.sum() - np.r_[0, np.cumsum(bad)]) / bad.sum()
-    edges = np.r_[-LIMIT, (at + 1) / BINS * 2 * LIMIT - LIMIT]
-    best = edges[wrong <= wrong.min() + 1e-12]
-    return float(best[np.argmin(np.abs(best))])
+    width = 2 * LIMIT / BINS
+    low, high = np.r_[-LIMIT, (at + 1) * width - LIMIT], np.r_[at * width - LIMIT, LIMIT]  # no example lies in between
+    best = np.argmin(wrong + 1e-9 * (low - high))  # of equal ones the widest gap
+    return float((low[best] + high[best]) / 2)
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
