@@ -208,6 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: i
         yield pa.RecordBatch.from_arrays([pa.array([list(map(str, x.shape)) for x in net.parts()]), pa.array([x.astype("<f4").tobytes() for x in net.parts()], pa.binary())], ["shape", "weights"])
 
     rows = sample.repartition(1).sortWithinPartitions("_draw").mapInArrow(run, "shape array<string>, weights binary").collect()
+    if not rows:  # an empty table has no task
+        return fit([], np.zeros(0), epochs)
     return ByteNet(*(np.frombuffer(r.weights, "<f4").reshape(tuple(map(int, r.shape))).copy() for r in rows))
 
 

@@ -154,7 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_bytes: i
         model = fit(np.r_[0, np.cumsum(sizes)], np.concatenate([np.zeros(0, np.uint8), *data]), np.concatenate([np.zeros(0, np.int32), *toxic]))
         yield pa.RecordBatch.from_arrays([pa.array([x.tolist()]) for x in (model.words, model.weights, model.thresholds)], ["words", "weights", "thresholds"])
 
-    (row,) = sample.repartition(1).sortWithinPartitions("_draw").mapInArrow(run, "words array<bigint>, weights array<double>, thresholds array<double>").collect()
+    rows = sample.repartition(1).sortWithinPartitions("_draw").mapInArrow(run, "words array<bigint>, weights array<double>, thresholds array<double>").collect()
+    if not rows:  # an empty table has no task
+        return fit(np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    (row,) = rows
     return OrdinalModel(np.array(row.words, np.int64), np.array(row.weights), np.array(row.thresholds))
 
 
