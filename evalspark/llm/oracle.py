@@ -13,12 +13,17 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 OP2 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-pos AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d),
-grams AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM pos WHERE 2 * p + 100 <= length(h)),
+chunk AS (  -- short strings: cutting a gram out of one does not walk through a whole text
+  SELECT doc_id, length(h) // 2 AS n, c * 256 AS base, substr(h, 512 * c + 1, 612) AS h
+  FROM (SELECT *, unnest(range(0, (length(h) // 2 + 255) // 256)) AS c FROM d)
+),
+pos AS (SELECT doc_id, n, base + q AS p, substr(h, 2 * q + 1, 2) AS b, substr(h, 2 * q + 1, 100) AS g
+        FROM (SELECT *, unnest(range(0, least(256, n - base))) AS q FROM chunk)),
+grams AS (SELECT doc_id, p, g FROM pos WHERE p + 50 <= n),
 least AS (SELECT g, min(doc_id) AS first_id FROM grams GROUP BY g),
 hits AS (SELECT doc_id, p FROM grams JOIN least USING (g) WHERE doc_id > first_id),
 bytes AS (
-  SELECT pos.doc_id, pos.p, substr(pos.h, 2 * pos.p + 1, 2) AS b,
+  SELECT pos.doc_id, pos.p, pos.b,
          max(hits.p) OVER (PARTITION BY pos.doc_id ORDER BY pos.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
   FROM pos LEFT JOIN hits ON pos.doc_id = hits.doc_id AND pos.p = hits.p
 ),
@@ -33,4 +38,32 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_remove
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_cuckoo_dedup": OP1, "op2_suffix_dedup": OP2}
+OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, link.y FROM reach JOIN link ON reach.r = link.x),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN n ON vec_id = x GROUP BY vec_id
+"""
+
+OP9 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\\x{80}-\\x{10FFFF}]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w
+),
+bag AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY doc_id, g),
+size AS (SELECT doc_id, sum(n) AS n FROM bag GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS c FROM bag a JOIN bag b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y WHERE c::DOUBLE / (sx.n + sy.n - c) >= 0.8),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON reach.r = link.x),
+part AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, component_id, count(*) OVER (PARTITION BY component_id) AS group_size, doc_id = component_id AS kept FROM part
+"""
+
+ORACLE: dict[str, str] = {"op1_cuckoo_dedup": OP1, "op2_suffix_dedup": OP2, "op8_ego_join": OP8, "op9_bagminhash": OP9}
