@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.config import EvalConfig
+from evalspark.functions.scores import INF
 from evalspark.operators.metrics import CONFUSION
-from evalspark.operators.ranking import default_buckets, ranking_metrics, score_ranges
+from evalspark.operators.ranking import default_buckets, score_ranges
 
 # A metric of resampled confusion counts: arrays (tn, fp, fn, tp) -> array.
 ConfusionMetric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -70,23 +73,6 @@ def bootstrap_confusion(
     )
 
 
-def resampled_weights(scores: DataFrame, key: list[str], iters: int, seed: int) -> DataFrame:
-    """Equal scores combined, with one Poisson weight per bootstrap draw in ``weights``.
-
-    The draws of a (key, score, label) cell of c rows are Poisson(c) and seeded by the
-    cell itself, so they do not change with the partitioning or after a lost task.
-    """
-    cells = scores.groupBy(*key, "y_score", "label").agg(F.count("*").alias("n"))
-
-    @F.pandas_udf("array<bigint>")
-    def draw(tag: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(
-            [np.random.default_rng([seed, t & 0xFFFFFFFFFFFFFFFF]).poisson(c, iters) for t, c in zip(tag, n)]
-        )
-
-    return cells.withColumn("weights", draw(F.xxhash64(*key, "y_score", "label"), "n"))
-
-
 def _interval(draws: DataFrame, key: list[str], value: Column, alpha: float) -> DataFrame:
     at = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
     return draws.groupBy(*key).agg(F.percentile(value, at).alias("ci")).select(
@@ -95,25 +81,124 @@ def _interval(draws: DataFrame, key: list[str], value: Column, alpha: float) ->
     )
 
 
-def bootstrap_mean(scores: DataFrame, key: list[str], value: Column, cfg: EvalConfig) -> DataFrame:
-    """Interval of the mean of ``value``, an expression on label and score (the Brier score, say)."""
-    weighted = resampled_weights(scores, key, cfg.bootstrap_iters, cfg.seed)
+def _weights(tag: int, n: int, iters: int, seed: int) -> np.ndarray:
+    """How often the ``n`` rows of a cell are drawn in each draw: Poisson numbers seeded by the cell itself, so that
+    they do not change with the partitioning or after a lost task."""
+    return np.random.default_rng([seed, tag & 0xFFFFFFFFFFFFFFFF]).poisson(n, iters)
+
+
+def bootstrap_sums(
+    scores: DataFrame, key: list[str], sums: dict[str, Column], metric: Callable[[dict[str, Column]], Column], cfg: EvalConfig
+) -> DataFrame:
+    """Interval of any metric that is a function of sums over rows.
+
+    ``sums`` are expressions on label and score, ``metric`` combines their totals in a draw (the rows are the sum
+    ``w``). A task adds up its draws as arrays, so what is shuffled depends on the tasks and the draws, not on the rows.
+    """
+    iters, seed, names = cfg.bootstrap_iters, cfg.seed, ["w", *sums]
+    cells = scores.groupBy(*key, "y_score", "label").agg(F.count("*").alias("_n"))
+    columns = [f"_{i}" for i in range(len(names))]
+    values = [F.lit(1.0), *[c.cast("double") for c in sums.values()]]
+    tag = F.xxhash64(*key, "y_score", "label").alias("_tag")
+    rows = cells.select(*key, tag, "_n", *[v.alias(c) for c, v in zip(columns, values)])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at, tag, n, own in zip(
+                batch[key].itertuples(index=False, name=None), batch["_tag"], batch["_n"], batch[columns].to_numpy()
+            ):
+                total.setdefault(at, np.zeros((len(names), iters)))
+                total[at] += np.outer(own, _weights(tag, n, iters, seed))
+        if total:
+            yield pd.DataFrame([(*at, *map(list, own)) for at, own in total.items()], columns=[*key, *columns])
+
+    drawn = rows.mapInPandas(draw, _schema(scores, key, columns))
     draws = (
-        weighted.select(*key, value.alias("_v"), F.posexplode("weights").alias("draw", "w"))
+        drawn.select(*key, F.posexplode(F.arrays_zip(*columns)).alias("draw", "s"))
         .groupBy(*key, "draw")
-        .agg(F.sum(F.col("_v") * F.col("w")).alias("total"), F.sum("w").alias("w"))
+        .agg(*[F.sum(f"s.{c}").alias(n) for c, n in zip(columns, names)])
         .where(F.col("w") > 0)
     )
-    return _interval(draws, key, F.col("total") / F.col("w"), cfg.ci_alpha)
+    return _interval(draws, key, metric({n: F.col(n) for n in names}), cfg.ci_alpha)
 
 
-def bootstrap_ranking(scores: DataFrame, key: list[str], cfg: EvalConfig, metric: str = "roc_auc") -> DataFrame:
-    """Interval of ROC AUC (or ``pr_auc``): every draw is ranked as a group of its own."""
+def _schema(df: DataFrame, kept: list[str], arrays: list[str]) -> str:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
+    return ", ".join(fields + [f"{c} array<double>" for c in arrays])
+
+
+def bootstrap_mean(scores: DataFrame, key: list[str], value: Column, cfg: EvalConfig) -> DataFrame:
+    """Interval of the mean of ``value``, an expression on label and score (the Brier score, say)."""
+    return bootstrap_sums(scores, key, {"total": value}, lambda s: s["total"] / s["w"], cfg)
+
+
+def bootstrap_ece(scores: DataFrame, key: list[str], cfg: EvalConfig) -> DataFrame:
+    """Interval of the expected calibration error: per bin the sum of right votes minus scores."""
+    score, edges = F.col("y_score"), cfg.ece_edges
+    gap = ((score >= 0.5).cast("int") == F.col("label")).cast("int") - score
+    sums = {}
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        below = score <= high if i == cfg.ece_bins - 1 else score < high
+        sums[f"gap{i}"] = F.when((score >= low) & below, gap).otherwise(0.0)
+    return bootstrap_sums(scores, key, sums, lambda s: reduce(Column.__add__, [F.abs(s[n]) for n in sums]) / s["w"], cfg)
+
+
+def bootstrap_ranking(scores: DataFrame, key: list[str], cfg: EvalConfig) -> DataFrame:
+    """Interval of ROC AUC.
+
+    Scores are dealt by range. A range keeps the weights of all draws as arrays while it goes up its scores, and gives
+    out one row per draw: its positives, its negatives and the pairs in order inside. Pairs across ranges follow from
+    the totals. So the shuffle after it depends on the ranges and the draws only.
+    """
+    iters, seed = cfg.bootstrap_iters, cfg.seed
     edges = score_ranges(scores, default_buckets(scores))
-    weighted = resampled_weights(scores, key, cfg.bootstrap_iters, cfg.seed)
-    draws = weighted.select(
-        *key, "y_score", "label", F.array(F.lit(0)).alias("slice_ids"),
-        F.posexplode("weights").alias("draw", "weight"),
-    ).where(F.col("weight") > 0)
-    ranked = ranking_metrics(draws, [*key, "draw"], edges=edges)
-    return _interval(ranked, key, F.col(metric), cfg.ci_alpha)
+    ranges = Bucketizer(splits=[-INF, *(edges or [0.5]), INF], inputCol="y_score", outputCol="_bucket")
+    cells = ranges.transform(scores).groupBy(*key, "_bucket", "y_score", "label").agg(F.count("*").alias("_n"))
+    cells = cells.withColumn("_tag", F.xxhash64(*key, "y_score", "label"))
+    group = [*key, "_bucket"]
+    dealt = cells.repartition(*group).sortWithinPartitions(*group, "y_score")
+
+    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zero = np.zeros(iters)
+        at, last = None, None
+        pos = neg = pairs = tied_pos = tied_neg = zero  # below the score, and at it
+
+        def out() -> pd.DataFrame:
+            inside = pairs + tied_pos * (neg + tied_neg / 2)  # equal scores count half
+            return pd.DataFrame([(*at, list(pos + tied_pos), list(neg + tied_neg), list(inside))], columns=[*group, "p", "q", "inside"])
+
+        for batch in batches:
+            for own, score, label, n, tag in zip(
+                batch[group].itertuples(index=False, name=None), batch["y_score"], batch["label"], batch["_n"], batch["_tag"]
+            ):
+                if own != at:
+                    if at is not None:
+                        yield out()
+                    at, last = own, score
+                    pos = neg = pairs = tied_pos = tied_neg = zero
+                if score != last:
+                    pairs = pairs + tied_pos * (neg + tied_neg / 2)
+                    pos, neg = pos + tied_pos, neg + tied_neg
+                    tied_pos = tied_neg = zero
+                    last = score
+                weights = _weights(tag, n, iters, seed)
+                if label == 1:
+                    tied_pos = tied_pos + weights
+                else:
+                    tied_neg = tied_neg + weights
+        if at is not None:
+            yield out()
+
+    arrays = ["p", "q", "inside"]
+    drawn = dealt.mapInPandas(climb, _schema(cells, group, arrays))
+    draws = drawn.select(*group, F.posexplode(F.arrays_zip(*arrays)).alias("draw", "s")).select(*group, "draw", "s.*")
+    below = Window.partitionBy(*key, "draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    across = F.col("p") * F.coalesce(F.sum("q").over(below), F.lit(0.0))
+    total = (
+        draws.withColumn("pairs", F.col("inside") + across)
+        .groupBy(*key, "draw")
+        .agg(*[F.sum(c).alias(c) for c in ("p", "q", "pairs")])
+        .where("p > 0 and q > 0")
+    )
+    return _interval(total, key, F.col("pairs") / (F.col("p") * F.col("q")), cfg.ci_alpha)

@@ -398,7 +398,43 @@ def bootstrap_brier(spark, sf):
 
 
 def bootstrap_auc(spark, sf):
-    return I.bootstrap_ranking(W.docs_predictions(spark, sf), KEYS, CONFIG).drop("model_order")
+    return I.bootstrap_ranking(W.orders_predictions(spark, sf), KEYS, CONFIG).drop("model_order")
+
+
+def bootstrap_ece(spark, sf):
+    return I.bootstrap_ece(W.orders_predictions(spark, sf), KEYS, CONFIG).drop("model_order")
+
+
+def interval_bounds(spark, sf):
+    """Do the intervals hold the estimates?"""
+    preds = W.orders_predictions(spark, sf)
+    out = _ranked(preds).join(M.summary(_orders_cells(spark, sf)).select(*KEYS, "brier"), KEYS)
+    p, y = F.col("y_score"), F.col("label")
+    intervals = {
+        "roc_auc": I.bootstrap_ranking(preds, KEYS, CONFIG),
+        "brier": I.bootstrap_mean(preds, KEYS, (p - y) * (p - y), CONFIG),
+    }
+    for name, ci in intervals.items():
+        out = out.join(ci.select(*KEYS, "ci_low", "ci_high"), KEYS)
+        out = out.withColumn(f"{name}_inside", F.col(name).between(F.col("ci_low"), F.col("ci_high"))).drop("ci_low", "ci_high")
+    return out.select(*NAMES, "roc_auc_inside", "brier_inside")
+
+
+def interval_flags(spark, sf):
+    """Slices by count and by the width of the normal interval of their accuracy."""
+    m = _orders(spark, sf)
+    rows = m.summary().where(F.col("slice_id") > 0)
+    width = 2 * 1.96 * F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n"))
+    flagged = I.instability_flags(rows.withColumn("ci_width", width), CONFIG.min_count, CONFIG.max_ci_width)
+    return slicing.slice_columns(flagged, m.slices).select(*NAMES, "slice_name", "n", r6("ci_width"), "unstable", "reason")
+
+
+def cluster_sizes(spark, sf):
+    """Errors in clusters, summed up per model: every error is in one."""
+    found = cluster_all(_docs_errors(spark, sf), DOCS_CONFIG)
+    if found is None:
+        return spark.createDataFrame([], "model_name string, split string, error_count bigint, fp_count bigint, fn_count bigint")
+    return found.groupBy(*NAMES).agg(*[F.sum(c).alias(c) for c in ("error_count", "fp_count", "fn_count")])
 
 
 # -- sources, splits, features, models ----------------------------------------------
@@ -550,6 +586,10 @@ QUERIES = {
     "bootstrap_intervals": bootstrap_intervals,
     "bootstrap_brier": bootstrap_brier,
     "bootstrap_auc": bootstrap_auc,
+    "bootstrap_ece": bootstrap_ece,
+    "interval_bounds": interval_bounds,
+    "interval_flags": interval_flags,
+    "cluster_sizes": cluster_sizes,
     "clean_examples": clean_examples,
     "content_id": content_id,
     "csv_roundtrip": csv_roundtrip,

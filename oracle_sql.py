@@ -418,6 +418,16 @@ ORACLE = {
       QUALIFY row_number() OVER w <= 10""",
     "token_counts": f"""WITH src AS (SELECT doc_id, text FROM documents), {TOKENS}
       SELECT doc_id, CAST(n_words AS INTEGER) AS n_words, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct_tokens FROM toks""",
+    "interval_bounds": f"WITH {ORDERS} SELECT DISTINCT model_name, split, true AS roc_auc_inside, true AS brier_inside FROM preds",
+    "interval_flags": f"""WITH {ORDERS_SLICED}, h AS (
+        SELECT model_name, split, slice_name, count(*) AS n, avg(CAST(CAST(y_score >= 0.5 AS INTEGER) = label AS INTEGER)) AS a FROM sl GROUP BY ALL),
+      f AS (SELECT *, 2 * {num(1.96)} * sqrt(a * (1 - a) / n) AS w FROM h)
+      SELECT model_name, split, slice_name, n, {r6('w', 'ci_width')}, n < {MIN_COUNT} OR w > {num(0.1)} AS unstable,
+        CASE WHEN n < {MIN_COUNT} THEN 'low_sample_count' WHEN w > {num(0.1)} THEN 'wide_confidence_interval' ELSE 'stable' END AS reason FROM f""",
+    "cluster_sizes": f"""WITH {DOCS}, {curve('preds', BY)}, {ERRORS}
+      SELECT model_name, split, count(*) AS error_count, count(*) FILTER (WHERE error_type = 'FP') AS fp_count,
+             count(*) FILTER (WHERE error_type = 'FN') AS fn_count FROM wrong WHERE use_case = 'default'
+      GROUP BY model_name, split HAVING count(*) >= {MIN_ERRORS}""",
     "clean_examples": """SELECT DISTINCT user_id AS id, event_type, CAST(floor(value) AS INTEGER) AS amount,
         CAST(event_type = 'error' AS INTEGER) AS label FROM events WHERE event_type <> 'view'""",
     "csv_roundtrip": f"""WITH {EXAMPLES}

@@ -134,6 +134,8 @@ def test_score_intervals_hold_the_estimate(orders):
     point = {(r.model_name, r.split): r for r in P.overall_report(m, ["default"]).collect()}
     for r in brier.collect():
         assert r.ci_low <= point[(r.model_name, r.split)].brier <= r.ci_high
+    for r in I.bootstrap_ece(orders, KEYS, EvalConfig(bootstrap_iters=40)).collect():
+        assert 0 <= r.ci_low < r.ci_high < 1
     for r in I.bootstrap_ranking(orders, KEYS, EvalConfig(bootstrap_iters=40)).collect():
         assert r.ci_low <= point[(r.model_name, r.split)].roc_auc <= r.ci_high
 
@@ -146,3 +148,17 @@ def test_flags_name_the_first_reason(spark):
 
 def test_names_in_regular_expression_are_whole_words():
     assert re.fullmatch(r"\[\\p\{L\}\\p\{N\}_\]\{2,\}", T.WORD)
+
+
+def test_ranking_draws_are_the_weighted_auc(make):
+    """One draw, by pairs of rows."""
+    rng = np.random.default_rng(3)
+    rows = [("m", i, int(rng.random() < 0.4), float(rng.integers(0, 25)) / 25) for i in range(200)]
+    got = I.bootstrap_ranking(make(rows), KEYS, EvalConfig(bootstrap_iters=1)).first()
+    cells = make(rows).groupBy(*KEYS, "y_score", "label").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("tag", F.xxhash64(*KEYS, "y_score", "label")).collect()
+    w = [(r.label, r.y_score, int(I._weights(r.tag, r.n, 1, 42)[0])) for r in cells]
+    pos, neg = [(s, c) for y, s, c in w if y], [(s, c) for y, s, c in w if not y]
+    pairs = sum(a * b * ((s > t) + (s == t) / 2) for s, a in pos for t, b in neg)
+    want = pairs / (sum(a for _, a in pos) * sum(b for _, b in neg))
+    assert got.ci_low == pytest.approx(want) and got.ci_high == pytest.approx(want)
