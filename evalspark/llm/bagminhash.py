@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 COMPONENTS, BANDS = 96, 24  # four components a band: a pair at 0.8 is missed with probability 3e-6
+FINE = 512  # components that decide which pairs of large open buckets are worth comparing
 SHINGLE = 5
 _ONE = np.uint64(1)
 
@@ -121,7 +122,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _signed(docs: DataFrame, bands: int, m: int) -> DataFrame:
-    """(doc_id, bag, size, signature, bands); ``bag`` names equal bags; it is null for documents without words."""
+    """(doc_id, bag, bands); ``bag`` names equal bags; it is null for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in common.text_slices(batches, common.SLICE_BYTES // 2):
@@ -131,7 +132,7 @@ def _signed(docs: DataFrame, bands: int, m: int) -> DataFrame:
             first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             np.add.at(first, row, both)
             np.add.at(second, row, common.mix(both + _ONE))
-            size = np.bincount(row, weight, n).astype(np.int64)
+            size = np.bincount(row, minlength=n)
             sign = signatures(row, shingle, weight, n, m)
             names = np.stack([first, second], axis=1).tobytes()
             bag = pa.array([names[16 * i : 16 * i + 16] if size[i] else None for i in range(n)], pa.binary())
@@ -139,10 +140,23 @@ def _signed(docs: DataFrame, bands: int, m: int) -> DataFrame:
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)) * np.uint64(0x9E3779B97F4A7C15)
             for k in range(part.shape[2]):
                 key = common.mix(key ^ part[:, :, k]) * np.uint64(3)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(v.reshape(-1))) for w, v in ((m, sign), (bands, key.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), bag, pa.array(size), *lists], ["doc_id", "bag", "size", "signature", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), bag, lists], ["doc_id", "bag", "bands"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id bigint, bag binary, size bigint, signature array<int>, bands array<bigint>")
+    return common.texts(docs).mapInArrow(run, "doc_id bigint, bag binary, bands array<bigint>")
+
+
+def _fine_signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(of_rep, sign): one byte of each of ``FINE`` minhashes of the documents in ``wanted`` (rep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds, data in common.text_slices(batches, common.SLICE_BYTES // 4):
+            row, shingle, weight = bags(bounds, data)
+            sign = signatures(row, shingle, weight, rows.num_rows, FINE).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([x.tobytes() for x in sign], pa.binary())], ["of_rep", "sign"])
+
+    chosen = common.texts(docs).join(wanted.hint("shuffle_merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text")
+    return chosen.mapInArrow(run, "of_rep bigint, sign binary").groupBy("of_rep").agg(F.min("sign").alias("sign"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, group: int) -> DataFrame:
@@ -179,10 +193,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, group: int)
     return dealt.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def _agreement(left: Column, right: Column) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = COMPONENTS, bands: int = BANDS, group: int = 256) -> DataFrame:
     """One row per document: (doc_id, component_id, group_size, kept).
 
@@ -190,23 +200,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = COMPONENT
     letters, digits, ``_`` and non-ASCII characters, A-Z as a-z) is at least ``similarity``; ``component_id`` is the
     smallest doc_id that links lead to, and that document is ``kept``. Candidates share one of ``bands`` bands of the ``m`` minhashes;
     every candidate pair of different bags that is not in one class already is verified on whole texts, unless so few
-    minhashes agree (0.55) that a similarity of 0.8 has a probability below 1e-9.
+    of ``FINE`` minhashes agree that the wanted similarity has a probability below 4e-6 (4.5 standard errors).
 
     Documents with equal bags are compared once. A text of one to four words is one shingle; a null or empty text, or
     one without words, links with nothing. A null doc_id is the smallest; rows with one id count as one document when
     they are compared, and share their class if their bags are linked. Further columns are not read.
     """
-    floor = similarity - 0.25
     signed = common.written(_signed(docs, bands, m), "signatures")
     named = signed.where("bag is not null")
-    reps = named.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"))
+    reps = named.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = common.written(reps, "bags")
     keys = reps.select("rep", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
     shared = common.written(keys.join(buckets.hint("merge"), "band").select("band", "rep", "first"), "buckets")
     star = common.written(shared.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     links = common.written(_verified(docs, star, similarity, group), "near")
-    rest = common.written(_open_pairs(shared, star, reps, components(links), int(np.ceil(floor * m))), "pairs")
+    rest = common.written(_open_pairs(docs, shared, star, components(links), similarity), "pairs")
     more = _verified(docs, rest, similarity, group) if rest.head(1) else None
     parts = components(links.select("a", "b") if more is None else links.unionAll(more).select("a", "b"))
     known = reps.select(F.col("bag").alias("of_bag"), "rep").join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select("of_bag", F.coalesce("component", "rep").alias("component"))
@@ -222,22 +231,49 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = COMPONENT
     )
 
 
-def _open_pairs(shared: DataFrame, star: DataFrame, reps: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+def _open_pairs(docs: DataFrame, shared: DataFrame, star: DataFrame, parts: DataFrame, similarity: float, chunk: int = 1024) -> DataFrame:
     """(a, b), a > b, of buckets where the stars left several classes: pairs of different classes not compared yet.
 
-    In such a bucket only the members outside its smallest document's class meet the others.
+    In such a bucket only the members outside its smallest document's class meet the others: members are dealt into
+    chunks, the outsiders go by each chunk, and only pairs whose fine signatures agree enough come out.
     """
     class_of = parts.select(F.col("node"), "component")
     placed = shared.join(class_of.hint("merge"), F.col("rep") == F.col("node"), "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("part"))
     heads = class_of.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
     placed = placed.join(heads.hint("merge"), F.col("first") == F.col("head"), "left").select("band", "rep", "first", "part", F.coalesce("head_part", "first").alias("head_part"))
-    several = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("band").alias("of_band"))
-    open_rows = common.written(placed.join(several.hint("merge"), F.col("band") == F.col("of_band")).drop("of_band"), "open")
-    sign = reps.select(F.col("rep").alias("of_rep"), "signature")
-    rows = common.written(open_rows.join(sign.hint("merge"), F.col("rep") == F.col("of_rep")).drop("of_rep"), "open")
-    outside = rows.where("part <> head_part").select("band", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("signature").alias("x_sign"))
-    other = rows.where("rep <> first").select(F.col("band").alias("y_band"), F.col("rep").alias("y"), F.col("part").alias("y_part"), F.col("head_part").alias("y_head"), F.col("signature").alias("y_sign"))
-    once = (F.col("y_part") == F.col("y_head")) | (F.col("x") > F.col("y"))  # two outsiders meet once
-    meet = (F.col("band") == F.col("y_band")) & (F.col("x_part") != F.col("y_part")) & once & (_agreement(F.col("x_sign"), F.col("y_sign")) >= least)
-    found = outside.join(other.hint("merge"), meet).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    placed = common.written(placed, "placed")
+    several = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    several = several.where("lo <> hi").select(F.col("band").alias("of_band"), "chunks")
+    rows = common.written(placed.join(several.hint("merge"), F.col("band") == F.col("of_band")).drop("of_band"), "open")
+    sign = common.written(_fine_signatures(docs, rows.select("rep").distinct()), "fine")
+    rows = rows.join(sign.hint("merge"), F.col("rep") == F.col("of_rep"))
+    member = rows.where("rep <> first").select("band", F.pmod(F.hash("rep"), "chunks").alias("chunk"), F.lit(0).alias("outside"), "rep", "part", "sign")
+    outside = rows.where("part <> head_part").select("band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("outside"), "rep", "part", "sign")
+    dealt = member.unionAll(outside).repartition(common.partitions(docs.sparkSession), "band", "chunk").sortWithinPartitions("band", "chunk", "outside")
+    least = int(np.ceil((similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / FINE)) * FINE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, table = None, [], None
+        for batch in batches:
+            out: list[np.ndarray] = []
+            for band, part_of, second, rep, part, blob in zip(*(batch.column(c).to_pylist() for c in ("band", "chunk", "outside", "rep", "part", "sign")), strict=True):
+                if group != (band, part_of):
+                    group, held, table = (band, part_of), [], None
+                if not second:
+                    held.append((rep, part, blob))
+                    continue
+                if not held:
+                    continue
+                if table is None:
+                    ids, classes, blobs = zip(*held, strict=True)
+                    table = np.array(ids), np.array(classes), np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FINE)
+                agree = np.count_nonzero(table[2] == np.frombuffer(blob, np.uint8), axis=1)
+                other = table[0][(agree >= least) & (table[1] != part)]
+                if len(other):
+                    out.append(np.stack([np.maximum(other, rep), np.minimum(other, rep)], axis=1))
+            if out:
+                found = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    found = dealt.mapInArrow(run, "a bigint, b bigint").distinct()
     return found.join(star.select(F.col("a").alias("sa"), F.col("b").alias("sb")), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
