@@ -24,7 +24,7 @@ from . import common
 from .components import components
 
 COMPONENTS, BANDS = 96, 24  # four components a band: a pair at 0.8 is missed with probability 3e-6
-FINE = 512  # components that decide which pairs of large open buckets are worth comparing
+FINE = 1024  # components that decide which pairs of large open buckets are worth comparing
 SHINGLE = 5
 _ONE = np.uint64(1)
 
