@@ -199,14 +199,13 @@ def _links(blocks: DataFrame, near: DataFrame, axes: dict[int, np.ndarray], epsi
                     pa.array(np.r_[how, np.zeros(len(a), np.int64)]),
                 ], ["a", "b", "links"])
 
-    spark = blocks.sparkSession
     first = near.join(blocks.drop("low", "high"), F.col("left") == F.col("block")).drop("block")
     second = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vectors").alias("vectors2"))
-    pairs = first.join(second, F.col("right") == F.col("block2")).drop("block2").repartition(common.partitions(spark) * 2, "left", "right")
+    pairs = first.join(second, F.col("right") == F.col("block2")).drop("block2")
     return pairs.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, block: int = 8192) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
     Two vectors are linked if their cosine, in double precision, is at least ``threshold`` (which must be positive).
