@@ -201,3 +201,49 @@ def test_every_exact_repeat_of_fifty_words_in_a_table(table):
         missed, total = missed + len(again - covered), total + len(again)
         seen.update(own)
     assert missed <= 0.002 * total
+
+
+def near_places(w, others):
+    """Words of windows of 50 that are near copies (matched shingles to all of both) of a window in another text, by trying all pairs."""
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    covered = set()
+    own = cut(w)
+    for o in others:
+        theirs = cut(o)
+        if len(set(own) & set(theirs)) < 41:  # 41 of 46 and 46 are needed
+            continue
+        for i in range(len(own) - 45):
+            a = set(own[i : i + 46])
+            if any(len(a & b) >= 0.8 * (92 - len(a & b)) for b in (set(theirs[j : j + 46]) for j in range(len(theirs) - 45)) if not a.isdisjoint(b)):
+                covered |= set(range(i, i + 50))
+    return covered
+
+
+@pytest.fixture(scope="module")
+def variants(words):
+    """Variants of one passage that are below 0.8 of each other, and near copies of each variant, which only that one explains."""
+    rng = np.random.default_rng(6)
+    base = words(60, 900).split()
+    first = []
+    for k in range(24):
+        w = list(base)
+        for at in (15 + k % 5, 35 + k // 5):
+            w[at] = f"v{k}"
+        first.append(w)
+    again = []
+    for k in rng.permutation(24):
+        w = list(first[k])
+        w[25 + int(rng.integers(0, 5))] = f"c{k}"
+        again.append(w)
+    return [words(30, 910 + k).split() + w + words(30, 950 + k).split() for k, w in enumerate(first + again)]
+
+
+def test_near_copies_of_variants_against_brute_force(docs, variants):
+    got = {r.doc_id: r.spans for r in windows.repeated_passages(docs([" ".join(w) for w in variants])).collect()}
+    missed, total = 0, 0
+    for k, w in enumerate(variants):
+        want = near_places(w, variants[:k])
+        assert not want or k >= 24
+        missed += len(want - {p for s in got[k] for p in range(s.start, s.stop)} - {min(want) + e for e in range(5)} - {max(want) - e for e in range(5)}) if want else 0
+        total += len(want)
+    assert total >= 24 * 50 and missed <= 0.01 * total, (missed, total)
