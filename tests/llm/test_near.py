@@ -247,3 +247,20 @@ def test_near_copies_of_variants_against_brute_force(docs, variants):
         missed += len(want - {p for s in got[k] for p in range(s.start, s.stop)} - {min(want) + e for e in range(5)} - {max(want) - e for e in range(5)}) if want else 0
         total += len(want)
     assert total >= 24 * 50 and missed <= 0.01 * total, (missed, total)
+
+
+def test_evidence_split_between_holders_counts_together(docs, words):
+    """Every holder has the whole passage, in windows of its own: with tiny buffers each copied window names another one."""
+    passage = words(60, 970).split()
+    whole = [" ".join(words(5, 971 + k).split() + passage[k % 6 :] + words(40, 990 + k).split()) for k in range(12)]
+    table = docs(whole)
+    want = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in windows.repeated_passages(table).collect()}
+    assert all(want[k] for k in range(1, 12))
+    named = windows._meetings(windows._keys(windows.common.texts(table), 46, 10, 16, buffer=1), 16)
+    heads = {}
+    for r in windows._headed(named).collect():
+        heads.setdefault((r.doc_id, r.key), set()).add(r.other)
+    first = {}
+    for (_, key), others in heads.items():
+        first[key] = min(first.get(key, 10**9), *others)
+    assert all(first[key] in others for (_, key), others in heads.items())
