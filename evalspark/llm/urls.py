@@ -1,7 +1,7 @@
 """URL filter: block and allow rules first, for all other URLs two character language models.
 
 URLs that the rules allow or block are the accepted and rejected examples. A smoothed variable-order Markov
-model of the characters is counted over ALL of each; a URL's score is the difference of its log-likelihoods
+model of the characters is counted over ALL of each, exactly, as a table that grows with them; a URL's score is the difference of its log-likelihoods
 under the two, divided by its length, and the cut between verdicts is calibrated on the examples.
 """
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,11 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 ORDERS = 5
-#: Counters per order and model. The tables have this size however many URLs there are (40 MB together), so they can be sent around.
+#: Numbers that ``_grams`` folds into; the query's own counts are not folded.
 SLOTS = 1 << 18
+#: Bytes of URLs that are scored together: their contexts are looked up once. Each row counts as some bytes more.
+CHUNK_BYTES, _ROW_BYTES = 1 << 20, 16
+_SYMBOL = np.int64(9)  # bits: the beginning is 1, byte b is b + 2
 BINS, LIMIT = 4000, 4.0
 
 
@@ -59,9 +63,9 @@ def judged_by_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] =
 
 @dataclass
 class CharModel:
-    """Counts of character sequences, ``grams[k]`` of k + 1 characters in SLOTS hashed counters, for both classes."""
+    """Counts of character sequences, ``grams[k]`` of k + 1 characters, for both classes; slots and contexts are places in them."""
 
-    grams: np.ndarray  # (class, order, SLOTS)
+    grams: np.ndarray  # (class, order, place)
     totals: np.ndarray  # characters seen after a context, same shape; contexts of k characters at order k
     kinds: np.ndarray  # different characters seen after a context
 
@@ -73,83 +77,139 @@ class CharModel:
             total = self.totals[label, k][contexts[k]].astype(np.float64)
             kinds = self.kinds[label, k][contexts[k]].astype(np.float64)
             p = np.where(total > 0, (n + np.maximum(kinds, 1) * p) / (total + np.maximum(kinds, 1)), p)
-        return np.log(np.minimum(p, 1.0))
+        return np.log(p)
 
 
-def _grams(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, contexts), each (ORDERS, characters): hashes of the k characters before each character, and with it.
+def _exact(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, contexts), each (ORDERS, characters): the k characters before each character, and with it, as one number.
 
-    The beginning of a URL counts as a character of its own.
+    Different sequences have different numbers: a 1 before the symbols tells their length. The beginning of a URL counts
+    as a character of its own.
     """
     n = len(data)
     first = np.repeat(bounds[:-1], np.diff(bounds))
     at = np.arange(n)
-    slots, contexts = np.zeros((ORDERS, n), np.int64), np.zeros((ORDERS, n), np.int64)
-    context = np.zeros(n, np.uint64)
+    symbols = data.astype(np.int64) + 2
+    grams, contexts = np.zeros((ORDERS, n), np.int64), np.zeros((ORDERS, n), np.int64)
+    before = np.zeros(n, np.int64)
     for k in range(ORDERS):
         if k:
             back = at - k
-            symbol = np.where(back >= first, data[np.maximum(back, 0)].astype(np.uint64) + np.uint64(2), np.uint64(1))
-            context = common.mix(context * np.uint64(3) + symbol * np.uint64(0x9E3779B97F4A7C15))
-        contexts[k] = (context & np.uint64(SLOTS - 1)).astype(np.int64)
-        slots[k] = (common.mix(context + (data.astype(np.uint64) + np.uint64(1)) * common._MIX1) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return slots, contexts
+            before |= np.where(back >= first, symbols[np.maximum(back, 0)], 1) << (_SYMBOL * (k - 1))
+        contexts[k] = before | np.int64(1) << (_SYMBOL * k)
+        grams[k] = contexts[k] << _SYMBOL | symbols
+    return grams, contexts
+
+
+def _grams(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, contexts) of ``_exact`` folded into SLOTS numbers, for a small model that is held in arrays."""
+    return tuple((common.mix(x.astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64) for x in _exact(bounds, data))
 
 
-def _counts(judged: DataFrame) -> CharModel:
-    """Counts over every URL that a rule judges: a task's counters are summed before they leave it."""
+def _in_chunks(judged: DataFrame) -> DataFrame:
+    """The rows with the number of their chunk, written: it stays the same however often they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        before, task = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            bounds, _ = common.flat(batch.column("text"))
+            passed = before + bounds[:-1] + _ROW_BYTES * np.arange(len(bounds) - 1)
+            before += int(bounds[-1]) + _ROW_BYTES * (len(bounds) - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + passed // CHUNK_BYTES, pa.int64())], [*batch.schema.names, "chunk"])
+
+    kind = judged.schema["page_id"].dataType.simpleString()
+    rows = judged.select("page_id", "text", "host", "path", "rule", "by_rule")
+    return common.written(rows.mapInArrow(run, f"page_id {kind}, text string, host string, path string, rule string, by_rule string, chunk bigint"), "url-rows")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(context, next: [gram, n0, n1]) over every URL that a rule judges: a task's counts are summed before they leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in (0, 1)}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (c, k), (both, n) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(np.full(len(n), k, np.int32)), pa.array(both), pa.array(n)], ["label", "k", "gram", "n"])
-            held.clear()
+            for c, (gram, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n * (c == 0)), pa.array(n * (c == 1))], ["gram", "n0", "n1"])
+                held[c] = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        for rows, bounds, data in common.text_slices(batches):
-            label = np.repeat(rows.column("label").to_numpy(), np.diff(bounds))
-            slots, contexts = _grams(bounds, data)
+        for part, bounds, data in common.text_slices(batches, 1 << 18):
+            label = np.repeat(part.column("label").to_numpy(), np.diff(bounds))
+            grams, _ = _exact(bounds, data)
             for c in (0, 1):
-                own = label == c
-                for k in range(ORDERS):
-                    both, n = np.unique(slots[k][own] * SLOTS + contexts[k][own], return_counts=True)
-                    old = held.get((c, k), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    joined, where = np.unique(np.r_[old[0], both], return_inverse=True)
-                    held[c, k] = joined, np.bincount(where, np.r_[old[1], n], len(joined)).astype(np.int64)
+                gram, n = np.unique(grams[:, label == c], return_counts=True)
+                joined, where = np.unique(np.r_[held[c][0], gram], return_inverse=True)
+                total = np.zeros(len(joined), np.int64)
+                np.add.at(total, where, np.r_[held[c][1], n])
+                held[c] = joined, total
             if sum(len(n) for _, n in held.values()) > 1_000_000:
                 yield from out()
         yield from out()
 
-    learn = judged.where("by_rule is not null").select(F.when(F.col("by_rule") == "allow", 1).otherwise(0).alias("label"), "text")
-    grams = learn.mapInArrow(run, "label int, k int, gram bigint, n bigint").groupBy("label", "k", "gram").agg(F.sum("n").alias("n"))
-    grams = common.written(grams, "url-grams")
-    slot, context = (F.col("gram") / SLOTS).cast("bigint"), F.col("gram") % SLOTS
-    by_slot = grams.groupBy("label", "k", slot.alias("slot")).agg(F.sum("n").alias("n")).select("label", "k", "slot", "n", F.lit(0).alias("what"))
-    by_context = grams.groupBy("label", "k", context.alias("slot")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    model = CharModel(*(np.zeros((2, ORDERS, SLOTS), np.float32) for _ in range(3)))
-    for part, into in ((by_slot.select("label", "k", "slot", "n"), (model.grams,)), (by_context.select("label", "k", "slot", "total", "kinds"), (model.totals, model.kinds))):
-        found = part.toArrow()  # at most 2 x ORDERS x SLOTS rows by construction
-        at = tuple(found.column(n).to_numpy() for n in ("label", "k", "slot"))
-        for table, name in zip(into, found.column_names[3:], strict=True):
-            table[at] = found.column(name).to_numpy()
-    return model
+    learn = rows.where("by_rule is not null").select(F.when(F.col("by_rule") == "allow", 1).otherwise(0).alias("label"), "text")
+    grams = learn.mapInArrow(run, "gram bigint, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # A context has at most 256 characters after it.
+    return grams.groupBy(F.shiftright("gram", int(_SYMBOL)).alias("context")).agg(F.collect_list(F.struct("gram", "n0", "n1")).alias("next"))
 
 
-def _scored(judged: DataFrame, model: CharModel) -> DataFrame:
-    sent = judged.sparkSession.sparkContext.broadcast(model)
+def _asked(rows: DataFrame) -> DataFrame:
+    """(chunk, context): the different contexts of a chunk, so a common one is asked for once a chunk and not once a URL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for rows, bounds, data in common.text_slices(batches, 1 << 18):
+        last, held = None, np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last, np.int64)), pa.array(held)], ["chunk", "context"])
+
+        for part, bounds, data in common.text_slices(batches, 1 << 18):
+            chunk = np.repeat(part.column("chunk").to_numpy(), np.diff(bounds))
+            _, contexts = _exact(bounds, data)
+            for c in np.unique(chunk).tolist():
+                if last is not None and c != last:
+                    yield out()
+                    held = np.zeros(0, np.int64)
+                last, held = c, np.union1d(held, contexts[:, chunk == c])
+        if last is not None:
+            yield out()
+
+    return rows.select("chunk", "text").mapInArrow(run, "chunk bigint, context bigint")
+
+
+def _model(answers: pa.Table) -> tuple[CharModel, np.ndarray, np.ndarray]:
+    """(model, its grams, its contexts), both sorted; the place after the last one stands for what was not seen."""
+    found = answers.column("next").combine_chunks().flatten() if answers.num_rows else None
+    gram, n0, n1 = (np.zeros(0, np.int64) if found is None else found.field(f).to_numpy(zero_copy_only=False) for f in ("gram", "n0", "n1"))
+    gram, once = np.unique(gram, return_index=True)  # a chunk that two tasks read may have asked twice
+    context, of = np.unique(gram >> _SYMBOL, return_inverse=True)
+    counts = np.stack([np.r_[n[once], 0] for n in (n0, n1)])
+    tables = counts, *(np.stack([np.r_[np.bincount(of, x, len(context)), 0] for x in xs]) for xs in (counts[:, :-1], counts[:, :-1] > 0))
+    return CharModel(*(np.broadcast_to(t[:, None], (2, ORDERS, t.shape[1])) for t in tables)), gram, context
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, wanted)
+    return np.where(np.r_[known, -1][at] == wanted, at, len(known))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    names = ["page_id", "host", "path", "rule", "by_rule"]
+
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        model, known, seen = _model(answers)
+        scores = [np.zeros(0)]
+        part = part.combine_chunks()
+        for _, bounds, data in common.text_slices(iter(part.to_batches()), 1 << 18):
             size = np.diff(bounds)
-            slots, contexts = _grams(bounds, data)
-            gap = own.log_likelihood(slots, contexts, 1) - own.log_likelihood(slots, contexts, 0)
-            score = np.bincount(np.repeat(np.arange(len(size)), size), gap, len(size)) / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in ("page_id", "host", "path", "rule", "by_rule")), pa.array(score)], ["page_id", "host", "path", "rule", "by_rule", "score"])
+            grams, contexts = _exact(bounds, data)
+            slots, contexts = _places(known, grams), _places(seen, contexts)
+            gap = model.log_likelihood(slots, contexts, 1) - model.log_likelihood(slots, contexts, 0)
+            scores.append(np.bincount(np.repeat(np.arange(len(size)), size), gap, len(size)) / np.maximum(size, 1))
+        return part.select(names).append_column("score", pa.array(np.concatenate(scores)))
 
-    kind = judged.schema["page_id"].dataType.simpleString()
-    return judged.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, by_rule string, score double")
+    answers = _asked(rows).join(_counts(rows).hint("merge"), "context").select("chunk", "next")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    both = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(run, f"page_id {kind}, host string, path string, rule string, by_rule string, score double")
 
 
 def calibrated_cut(bins: list[tuple[int, int, int]]) -> float:
@@ -175,8 +235,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     models say nothing and scores near 0 are allowed. Repeated page ids are judged row by row; further columns
     are not looked at.
     """
-    judged = judged_by_rules(pages, rules)
-    scored = _scored(judged, _counts(judged))
+    scored = common.written(_scored(_in_chunks(judged_by_rules(pages, rules))), "url-scores")
     step = F.least(F.greatest(F.floor((F.col("score") + LIMIT) / (2 * LIMIT) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
     bins = scored.where("by_rule is not null").groupBy(step.alias("bin")).agg(F.sum(F.when(F.col("by_rule") == "allow", 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("by_rule") == "block", 1).otherwise(0)).alias("bad")).collect()
     cut = calibrated_cut([(b.bin, b.good, b.bad) for b in bins])

@@ -215,3 +215,35 @@ def test_probabilities_sum_to_one():
         text = np.frombuffer(prefix + bytes([c]), np.uint8)
         total += np.exp(model.log_likelihood(*urls._grams(np.array([0, 4]), text), 0)[3])
     assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_url_scores_are_those_of_exact_counts(spark):
+    """More different 5-grams than any fixed table of 2^18 counters holds apart, against counts in a dict."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789-_"))
+    rows = [(k, f"http://{'x.net/' if k % 2 else 'a.example.net/en/'}{''.join(rng.choice(letters, 120))}") for k in range(6000)]
+    free = [(10_000 + k, f"http://a.edu/{''.join(rng.choice(letters, 60))}") for k in range(20)] + [(10_100, "http://a.edu/en/"), (10_101, "caf\u00e9")]
+    table = spark.createDataFrame(rows + free, "page_id bigint, url string").repartition(5)
+    got = {r.page_id: r.score for r in urls.judge_urls(table).where("page_id >= 10000").collect()}
+    grams, after = [{}, {}], [{}, {}]
+    for k, url in rows:
+        s = [256] * 4 + list(url.encode())
+        for i in range(4, len(s)):
+            for o in range(urls.ORDERS):
+                g = (*s[i - o : i], s[i])
+                grams[1 - k % 2][g] = grams[1 - k % 2].get(g, 0) + 1
+    for c in (0, 1):
+        for g, n in grams[c].items():
+            total, kinds = after[c].get(g[:-1], (0, 0))
+            after[c][g[:-1]] = total + n, kinds + 1
+    assert max(len(x) for x in grams) > urls.SLOTS
+    for k, url in free:
+        s, gap = [256] * 4 + list(url.encode()), 0.0
+        for i in range(4, len(s)):
+            for c in (0, 1):
+                p = 1 / 256
+                for o in range(urls.ORDERS):
+                    total, kinds = after[c].get(tuple(s[i - o : i]), (0, 0))
+                    p = (grams[c].get((*s[i - o : i], s[i]), 0) + kinds * p) / (total + kinds) if total else p
+                gap += np.log(p) * (1 if c else -1)
+        assert got[k] == pytest.approx(gap / len(url.encode()), abs=1e-9)
