@@ -134,3 +134,11 @@ def test_train_score_save_and_load(spark, tmp_path):
     loaded = models.load_model("random_forest", str(tmp_path / "rf"))
     again = models.score(loaded, encoded, "rf", 1)
     assert first.where("model_name = 'rf'").exceptAll(again).count() == 0
+
+
+def test_registered_boosted_trees_have_every_round(spark):
+    from evalspark.operators.models import build_models
+    from evalspark.plans.queries import REGISTRY
+
+    fits = dict(build_models(REGISTRY, 1000))
+    assert fits["xgb"].getMaxIter() == 400 and fits["xgb"].getStepSize() == 0.05 and fits["xgb"].getMaxDepth() == 6
