@@ -137,10 +137,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_spans(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop and row of the words: runs of letters, digits, ``_`` and all non-ASCII characters."""
+#: Bytes of words without ``_``: letters, digits and all non-ASCII characters.
+ALPHANUMERIC = _WORD.copy()
+ALPHANUMERIC[95] = False
+LOWER = _LOWER
+
+
+def word_spans(bounds: np.ndarray, data: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and row of the words: runs of letters, digits, ``_`` and all non-ASCII characters, or of ``letters``."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _WORD[data]
+    inside[1:-1] = letters[data]
     change = np.diff(inside)
     begins, ends = change[:-1] == 1, change[1:] == -1
     cuts = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(data))]

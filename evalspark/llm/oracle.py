@@ -66,4 +66,23 @@ part AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, component_id, count(*) OVER (PARTITION BY component_id) AS group_size, doc_id = component_id AS kept FROM part
 """
 
-ORACLE: dict[str, str] = {"op1_cuckoo_dedup": OP1, "op2_suffix_dedup": OP2, "op8_ego_join": OP8, "op9_bagminhash": OP9}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+held AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+         FROM (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) GROUP BY r, term),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY term, n_docs),
+asked AS (SELECT q, any_value(item_id) AS item_id, term, count(*) AS k FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY q, term),
+scored AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term), totals GROUP BY q, r
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op1_cuckoo_dedup": OP1, "op2_suffix_dedup": OP2, "op8_ego_join": OP8, "op9_bagminhash": OP9, "op12_document_tree_search": OP12}
