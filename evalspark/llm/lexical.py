@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .wordtable import WordTable, words_of
 
 TOP = 20
 LEAF = 32  # documents that are scored together
@@ -30,57 +31,27 @@ BLOCK_BYTES = 128 << 10  # query texts that one pass over the documents answers;
 _SCALE, _BASE, _SLOPE, _STEP = 1_000_000_000, 75, 25, 12
 
 
-def terms_of(text: str) -> list[bytes]:
-    """The terms of one text as bytes, A-Z as a-z."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    start, stop, _ = common.word_spans(np.array([0, len(data)]), data, common.ALPHANUMERIC)
-    low = common.LOWER[data].tobytes()
-    return [low[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-
-
-class Terms:
-    """The terms of a block of queries; finds them among the words of documents, by hash and then byte by byte."""
+class Queries:
+    """A block of query texts: their different terms, and of every text its terms by number and how often each occurs."""
 
     def __init__(self, texts: list[str]) -> None:
-        counts = [Counter(terms_of(t)) for t in texts]
-        self.terms = sorted({t for c in counts for t in c})
-        number = {t: i for i, t in enumerate(self.terms)}
+        counts = [Counter(words_of(t)) for t in texts]
+        self.table = WordTable(sorted({t for c in counts for t in c}))
+        self.n_terms = len(self.table.words)
+        number = {t: i for i, t in enumerate(self.table.words)}
         self.queries = [(np.array([number[t] for t in c], np.int64), np.array(list(c.values()), np.int64)) for c in counts]
-        self.size = np.array([len(t) for t in self.terms], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(self.terms), np.uint8)
-        hashes = common.SpanHash(self.data)(self.start, self.start + self.size)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-
-    def find(self, low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the spans that are terms, and their terms."""
-        if not len(self.terms) or not len(start):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        own = common.SpanHash(low)(start, stop)
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == own)
-        term = self.order[at[hit]]
-        fits = self.size[term] == stop[hit] - start[hit]
-        hit, term = hit[fits], term[fits]
-        size = self.size[term]
-        same = low[common.ranges(start[hit], size)] == self.data[common.ranges(self.start[term], size)]
-        if not same.all():
-            fits = np.logical_and.reduceat(same, np.cumsum(size) - size)
-            hit, term = hit[fits], term[fits]
-        return hit, term
 
 
 def vectors(docs: DataFrame, sent) -> DataFrame:
     """(doc_id, n, terms, counts) of every document: all its terms counted, those of queries by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: Terms = sent.value
-        size = max(1, len(asked.terms))
+        asked: Queries = sent.value
+        size = max(1, asked.n_terms)
         for rows, bounds, data in common.text_slices(batches):
             start, stop, row = common.word_spans(bounds, data, common.ALPHANUMERIC)
             n = np.bincount(row, minlength=rows.num_rows)
-            at, term = asked.find(common.LOWER[data], start, stop)
+            at, term = asked.table.find(common.LOWER[data], start, stop)
             key, count = np.unique(row[at] * size + term, return_counts=True)
             cut = np.searchsorted(key, np.arange(rows.num_rows + 1) * size).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -211,12 +182,12 @@ class Best:
             self.least, self.worst_id = int(self.scores[-1]), int(self.ids[-1])
 
 
-def _searched(table: DataFrame, asked: Terms, n_docs: int, n_terms: int, frequency: dict[int, int], top: int) -> DataFrame:
+def _searched(table: DataFrame, asked: Queries, n_docs: int, n_terms: int, frequency: dict[int, int], top: int) -> DataFrame:
     """(query, doc_id, score): the best of every task."""
     by_rank = sorted(frequency, key=lambda t: (-frequency[t], t))  # terms in no document are left out
-    rank_of = np.full(len(asked.terms), -1, np.int64)
+    rank_of = np.full(asked.n_terms, -1, np.int64)
     rank_of[by_rank] = np.arange(len(by_rank))
-    weight = np.zeros(len(asked.terms), np.int64)
+    weight = np.zeros(asked.n_terms, np.int64)
     for t, df in frequency.items():
         weight[t] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
     queries = [(rank_of[t[rank_of[t] >= 0]], (weight[t] * k)[rank_of[t] >= 0]) for t, k in asked.queries]
@@ -304,11 +275,11 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, block_bytes: int =
     asked = items.select(F.col("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = []
     for texts in _blocks(asked.select("text").distinct(), block_bytes):
-        terms = Terms(texts)
-        table = common.written(vectors(docs, spark.sparkContext.broadcast(terms)), "vectors")
+        block = Queries(texts)
+        table = common.written(vectors(docs, spark.sparkContext.broadcast(block)), "vectors")
         n_docs, n_terms = table.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).head()
         frequency = {r[0]: r[1] for r in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # at most the block's terms
-        found = common.written(_top(_searched(table, terms, n_docs, n_terms, frequency, top), top), "found")
+        found = common.written(_top(_searched(table, block, n_docs, n_terms, frequency, top), top), "found")
         names = spark.createDataFrame(list(enumerate(texts)), "number int, query_text string")
         parts.append(found.join(F.broadcast(names), F.col("query") == F.col("number")).select("query_text", "rank", "doc_id", "score"))
     if not parts:

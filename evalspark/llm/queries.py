@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cuckoo, egojoin, lexical, mixing, pieces, quality, suffix, toxicity, urls, windows
+from . import alignment, bagminhash, cuckoo, egojoin, lexical, licenses, mixing, pieces, quality, suffix, toxicity, urls, windows
 from .common import read
 
 
@@ -50,14 +50,22 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))[0]
+
+
 def op12_document_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cuckoo_dedup, op2_suffix_dedup, op3_byte_cnn_quality, op4_raked_mixing, op5_ordinal_toxicity,
-        op6_viterbi_pieces, op7_url_filter, op8_ego_join, op9_bagminhash, op10_compact_windows, op12_document_tree_search,
+        op6_viterbi_pieces, op7_url_filter, op8_ego_join, op9_bagminhash, op10_compact_windows, op11_fragment_alignment, op12_document_tree_search, op13_license_automaton,
     )
 }
