@@ -15,7 +15,7 @@ def canonical(df):
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     mine, theirs = canonical(queries.QUERIES[name](spark, sf).toPandas()), canonical(con.execute(oracle.ORACLE[name]).df())
     pd.testing.assert_frame_equal(mine, theirs, check_dtype=False)
