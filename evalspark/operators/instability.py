@@ -1,27 +1,31 @@
-"""How far a slice's numbers can be trusted: counts and bootstrap intervals."""
+"""How far a slice's numbers can be trusted: counts and bootstrap intervals.
+
+Drawing rows with replacement is done by weights: a row counts as often as a Poisson number says, rows that are alike
+together. The numbers come from hashes (``functions.draws``), so an interval is the same on any partitioning, and no
+Python takes part.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.config import EvalConfig
+from evalspark.functions import draws as R
 from evalspark.functions.scores import INF
 from evalspark.operators.metrics import CONFUSION
 from evalspark.operators.ranking import default_buckets, score_ranges
 
-# A metric of resampled confusion counts: arrays (tn, fp, fn, tp) -> array.
-ConfusionMetric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+# A metric of resampled confusion counts: columns (tn, fp, fn, tp) -> column; null where it has no value.
+ConfusionMetric = Callable[[Column, Column, Column, Column], Column]
 
 
-def accuracy_metric(tn, fp, fn, tp):
-    return (tn + tp) / (tn + fp + fn + tp)
+def accuracy_metric(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
+    return F.try_divide((tn + tp).cast("double"), (tn + fp + fn + tp).cast("double"))
 
 
 def low_count_flags(df: DataFrame, min_count: int, count: str = "n") -> DataFrame:
@@ -38,39 +42,39 @@ def instability_flags(df: DataFrame, min_count: int, max_width: float, count: st
     return df.withColumn("unstable", low | F.coalesce(wide, F.lit(False))).withColumn("reason", reason)
 
 
+def _quantile(ascending: Column, at: float) -> Column:
+    """Interpolated between the two values next to the place; null for an empty array."""
+    place = (F.size(ascending) - 1) * F.lit(at)
+    low = F.greatest(F.floor(place), F.lit(0)).cast("int")
+    high = F.greatest(F.least(low + 1, F.size(ascending) - 1), F.lit(0))
+    a, b = F.get(ascending, low), F.get(ascending, high)
+    return a + (b - a) * (place - low)
+
+
 def bootstrap_confusion(
     df: DataFrame,
     key: list[str],
     cfg: EvalConfig,
     metric: ConfusionMetric = accuracy_metric,
+    names: list[Column] | None = None,
 ) -> DataFrame:
     """Add ``ci_low``, ``ci_high``, ``ci_width`` for a metric of the confusion counts.
 
-    Drawing n rows with replacement and counting them is a multinomial draw on the four
-    counts. So the rows are counted first and only the counts are resampled: the work
-    per slice does not depend on its number of rows.
+    The rows are counted first and only the four counts are resampled: the work per row of ``df`` does not depend on
+    the rows behind it. ``names`` (default: the key columns) tell the groups apart when numbers are drawn.
+    Draws in which the metric is null are left out.
     """
-    iters, alpha, seed = cfg.bootstrap_iters, cfg.ci_alpha, cfg.seed
-
-    @F.pandas_udf("struct<low: double, high: double>")
-    def interval(tag: pd.Series, tn: pd.Series, fp: pd.Series, fn: pd.Series, tp: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, *counts in zip(tag, tn, fp, fn, tp):
-            n = int(sum(counts))
-            rng = np.random.default_rng([seed, t & 0xFFFFFFFFFFFFFFFF])
-            draws = rng.multinomial(n, np.array(counts, dtype=float) / n, size=iters)
-            values = metric(*draws.T)
-            rows.append((np.quantile(values, alpha / 2), np.quantile(values, 1 - alpha / 2)))
-        return pd.DataFrame(rows, columns=["low", "high"])
-
-    ci = interval(F.xxhash64(*key), *CONFUSION)
-    return (
-        df.withColumn("_ci", ci)
-        .withColumn("ci_low", F.col("_ci.low"))
-        .withColumn("ci_high", F.col("_ci.high"))
-        .withColumn("ci_width", F.col("ci_high") - F.col("ci_low"))
-        .drop("_ci")
-    )
+    tags = [R.cell_tag(cfg.seed, *(names or [F.col(c) for c in key]), F.lit(c)) for c in CONFUSION]
+    counts = [F.col(c).cast("bigint") for c in CONFUSION]
+
+    def once(draw: Column) -> Column:
+        return metric(*[R.poisson(n, R.draw_hash(tag, draw)) for n, tag in zip(counts, tags)])
+
+    values = F.transform(F.sequence(F.lit(0), F.lit(cfg.bootstrap_iters - 1)), once)
+    drawn = df.withColumn("_drawn", F.array_sort(F.filter(values, lambda v: v.isNotNull())))
+    low, high = (_quantile(F.col("_drawn"), at) for at in (cfg.ci_alpha / 2, 1 - cfg.ci_alpha / 2))
+    bounds = drawn.withColumn("ci_low", low).withColumn("ci_high", high)
+    return bounds.withColumn("ci_width", F.col("ci_high") - F.col("ci_low")).drop("_drawn")
 
 
 def _interval(draws: DataFrame, key: list[str], value: Column, alpha: float) -> DataFrame:
@@ -81,10 +85,9 @@ def _interval(draws: DataFrame, key: list[str], value: Column, alpha: float) ->
     )
 
 
-def _weights(tag: int, n: int, iters: int, seed: int) -> np.ndarray:
-    """How often the ``n`` rows of a cell are drawn in each draw: Poisson numbers seeded by the cell itself, so that
-    they do not change with the partitioning or after a lost task."""
-    return np.random.default_rng([seed, tag & 0xFFFFFFFFFFFFFFFF]).poisson(n, iters)
+def _tag(key: list[str], cfg: EvalConfig) -> Column:
+    """Names the rows of one score and label."""
+    return R.cell_tag(cfg.seed, *[F.col(k) for k in key], F.col("label"), R.score_text(F.col("y_score")))
 
 
 def bootstrap_sums(
@@ -93,39 +96,15 @@ def bootstrap_sums(
     """Interval of any metric that is a function of sums over rows.
 
     ``sums`` are expressions on label and score, ``metric`` combines their totals in a draw (the rows are the sum
-    ``w``). A task adds up its draws as arrays, so what is shuffled depends on the tasks and the draws, not on the rows.
+    ``w``). The draws are added up in the tasks, so what is shuffled depends on the tasks and the draws, not on the rows.
     """
-    iters, seed, names = cfg.bootstrap_iters, cfg.seed, ["w", *sums]
     cells = scores.groupBy(*key, "y_score", "label").agg(F.count("*").alias("_n"))
-    columns = [f"_{i}" for i in range(len(names))]
-    values = [F.lit(1.0), *[c.cast("double") for c in sums.values()]]
-    tag = F.xxhash64(*key, "y_score", "label").alias("_tag")
-    rows = cells.select(*key, tag, "_n", *[v.alias(c) for c, v in zip(columns, values)])
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for at, tag, n, own in zip(
-                batch[key].itertuples(index=False, name=None), batch["_tag"], batch["_n"], batch[columns].to_numpy()
-            ):
-                total.setdefault(at, np.zeros((len(names), iters)))
-                total[at] += np.outer(own, _weights(tag, n, iters, seed))
-        if total:
-            yield pd.DataFrame([(*at, *map(list, own)) for at, own in total.items()], columns=[*key, *columns])
-
-    drawn = rows.mapInPandas(draw, _schema(scores, key, columns))
-    draws = (
-        drawn.select(*key, F.posexplode(F.arrays_zip(*columns)).alias("draw", "s"))
-        .groupBy(*key, "draw")
-        .agg(*[F.sum(f"s.{c}").alias(n) for c, n in zip(columns, names)])
-        .where(F.col("w") > 0)
+    rows = cells.select(*key, _tag(key, cfg).alias("_tag"), "_n", *[c.cast("double").alias(f"_{n}") for n, c in sums.items()])
+    w = F.col("weight")
+    totals = R.with_draws(rows, cfg.bootstrap_iters, "_n", "_tag").groupBy(*key, "draw").agg(
+        F.sum(w).cast("double").alias("w"), *[F.sum(w * F.col(f"_{n}")).alias(n) for n in sums]
     )
-    return _interval(draws, key, metric({n: F.col(n) for n in names}), cfg.ci_alpha)
-
-
-def _schema(df: DataFrame, kept: list[str], arrays: list[str]) -> str:
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
-    return ", ".join(fields + [f"{c} array<double>" for c in arrays])
+    return _interval(totals.where(F.col("w") > 0), key, metric({n: F.col(n) for n in ("w", *sums)}), cfg.ci_alpha)
 
 
 def bootstrap_mean(scores: DataFrame, key: list[str], value: Column, cfg: EvalConfig) -> DataFrame:
@@ -145,58 +124,30 @@ def bootstrap_ece(scores: DataFrame, key: list[str], cfg: EvalConfig) -> DataFra
 
 
 def bootstrap_ranking(scores: DataFrame, key: list[str], cfg: EvalConfig) -> DataFrame:
-    """Interval of ROC AUC.
+    """Interval of ROC AUC, equal scores counting half.
 
-    Scores are dealt by range. A range keeps the weights of all draws as arrays while it goes up its scores, and gives
-    out one row per draw: its positives, its negatives and the pairs in order inside. Pairs across ranges follow from
-    the totals. So the shuffle after it depends on the ranges and the draws only.
+    Scores are dealt by range; inside a range every draw adds up its negatives from the lowest score on and so counts its
+    pairs in order. Pairs across ranges follow from the totals of the ranges. Draws are made after the shuffle, so what
+    is shuffled is one row per score, and then one row per range and draw.
     """
-    iters, seed = cfg.bootstrap_iters, cfg.seed
     edges = score_ranges(scores, default_buckets(scores))
     ranges = Bucketizer(splits=[-INF, *(edges or [0.5]), INF], inputCol="y_score", outputCol="_bucket")
     cells = ranges.transform(scores).groupBy(*key, "_bucket", "y_score", "label").agg(F.count("*").alias("_n"))
-    cells = cells.withColumn("_tag", F.xxhash64(*key, "y_score", "label"))
     group = [*key, "_bucket"]
-    dealt = cells.repartition(*group).sortWithinPartitions(*group, "y_score")
-
-    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zero = np.zeros(iters)
-        at, last = None, None
-        pos = neg = pairs = tied_pos = tied_neg = zero  # below the score, and at it
-
-        def out() -> pd.DataFrame:
-            inside = pairs + tied_pos * (neg + tied_neg / 2)  # equal scores count half
-            return pd.DataFrame([(*at, list(pos + tied_pos), list(neg + tied_neg), list(inside))], columns=[*group, "p", "q", "inside"])
-
-        for batch in batches:
-            for own, score, label, n, tag in zip(
-                batch[group].itertuples(index=False, name=None), batch["y_score"], batch["label"], batch["_n"], batch["_tag"]
-            ):
-                if own != at:
-                    if at is not None:
-                        yield out()
-                    at, last = own, score
-                    pos = neg = pairs = tied_pos = tied_neg = zero
-                if score != last:
-                    pairs = pairs + tied_pos * (neg + tied_neg / 2)
-                    pos, neg = pos + tied_pos, neg + tied_neg
-                    tied_pos = tied_neg = zero
-                    last = score
-                weights = _weights(tag, n, iters, seed)
-                if label == 1:
-                    tied_pos = tied_pos + weights
-                else:
-                    tied_neg = tied_neg + weights
-        if at is not None:
-            yield out()
-
-    arrays = ["p", "q", "inside"]
-    drawn = dealt.mapInPandas(climb, _schema(cells, group, arrays))
-    draws = drawn.select(*group, F.posexplode(F.arrays_zip(*arrays)).alias("draw", "s")).select(*group, "draw", "s.*")
+    dealt = cells.withColumn("_tag", _tag(key, cfg)).repartition(*group)
+    drawn = R.with_draws(dealt, cfg.bootstrap_iters, "_n", "_tag")
+    positive = F.when(F.col("label") == 1, F.col("weight")).otherwise(0)
+    negative = F.when(F.col("label") == 1, 0).otherwise(F.col("weight"))
+    drawn = drawn.select(*group, "draw", "y_score", "label", positive.alias("p"), negative.alias("q"))
+    one = Window.partitionBy(*group, "draw")
+    upto = one.orderBy("y_score", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # negatives first
+    tied = Window.partitionBy(*group, "draw", "y_score").orderBy("label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = drawn.withColumn("pairs", F.col("p") * (F.sum("q").over(upto) - F.sum("q").over(tied) / 2))
+    inside = pairs.groupBy(*group, "draw").agg(*[F.sum(c).cast("double").alias(c) for c in ("p", "q", "pairs")])
     below = Window.partitionBy(*key, "draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     across = F.col("p") * F.coalesce(F.sum("q").over(below), F.lit(0.0))
     total = (
-        draws.withColumn("pairs", F.col("inside") + across)
+        inside.withColumn("pairs", F.col("pairs") + across)
         .groupBy(*key, "draw")
         .agg(*[F.sum(c).alias(c) for c in ("p", "q", "pairs")])
         .where("p > 0 and q > 0")

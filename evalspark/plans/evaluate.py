@@ -131,9 +131,9 @@ def slice_table(m: Measured, use_cases: list[str] | None = None, intervals: bool
     """
     rows = m.summary().where(F.col("slice_id") > 0)
     if intervals:
-        rows = instability_flags(
-            bootstrap_confusion(rows, GROUP, m.cfg), m.cfg.min_count, m.cfg.max_ci_width
-        )
+        slice_name = F.array(*[F.lit(s.name) for s in m.slices])[F.col("slice_id")]
+        drawn = bootstrap_confusion(rows, GROUP, m.cfg, names=[F.col("model_name"), F.col("split"), slice_name])
+        rows = instability_flags(drawn, m.cfg.min_count, m.cfg.max_ci_width)
     else:
         rows = low_count_flags(rows, m.cfg.min_count)
     if m.cfg.per_slice_thresholds:

@@ -389,35 +389,40 @@ def bootstrap_intervals(spark, sf):
     """Accuracy at 0.5 with its interval and the flag, per slice."""
     m = _orders(spark, sf)
     out = P.slice_table(P.Measured(CONFIG, m.slices, m.cells, None), ["default"], intervals=True)
-    return out.select(*NAMES, "slice_name", "n", "accuracy", "ci_low", "ci_high", "ci_width", "unstable", "reason")
+    return out.select(*NAMES, "slice_name", "n", *[r6(c) for c in ("accuracy", "ci_low", "ci_high", "ci_width")], "unstable", "reason")
 
 
-def bootstrap_brier(spark, sf):
+def _rounded_interval(ci):
+    return ci.select(*NAMES, *[r6(c) for c in ("ci_low", "ci_high", "ci_width")])
+
+
+def _brier_interval(preds):
     p, y = F.col("y_score"), F.col("label")
-    return I.bootstrap_mean(W.orders_predictions(spark, sf), KEYS, (p - y) * (p - y), CONFIG).drop("model_order")
+    return I.bootstrap_mean(preds, KEYS, (p - y) * (p - y), CONFIG)
+
+
+def bootstrap_brier(spark, sf):
+    return _rounded_interval(_brier_interval(W.orders_predictions(spark, sf)))
 
 
 def bootstrap_auc(spark, sf):
-    return I.bootstrap_ranking(W.orders_predictions(spark, sf), KEYS, CONFIG).drop("model_order")
+    return _rounded_interval(I.bootstrap_ranking(W.orders_predictions(spark, sf), KEYS, CONFIG))
 
 
 def bootstrap_ece(spark, sf):
-    return I.bootstrap_ece(W.orders_predictions(spark, sf), KEYS, CONFIG).drop("model_order")
+    return _rounded_interval(I.bootstrap_ece(W.orders_predictions(spark, sf), KEYS, CONFIG))
 
 
 def interval_bounds(spark, sf):
-    """Do the intervals hold the estimates?"""
+    """Where the estimates lie in their intervals: as a share of the width, and whether inside."""
     preds = W.orders_predictions(spark, sf)
     out = _ranked(preds).join(M.summary(_orders_cells(spark, sf)).select(*KEYS, "brier"), KEYS)
-    p, y = F.col("y_score"), F.col("label")
-    intervals = {
-        "roc_auc": I.bootstrap_ranking(preds, KEYS, CONFIG),
-        "brier": I.bootstrap_mean(preds, KEYS, (p - y) * (p - y), CONFIG),
-    }
-    for name, ci in intervals.items():
-        out = out.join(ci.select(*KEYS, "ci_low", "ci_high"), KEYS)
-        out = out.withColumn(f"{name}_inside", F.col(name).between(F.col("ci_low"), F.col("ci_high"))).drop("ci_low", "ci_high")
-    return out.select(*NAMES, "roc_auc_inside", "brier_inside")
+    columns = []
+    for name, ci in {"roc_auc": I.bootstrap_ranking(preds, KEYS, CONFIG), "brier": _brier_interval(preds)}.items():
+        out = out.join(ci.select(*KEYS, F.col("ci_low").alias(f"{name}_low"), F.col("ci_high").alias(f"{name}_high")), KEYS)
+        place = (F.col(name) - F.col(f"{name}_low")) / (F.col(f"{name}_high") - F.col(f"{name}_low"))
+        columns += [r6(place, f"{name}_place"), F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high")).alias(f"{name}_inside")]
+    return out.select(*NAMES, *columns)
 
 
 def interval_flags(spark, sf):

@@ -6,6 +6,8 @@ and slices are one query per predicate.
 
 from __future__ import annotations
 
+import math
+
 from evalspark.functions.stopwords import ENGLISH
 
 # Fixed values, written out here once more so that a wrong one on the other side shows.
@@ -152,6 +154,56 @@ auc AS (
 
 BY = "model_name, model_order, split"
 
+
+def poisson_cuts(mean: int) -> list[str]:
+    """Cuts of the distribution: the cumulated probabilities in 20 binary places, as five digits."""
+    out, k = [], 0
+    while (cut := math.floor(math.fsum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(k + 1)) * (1 << 20))) < (1 << 20) - 1:
+        out.append(f"{cut:05x}")
+        k += 1
+    return out
+
+
+def drawn_times(n: str, h: str) -> str:
+    """How often the ``n`` rows of a cell are drawn, from the 40 digits ``h``."""
+    parts = []
+    for k in range(5):
+        cuts = poisson_cuts(1 << k)
+        case = " ".join(f"WHEN substr({h}, {1 + 5 * k}, 5) < '{c}' THEN {j}" for j, c in enumerate(cuts))
+        parts.append(f"CASE WHEN ({n} & {1 << k}) <> 0 THEN CASE {case} ELSE {len(cuts)} END ELSE 0 END")
+    a, b = (f"CAST(CAST('0x' || substr({h}, {p}, 7) AS BIGINT) AS DOUBLE)" for p in (26, 33))
+    z = f"(sqrt({num(-2.0)} * ln(({a} + 1) / {num(2.0**28)})) * cos({num(2 * math.pi)} * {b} / {num(2.0**28)}))"
+    m = f"CAST({n} - ({n} & 31) AS DOUBLE)"
+    parts.append(f"CASE WHEN {n} >= 32 THEN greatest(CAST(floor({m} + sqrt({m}) * {z} + ({z} * {z} - 1) / 6 + {num(0.5)}) AS BIGINT), 0) ELSE 0 END")
+    return " + ".join(parts)
+
+
+SCORE_TEXT = f"CAST(CAST(floor(y_score) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor((y_score - floor(y_score)) * {num(2.0**62)}) AS BIGINT) AS VARCHAR)"
+# Every distinct score and label of a model and split in 200 draws.
+DRAWN = f"""
+tags AS (
+  SELECT {BY}, y_score, label, count(*) AS c, md5(concat_ws('|', '42', model_name, model_order, split, label, {SCORE_TEXT})) AS tag FROM preds GROUP BY ALL
+),
+hashes AS (SELECT tags.*, draw, sha1(tag || '|' || draw) AS h FROM tags, (SELECT unnest(range(200)) AS draw)),
+drawn AS (SELECT {BY}, draw, y_score, label, {drawn_times('c', 'h')} AS w FROM hashes)"""
+
+
+def interval_cte(name: str, values: str) -> str:
+    """CTE of the interval of ``v`` per model and split."""
+    return f"""{name} AS (
+  SELECT {BY}, quantile_cont(v, {num(0.025)}) AS ci_low, quantile_cont(v, {num(1 - 0.025)}) AS ci_high FROM ({values}) GROUP BY ALL)"""
+
+
+BRIER_DRAWS = f"SELECT {BY}, draw, sum(w * ((y_score - label) * (y_score - label))) / sum(w) AS v FROM drawn GROUP BY {BY}, draw HAVING sum(w) > 0"
+AUC_DRAWS = f"""SELECT {BY}, draw, sum(p * (upto - q / 2.0)) / (sum(p) * sum(q)) AS v FROM (
+    SELECT *, sum(q) OVER (PARTITION BY {BY}, draw ORDER BY y_score) AS upto FROM (
+      SELECT {BY}, draw, y_score, sum(w) FILTER (label = 1) AS p1, coalesce(p1, 0) AS p, coalesce(sum(w) FILTER (label = 0), 0) AS q FROM drawn GROUP BY {BY}, draw, y_score))
+  GROUP BY {BY}, draw HAVING sum(p) > 0 AND sum(q) > 0"""
+ECE_DRAWS = f"""SELECT {BY}, draw, sum(CASE WHEN ece_bin IS NOT NULL THEN abs(g) ELSE 0 END) / sum(n) AS v FROM (
+    SELECT {BY}, draw, ece_bin, sum(w) AS n, sum(w * (CAST(CAST(y_score >= 0.5 AS INTEGER) = label AS INTEGER) - y_score)) AS g
+    FROM (SELECT *, {BIN} AS ece_bin FROM drawn) GROUP BY {BY}, draw, ece_bin) GROUP BY {BY}, draw HAVING sum(n) > 0"""
+CI = f"{r6('ci_low', 'ci_low')}, {r6('ci_high', 'ci_high')}, {r6('ci_high - ci_low', 'ci_width')}"
+
 EXAMPLES = f"""
 examples AS (
   SELECT o_orderkey AS id, {SPLIT} AS split, CAST(o_orderstatus = 'F' AS INTEGER) AS label, r_name AS region,
@@ -418,7 +470,23 @@ ORACLE = {
       QUALIFY row_number() OVER w <= 10""",
     "token_counts": f"""WITH src AS (SELECT doc_id, text FROM documents), {TOKENS}
       SELECT doc_id, CAST(n_words AS INTEGER) AS n_words, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct_tokens FROM toks""",
-    "interval_bounds": f"WITH {ORDERS} SELECT DISTINCT model_name, split, true AS roc_auc_inside, true AS brier_inside FROM preds",
+    "bootstrap_brier": f"WITH {ORDERS}, {DRAWN}, {interval_cte('ci', BRIER_DRAWS)} SELECT model_name, split, {CI} FROM ci",
+    "bootstrap_auc": f"WITH {ORDERS}, {DRAWN}, {interval_cte('ci', AUC_DRAWS)} SELECT model_name, split, {CI} FROM ci",
+    "bootstrap_ece": f"WITH {ORDERS}, {DRAWN}, {interval_cte('ci', ECE_DRAWS)} SELECT model_name, split, {CI} FROM ci",
+    "bootstrap_intervals": f"""WITH {ORDERS_SLICED},
+      c AS (SELECT model_name, split, slice_name, {COUNTS_HALF} FROM sl GROUP BY ALL),
+      k AS (SELECT * FROM (SELECT model_name, split, slice_name, n, {ACC} AS accuracy, unnest(['tn', 'fp', 'fn', 'tp']) AS cell, unnest([tn, fp, fn, tp]) AS c FROM c)),
+      h AS (SELECT *, sha1(md5(concat_ws('|', '42', model_name, split, slice_name, cell)) || '|' || draw) AS h FROM k, (SELECT unnest(range(200)) AS draw)),
+      d AS (SELECT model_name, split, slice_name, n, accuracy, draw, cell, {drawn_times('c', 'h')} AS w FROM h),
+      v AS (SELECT model_name, split, slice_name, n, accuracy, draw, sum(w) FILTER (cell IN ('tn', 'tp')) / sum(w) AS v FROM d GROUP BY ALL HAVING sum(w) > 0),
+      ci AS (SELECT model_name, split, slice_name, n, accuracy, quantile_cont(v, {num(0.025)}) AS ci_low, quantile_cont(v, {num(1 - 0.025)}) AS ci_high FROM v GROUP BY ALL)
+      SELECT model_name, split, slice_name, n, {r6('accuracy', 'accuracy')}, {CI}, n < {MIN_COUNT} OR ci_high - ci_low > {num(0.1)} AS unstable,
+        CASE WHEN n < {MIN_COUNT} THEN 'low_sample_count' WHEN ci_high - ci_low > {num(0.1)} THEN 'wide_confidence_interval' ELSE 'stable' END AS reason FROM ci""",
+    "interval_bounds": f"""WITH {ORDERS}, {DRAWN}, {interval_cte('a', AUC_DRAWS)}, {interval_cte('b', BRIER_DRAWS)}, {rank_cte('preds', BY)},
+      brier AS (SELECT {BY}, {BRIER} AS brier FROM preds GROUP BY ALL)
+      SELECT model_name, split, {r6('(roc_auc - a.ci_low) / (a.ci_high - a.ci_low)', 'roc_auc_place')}, roc_auc BETWEEN a.ci_low AND a.ci_high AS roc_auc_inside,
+        {r6('(brier - b.ci_low) / (b.ci_high - b.ci_low)', 'brier_place')}, brier BETWEEN b.ci_low AND b.ci_high AS brier_inside
+      FROM auc JOIN brier USING ({BY}) JOIN a USING ({BY}) JOIN b USING ({BY})""",
     "interval_flags": f"""WITH {ORDERS_SLICED}, h AS (
         SELECT model_name, split, slice_name, count(*) AS n, avg(CAST(CAST(y_score >= 0.5 AS INTEGER) = label AS INTEGER)) AS a FROM sl GROUP BY ALL),
       f AS (SELECT *, 2 * {num(1.96)} * sqrt(a * (1 - a) / n) AS w FROM h)

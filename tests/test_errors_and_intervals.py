@@ -1,5 +1,6 @@
 """Error texts, clusters and bootstrap intervals: invariants and small brute force."""
 
+import math
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark import EvalConfig
 from evalspark.operators import errors as E
+from evalspark.functions import draws as R
 from evalspark.operators import instability as I
 from evalspark.operators import text as T
 from evalspark.plans import evaluate as P
@@ -150,15 +152,69 @@ def test_names_in_regular_expression_are_whole_words():
     assert re.fullmatch(r"\[\\p\{L\}\\p\{N\}_\]\{2,\}", T.WORD)
 
 
+def _drawn(preds, draws):
+    """(label, score, draw, weight) of the same numbers that the intervals draw."""
+    cells = preds.groupBy(*KEYS, "y_score", "label").agg(F.count("*").alias("n")).withColumn("tag", I._tag(KEYS, EvalConfig()))
+    return [(r.label, r.y_score, r.draw, r.weight) for r in R.with_draws(cells, draws, "n", "tag").collect()]
+
+
 def test_ranking_draws_are_the_weighted_auc(make):
     """One draw, by pairs of rows."""
     rng = np.random.default_rng(3)
     rows = [("m", i, int(rng.random() < 0.4), float(rng.integers(0, 25)) / 25) for i in range(200)]
     got = I.bootstrap_ranking(make(rows), KEYS, EvalConfig(bootstrap_iters=1)).first()
-    cells = make(rows).groupBy(*KEYS, "y_score", "label").agg(F.count("*").alias("n"))
-    cells = cells.withColumn("tag", F.xxhash64(*KEYS, "y_score", "label")).collect()
-    w = [(r.label, r.y_score, int(I._weights(r.tag, r.n, 1, 42)[0])) for r in cells]
-    pos, neg = [(s, c) for y, s, c in w if y], [(s, c) for y, s, c in w if not y]
+    w = _drawn(make(rows), 1)
+    pos, neg = [(s, c) for y, s, _, c in w if y], [(s, c) for y, s, _, c in w if not y]
     pairs = sum(a * b * ((s > t) + (s == t) / 2) for s, a in pos for t, b in neg)
     want = pairs / (sum(a for _, a in pos) * sum(b for _, b in neg))
     assert got.ci_low == pytest.approx(want) and got.ci_high == pytest.approx(want)
+
+
+def test_calibration_draws_are_the_weighted_error(make):
+    rng = np.random.default_rng(8)
+    rows = [("m", i, int(rng.random() < 0.4), float(rng.integers(-2, 26)) / 20) for i in range(300)]
+    got = I.bootstrap_ece(make(rows), KEYS, EvalConfig(bootstrap_iters=1)).first()
+    w, edges = _drawn(make(rows), 1), EvalConfig().ece_edges
+    total = 0.0
+    for i in range(10):
+        own = [(y, s, c) for y, s, _, c in w if edges[i] <= s < edges[i + 1] or (i == 9 and s == 1)]
+        total += abs(sum(c * (((s >= 0.5) == y) - s) for y, s, c in own))
+    assert got.ci_low == pytest.approx(total / sum(c for *_, c in w))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 31, 32, 40, 1000, 10**6])
+def test_draws_have_the_poisson_distribution(spark, n):
+    """Mean, variance and, for few rows, the share of each number, over 20,000 draws."""
+    cells = spark.range(100).select(F.lit(n).cast("bigint").alias("n"), R.cell_tag(1, F.col("id")).alias("tag"))
+    got = np.array([r.weight for r in R.with_draws(cells, 200, "n", "tag").select("weight").collect()])
+    assert abs(got.mean() - n) <= 4.5 * np.sqrt(n / 20_000)
+    assert got.var() == pytest.approx(n, rel=0.05, abs=1e-9)
+    if 0 < n < 6:
+        for k in range(2 * n):
+            p = math.exp(-n) * n**k / math.factorial(k)
+            assert abs((got == k).mean() - p) < 4.5 * np.sqrt(p * (1 - p) / 20_000)
+
+
+def test_both_forms_of_a_draw_are_the_same_number(spark):
+    cells = spark.createDataFrame([(n, f"t{n}") for n in (0, 1, 3, 17, 31, 32, 50, 12345)], "n bigint, tag string")
+    many = {(r.n, r.draw): r.weight for r in R.with_draws(cells, 20, "n", "tag").collect()}
+    one = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("weight", R.poisson(F.col("n"), R.draw_hash(F.col("tag"), F.col("draw"))))
+    assert {(r.n, r.draw): r.weight for r in one.collect()} == many
+
+
+def test_scores_are_told_apart(spark):
+    scores = [0.0, 5e-9, 0.1, 0.1 + 2**-56, 0.3, 1.0, -0.5, 1.5, 1e18, -1e18, 1e300]
+    got = spark.createDataFrame([(s,) for s in scores], "s double").select("s", R.score_text(F.col("s")).alias("t")).collect()
+    assert len({r.t for r in got if abs(r.s) < 1e15}) == len({s for s in scores if abs(s) < 1e15})
+
+
+def test_intervals_do_not_depend_on_the_partitions(orders):
+    small = orders.where("split = 'test'")
+    found = [sorted(map(tuple, I.bootstrap_ranking(small.repartition(n), KEYS, EvalConfig(bootstrap_iters=10)).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+def test_draws_without_a_value_are_left_out(spark):
+    df = spark.createDataFrame([("m", 0, "s", 1, 0, 0, 0), ("m", 0, "t", 0, 0, 0, 0)], "model_name string, model_order int, split string, tn int, fp int, fn int, tp int")
+    got = {r.split: (r.ci_low, r.ci_high) for r in I.bootstrap_confusion(df, KEYS, EvalConfig()).collect()}
+    assert got == {"s": (1.0, 1.0), "t": (None, None)}
