@@ -9,16 +9,21 @@ tasks, are composed as a tree over several shuffles.
 
 A fragment holds the ids of both sides and, for each side, the sizes of its parts in order: prefix, groups, suffix. Then
 composing is writing one behind the other and adding the last size of the first to the first size of the second.
+
+Most ranges are words: before a space that follows another character both tokenizers always begin a token. What a word's
+range gives is kept in the worker, within a bound, and composed again wherever the word recurs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,19 @@ from . import common
 #: Where the public vocabularies lie; parameters everywhere.
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 LONG_BYTES = 64 << 10  # a longer text is cut into parts that are tokenised in several tasks
-PART_BYTES, RANGE_BYTES = 32 << 10, 8 << 10  # of a part, and of the byte range of one fragment
+PART_BYTES, RANGE_BYTES = 32 << 10, 8 << 10  # of a part, and the most of the byte range of one fragment
 FAN = 8  # fragments that one step of the tree composes
-CHUNK_CELLS = 1_000_000  # (document, pair) cells that ask the corpus-wide counts together
+KNOWN_WORDS, KNOWN_TOKENS = 300_000, 3_000_000  # what a worker keeps of words
+CHUNK_CELLS = 500_000  # (document, pair) cells that ask the corpus-wide counts together
 WIDE = 4096  # groups with more links are counted by different ids instead of link by link
 _MARK = "▁"  # fixed value: the piece format's mark for a space
+#: Fixed value: the pattern by which byte-level vocabularies cut texts before merging.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose kind (letter, number, space) is the same in every version of Unicode: ASCII and Latin letters.
+_latin = re.compile(r"[\x00-\x7f\xc0-\u024f]*").fullmatch
+#: Ranges that begin with a space that follows another character than white space, and go on up to the next such space.
+#: White space at the end belongs to the last one.
+_words = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*(?:\s+\Z)?|\s+").findall
 
 
 def _byte_level() -> dict[str, int]:
@@ -65,11 +78,12 @@ class Spelled:
 class Tokenizers:
     """A byte-level BPE (A) and a SentencePiece model (B) from the contents of their files."""
 
-    _loaded: dict[tuple[bytes, bytes], Tokenizers] = {}
+    _loaded: dict[tuple, Tokenizers] = {}
 
-    def __init__(self, byte_level: bytes, pieces: bytes) -> None:
+    def __init__(self, byte_level: bytes, pieces: bytes, by_rank: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(byte_level.decode())
@@ -81,24 +95,58 @@ class Tokenizers:
             if i not in special:
                 tokens[i] = bytes(byte_of[c] for c in token)
         self.spelled_a = Spelled.of(tokens)
+        self.ranks = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks={x: i for i, x in enumerate(tokens) if x}, special_tokens={}) if by_rank else None
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         other = [self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i) for i in range(len(names))]
         self.spelled_b = Spelled.of([b"" if o else bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, (p, o) in enumerate(zip(names, other, strict=True))])
         self.n_a, self.n_b = len(tokens), len(names)
         #: whether no piece goes over the boundary before a space that follows another character
         self.splits_at_spaces = not any(_MARK in p.lstrip(_MARK) for p in names)
+        self.known = Words(self)
         self.written = [b"%d," % i for i in range(self.n_a)] + [b"%d|" % i for i in range(self.n_a)] + [b"%d," % i for i in range(self.n_b)] + [b"%d;" % i for i in range(self.n_b)]
 
     @classmethod
-    def load(cls, files: tuple[bytes, bytes]) -> Tokenizers:
+    def load(cls, files: tuple[bytes, bytes, bool]) -> Tokenizers:
         """Once in a worker process."""
-        key = (hashlib.sha256(files[0]).digest(), hashlib.sha256(files[1]).digest())
+        key = (hashlib.sha256(files[0]).digest(), hashlib.sha256(files[1]).digest(), *files[2:])
         if key not in cls._loaded:
             cls._loaded[key] = cls(*files)
         return cls._loaded[key]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        """A's ids of ``" " + text`` and B's of the text, before which B sets the space."""
+        spaced = [" " + t for t in texts]
+        latin = [self.ranks is not None and _latin(t) is not None for t in spaced]
+        rest = iter(self.a.encode_batch([t for t, x in zip(spaced, latin, strict=True) if not x], add_special_tokens=False))
+        return [self.ranks.encode_ordinary(t) if x else next(rest).ids for t, x in zip(spaced, latin, strict=True)], self.b.encode(texts, num_threads=1)
+
+    def words(self, text: str) -> list[str]:
+        """The ranges of ``" " + text``, each with the space it begins with."""
+        return _words(" " + text) if self.splits_at_spaces else [" " + text]
+
+
+def merges_by_rank(byte_level: bytes) -> bool:
+    """Whether merging any neighbours whose bytes are a token, lowest id first, is what the file's list of merges says.
+
+    So if every token's own bytes, merged by rank up to two parts, end in just the pair that the list has for it: two
+    neighbours that make a token come about in a text as they do in that token alone.
+    """
+    model = json.loads(byte_level)["model"]
+    rank, pairs = {}, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    for k, (x, y) in enumerate(pairs):
+        rank[x + y] = k
+    if len(rank) < len(pairs) or any(model["vocab"].get(z) != model["vocab"][pairs[0][0] + pairs[0][1]] + k for z, k in rank.items()):
+        return False
+    for x, y in pairs:
+        parts = list(x + y)
+        while len(parts) > 2:
+            low, at = min((rank.get(u + v, len(rank)), i) for i, (u, v) in enumerate(pairwise(parts)))
+            if low == len(rank):
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [x, y]:
+            return False
+    return True
 
 
 def _sent(spark: SparkSession, byte_level: str, pieces: str, most_bytes: int = 64 << 20):
@@ -109,7 +157,7 @@ def _sent(spark: SparkSession, byte_level: str, pieces: str, most_bytes: int = 6
             files.append(f.read(most_bytes + 1))
         if len(files[-1]) > most_bytes:
             raise ValueError(f"{path} is larger than {most_bytes} bytes")
-    return spark.sparkContext.broadcast(tuple(files))
+    return spark.sparkContext.broadcast((*files, merges_by_rank(files[0])))
 
 
 @dataclass
@@ -165,11 +213,9 @@ def compose(f: Fragments, groups: np.ndarray | None = None) -> Fragments:
     return Fragments(f.a, f.b, np.add.reduceat(f.in_a, start), np.add.reduceat(f.in_b, start), parts)
 
 
-def tokenised(t: Tokenizers, texts: list[str], offset: list[int] | None = None) -> tuple[np.ndarray, Fragments]:
-    """Which texts' tokens spell ``" " + text`` on both sides, and these texts' fragments, one each.
-
-    With ``offset`` (the first byte of each) the fragments are made by byte ranges of whole documents and composed.
-    """
+def tokenised(t: Tokenizers, texts: list[str]) -> tuple[np.ndarray, Fragments]:
+    """Which texts' tokens spell ``" " + text`` on both sides, and these texts' fragments, one each: those of byte
+    ranges of at most ``RANGE_BYTES``, composed."""
     raw = [b" " + x.encode() for x in texts]
     size = np.array([len(x) for x in raw], np.int64)
     lists = t.encode(texts)
@@ -180,7 +226,7 @@ def tokenised(t: Tokenizers, texts: list[str], offset: list[int] | None = None)
         ids.append(flat)
         counts.append(count)
         totals.append(np.bincount(np.repeat(np.arange(len(texts)), count), spelled.size[flat], len(texts)))
-    fits = (size > 1) & (totals[0] == size) & (totals[1] == size)
+    fits = (totals[0] == size) & (totals[1] == size)
     for k, spelled in enumerate((t.spelled_a, t.spelled_b)):
         kept = ids[k][np.repeat(fits, counts[k])]
         wrong = spelled.spell(kept) != np.frombuffer(b"".join(x for x, f in zip(raw, fits.tolist(), strict=True) if f), np.uint8)
@@ -188,21 +234,26 @@ def tokenised(t: Tokenizers, texts: list[str], offset: list[int] | None = None)
             where = np.flatnonzero(fits)
             fits[where[np.unique(np.searchsorted(np.cumsum(size[where]), np.flatnonzero(wrong), "right"))]] = False
     a, b = (ids[k][np.repeat(fits, counts[k])] for k in (0, 1))
-    where = np.flatnonzero(fits)
-    if not len(where):
-        return fits, Fragments.empty(0)
-    edge = np.r_[0, np.cumsum(size[where])]
-    cut, owner = edge, np.arange(len(where))
-    if offset is not None:
-        inner = [np.arange(RANGE_BYTES - offset[i] % RANGE_BYTES, size[i], RANGE_BYTES) + edge[k] for k, i in enumerate(where.tolist())]
-        cut = np.unique(np.concatenate([edge, *inner]))
-        owner = np.searchsorted(edge, cut[:-1], "right") - 1
+    return fits, _by_ranges(t, a, b, np.r_[0, np.cumsum(size[fits])]) if fits.any() else Fragments.empty(0)
+
+
+def _by_ranges(t: Tokenizers, a: np.ndarray, b: np.ndarray, edge: np.ndarray) -> Fragments:
+    """Fragments of the ranges between ``edge``, made by shorter ranges where one is longer than ``RANGE_BYTES``."""
+    long = np.flatnonzero(np.diff(edge) > RANGE_BYTES)
+    inner = [np.arange(x + RANGE_BYTES, y, RANGE_BYTES) for x, y in zip(edge[long].tolist(), edge[long + 1].tolist(), strict=True)]
+    cut = np.unique(np.concatenate([edge, *inner]))
     found = fragment(a, np.cumsum(t.spelled_a.size[a]), b, np.cumsum(t.spelled_b.size[b]), cut)
-    return fits, compose(found, owner) if offset is not None else found
+    return compose(found, np.searchsorted(edge, cut[:-1], "right") - 1) if inner else found
+
+
+def _behind(f: Fragments, g: Fragments) -> Fragments:
+    """The fragments of both, not composed."""
+    return Fragments(*(np.r_[getattr(f, c), getattr(g, c)] for c in ("a", "b", "in_a", "in_b", "parts")))
 
 
 def _cells(t: Tokenizers, f: Fragments) -> tuple[np.ndarray, ...]:
-    """Of every text: its tokens of both sides, groups, links and digest; and its cells (text, pair, links)."""
+    """Of every text: its tokens of both sides, groups and links, and its groups written out, with a mark after the last;
+    and its cells (text, pair, links)."""
     n = len(f.parts)
     last = np.cumsum(f.parts) - 1
     closed = np.ones(len(f.in_a), bool)
@@ -239,8 +290,88 @@ def _cells(t: Tokenizers, f: Fragments) -> tuple[np.ndarray, ...]:
     token[np.arange(len(f.b)) + (first_a + in_a)[at_b]] = f.b + (ends_b * t.n_b + 2 * t.n_a)
     cut = np.r_[0, np.cumsum(n_a + n_b)].tolist()
     name = t.written.__getitem__
-    sha = [hashlib.sha256(b"".join(map(name, token[x:y].tolist()))[:-1]).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-    return n_a, n_b, np.bincount(doc, minlength=n), n_links, sha, owner[new], pair[new], weight
+    spelled = [b"".join(map(name, token[x:y].tolist())) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return n_a, n_b, np.bincount(doc, minlength=n), n_links, spelled, owner[new], pair[new], weight
+
+
+class Words:
+    """What a worker knows of words: their fragments, numbers, groups written out, and cells."""
+
+    def __init__(self, t: Tokenizers) -> None:
+        self.t = t
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.number: dict[str, int] = {}
+        self.fits = np.zeros(0, bool)
+        self.numbers = np.zeros((4, 0), np.int64)  # tokens of both sides, groups, links
+        self.spelled: list[bytes] = []
+        self.pair, self.weight, self.first, self.size = none, none, none, none
+        self.fragments, self.of = Fragments.empty(0), none
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.number) > KNOWN_WORDS or len(self.fragments.a) > KNOWN_TOKENS:
+            self._forget()
+        new = list(words - self.number.keys())
+        if not new:
+            return
+        fits, f = tokenised(self.t, [w[1:] for w in new])
+        n_a, n_b, n_groups, n_links, spelled, owner, pair, weight = _cells(self.t, f)
+        where = np.flatnonzero(fits)
+        numbers, size, first = np.zeros((4, len(new)), np.int64), np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        numbers[:, where] = n_a, n_b, n_groups, n_links
+        size[where] = np.bincount(owner, minlength=len(where))
+        first[where] = np.cumsum(size[where]) - size[where] + len(self.pair)
+        of = np.full(len(new), -1)
+        of[where] = np.arange(len(where)) + len(self.fragments.parts)
+        names = iter(spelled)
+        self.spelled += [next(names) if x else b"" for x in fits.tolist()]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.fits, self.numbers = np.r_[self.fits, fits], np.concatenate([self.numbers, numbers], axis=1)
+        self.pair, self.weight, self.first, self.size, self.of = (np.r_[x, y] for x, y in ((self.pair, pair), (self.weight, weight), (self.first, first), (self.size, size), (self.of, of)))
+        self.fragments = _behind(self.fragments, f)
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers of all texts, how many each text has, and which texts have tokens."""
+        split = [self.t.words(x) if x else [] for x in texts]
+        count = np.array([len(x) for x in split], np.int64)
+        self.learn(set(chain.from_iterable(split)))
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        return word, count, (count > 0) & (_totals(~self.fits[word], count) == 0)
+
+    def summed(self, texts: list[str]) -> tuple[np.ndarray, tuple]:
+        """Which texts have tokens; and what ``_cells`` gives of these texts' composed fragments, from that of words."""
+        word, count, fits = self.read(texts)
+        word, count = word[np.repeat(fits, count)], count[fits]
+        n_a, n_b, n_groups, n_links = (_totals(x[word], count) for x in self.numbers)
+        cut = np.r_[0, np.cumsum(count)].tolist()
+        name, listed = self.spelled.__getitem__, word.tolist()
+        spelled = [b"".join(map(name, listed[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        doc = np.repeat(np.arange(len(count)), count)
+        at = common.ranges(self.first[word], self.size[word])
+        space = self.t.n_a * self.t.n_b
+        key = np.repeat(doc, self.size[word]) * space + self.pair[at]
+        weight = self.weight[at]
+        if (weight == 1).all():
+            key, weight = np.unique(key, return_counts=True)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = common.runs(key)
+            key, weight = key[new], np.add.reduceat(weight[order], new)
+        return fits, (n_a, n_b, n_groups, n_links, spelled, key // space, key % space, weight)
+
+    def fragment(self, texts: list[str]) -> tuple[np.ndarray, Fragments]:
+        """Which texts have tokens, and these texts' fragments, composed of those of their words."""
+        word, count, fits = self.read(texts)
+        if not fits.any():
+            return fits, Fragments.empty(0)
+        own = self.of[word[np.repeat(fits, count)]]
+        f = self.fragments
+        n_a, n_b = _totals(f.in_a, f.parts), _totals(f.in_b, f.parts)
+        a, b, part = (common.ranges((np.cumsum(x) - x)[own], x[own]) for x in (n_a, n_b, f.parts))
+        return fits, compose(Fragments(f.a[a], f.b[b], f.in_a[part], f.in_b[part], f.parts[own]), np.repeat(np.arange(int(fits.sum())), count[fits]))
 
 
 _CHUNK = "chunk string, doc_id array<bigint>, numbers binary, sha array<string>, pairs array<bigint>, held array<bigint>, size array<int>, cells binary"
@@ -250,17 +381,17 @@ class _Chunks:
     """Gathers the cells of documents; gives out a chunk: its documents, its different pairs and in how many of its
     documents each is linked, and the cells by pair number."""
 
-    def __init__(self, t: Tokenizers) -> None:
-        self.t, self.held, self.n = t, [], 0
+    def __init__(self) -> None:
+        self.held, self.n = [], 0
 
-    def add(self, ids: list[int], fits: np.ndarray, f: Fragments) -> Iterator[pa.RecordBatch]:
+    def add(self, ids: list[int], fits: np.ndarray, found: tuple) -> Iterator[pa.RecordBatch]:
         where = np.flatnonzero(fits)
-        n_a, n_b, n_groups, n_links, sha, owner, pair, weight = _cells(self.t, f)
+        n_a, n_b, n_groups, n_links, spelled, owner, pair, weight = found
         numbers = np.zeros((4, len(ids)), np.int64)
         numbers[:, where] = n_a, n_b, n_groups, n_links
         names = [""] * len(ids)
-        for i, x in zip(where.tolist(), sha, strict=True):
-            names[i] = x
+        for i, x in zip(where.tolist(), spelled, strict=True):
+            names[i] = hashlib.sha256(x[:-1]).hexdigest()
         self.held.append((ids, numbers, names, np.bincount(where[owner], minlength=len(ids)), pair, weight))
         self.n += len(pair)
         if self.n >= CHUNK_CELLS:
@@ -279,7 +410,7 @@ class _Chunks:
 
 
 def _parts(long: DataFrame, t: Tokenizers) -> DataFrame:
-    """Long texts in parts: (key, doc_id, part, at, text); parts begin where a space follows a letter and a letter the
+    """Long texts in parts: (key, doc_id, part, text); parts begin where a space follows a letter and a letter the
     space, where both tokenizers always begin a token, and lack that space, which tokenizing puts before a text."""
     whole = not t.splits_at_spaces
 
@@ -299,11 +430,11 @@ def _parts(long: DataFrame, t: Tokenizers) -> DataFrame:
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([rows.column(c)[i].as_py()] * n, pa.int64()) for c in ("key", "doc_id")]
-                    + [pa.array(range(n), pa.int32()), pa.array([0, *(c + 1 for c in cuts)], pa.int64()), pa.array(texts)],
-                    ["key", "doc_id", "part", "at", "text"],
+                    + [pa.array(range(n), pa.int32()), pa.array(texts)],
+                    ["key", "doc_id", "part", "text"],
                 )
 
-    return long.mapInArrow(run, "key bigint, doc_id bigint, part int, at bigint, text string")
+    return long.mapInArrow(run, "key bigint, doc_id bigint, part int, text string")
 
 
 _FRAGMENT = "key bigint, doc_id bigint, part int, fits boolean, a binary, b binary, in_a binary, in_b binary"
@@ -321,8 +452,8 @@ def _long_fragments(long: DataFrame, sent, t: Tokenizers) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers.load(sent.value)
         for rows, _, _ in common.text_slices(batches):
-            keys, ids, parts, at = (rows.column(c).to_pylist() for c in ("key", "doc_id", "part", "at"))
-            fits, f = tokenised(both, rows.column("text").to_pylist(), at)
+            keys, ids, parts = (rows.column(c).to_pylist() for c in ("key", "doc_id", "part"))
+            fits, f = both.known.fragment(rows.column("text").to_pylist())
             cut_a, cut_b, cut = (np.r_[0, np.cumsum(x)] for x in (_totals(f.in_a, f.parts), _totals(f.in_b, f.parts), f.parts))
             blobs, k = [], 0
             for ok in fits.tolist():
@@ -390,16 +521,16 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers.load(sent.value)
-        chunks = _Chunks(both)
+        chunks = _Chunks()
         for rows, _, _ in common.text_slices(batches):
-            yield from chunks.add(rows.column("doc_id").to_pylist(), *tokenised(both, rows.column("text").to_pylist()))
+            yield from chunks.add(rows.column("doc_id").to_pylist(), *both.known.summed(rows.column("text").to_pylist()))
         yield from chunks.flush()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(Tokenizers.load(sent.value))
+        both, chunks = Tokenizers.load(sent.value), _Chunks()
         for batch in batches:
             for _, doc, _, fits, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from chunks.add([doc], np.array([fits]), Fragments.unpack(*blobs) if fits else Fragments.empty(0))
+                yield from chunks.add([doc], np.array([fits]), _cells(both, Fragments.unpack(*blobs) if fits else Fragments.empty(0)))
         yield from chunks.flush()
 
     long = every.where(size > LONG_BYTES).withColumn("key", F.monotonically_increasing_id())

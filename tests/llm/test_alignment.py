@@ -1,4 +1,5 @@
 import hashlib
+import json
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,9 +9,29 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 
+FILES = tuple(open(p, "rb").read() for p in (alignment.BYTE_LEVEL, alignment.PIECES))
+
+
 @pytest.fixture(scope="module")
 def both():
-    return alignment.Tokenizers.load(tuple(open(p, "rb").read() for p in (alignment.BYTE_LEVEL, alignment.PIECES)))
+    return alignment.Tokenizers.load((*FILES, False))
+
+
+def test_merging_by_rank_is_proven_before_it_is_used():
+    assert alignment.merges_by_rank(FILES[0])
+    model = json.loads(FILES[0])
+    merges = model["model"]["merges"]
+    k = next(i for i, m in enumerate(merges) if len((m.split(" ") if isinstance(m, str) else m)[0]) > 2)
+    x, y = merges[k].split(" ") if isinstance(merges[k], str) else merges[k]
+    merges[k] = [x[0], x[1:] + y] if not isinstance(merges[k], str) else f"{x[0]} {x[1:]}{y}"
+    assert not alignment.merges_by_rank(json.dumps(model).encode())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" 's\n\t.,;éßñŁ01aethNW"), st.characters(max_codepoint=0x24F)), min_size=1, max_size=30))
+def test_both_ways_to_merge_give_the_same_ids(text):
+    slow, fast = (alignment.Tokenizers.load((*FILES, x)) for x in (False, True))
+    assert slow.encode([text]) == fast.encode([text])
 
 
 def groups(t, text):
@@ -95,6 +116,31 @@ def test_wide_groups_count_every_link(both, monkeypatch):
         assert np.array_equal(x, y)
 
 
+def test_words_compose_to_what_whole_texts_give(both, table, monkeypatch):
+    """Also with a bound on known words that is passed all the time, and with fragments of short byte ranges."""
+    monkeypatch.setattr(alignment, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(alignment, "RANGE_BYTES", 5)
+    texts = [t for t in TEXTS if t] + ["a;\r\nb \n c \t d\n\n  e \u3000f\x1c g;\r", "ab " * 40 + "\n", "\n;\r x", "ab▁ cd"]
+    texts += [r.text for r in table("documents").orderBy("doc_id").limit(40).collect() if r.text]
+    known = alignment.Words(both)
+    fits, f = alignment.tokenised(both, texts)
+    want = alignment._cells(both, f)
+    for k in range(0, len(texts), 9):
+        own, found = known.summed(texts[k : k + 9])
+        assert own.tolist() == fits[k : k + 9].tolist()
+        at = np.flatnonzero(fits)
+        a, b = np.searchsorted(at, k), np.searchsorted(at, k + 9)
+        for i in range(4):
+            assert np.array_equal(found[i], want[i][a:b])
+        assert found[4] == want[4][a:b]
+        inside = (want[5] >= a) & (want[5] < b)
+        for x, y in zip(found[5:], (want[5][inside] - a, want[6][inside], want[7][inside]), strict=True):
+            assert np.array_equal(x, y)
+    monkeypatch.setattr(alignment, "RANGE_BYTES", 1 << 20)
+    own, g = known.fragment(texts)
+    assert np.array_equal(own, fits) and all(np.array_equal(getattr(f, c), getattr(g, c)) for c in ("a", "b", "in_a", "in_b", "parts"))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.data())
 def test_fragments_compose_associatively_to_the_whole(data):
