@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,9 @@ from evalspark.storage import materialize
 
 # Fixed value: a word is two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
-# Errors are dealt by id into so many tasks before a fit, so that fits don't depend on how the input was dealt.
-FIT_PARTS = 32
+# Errors are dealt by id into tasks of about so many before a fit: how many tasks depends on the errors alone, so fits
+# don't depend on how the input was dealt.
+FIT_ROWS = 100_000
 
 
 def words(text: Column, stop_words: list[str] | None = None) -> Column:
@@ -44,6 +46,24 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.concat(single, pairs)
 
 
+def tfidf_rows(docs: DataFrame, group: list[str], max_terms: int) -> DataFrame:
+    """The TF-IDF matrices of all groups at once, as rows (group, id, term, count, weight).
+
+    ``docs`` has the group columns, ``id`` (once in a group) and ``tokens``. A group's vocabulary are its ``max_terms``
+    most frequent terms, of equally frequent ones the first by name; weights as in ``tfidf``. Everything is a sum by
+    (group, term) or (group, id): counts combine in the tasks, and no vocabulary passes through the driver.
+    """
+    sizes = docs.groupBy(*group).agg(F.count("*").alias("_n"))
+    cells = docs.select(*group, "id", F.explode("tokens").alias("term")).groupBy(*group, "id", "term").agg(F.count("*").alias("count"))
+    terms = cells.groupBy(*group, "term").agg(F.sum("count").alias("_total"), F.count("*").alias("_df"))
+    rank = Window.partitionBy(*group).orderBy(F.col("_total").desc(), "term")
+    kept = terms.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= max_terms).join(sizes, group)
+    idf = F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1
+    rows = cells.join(kept.select(*group, "term", idf.alias("_idf")), [*group, "term"]).withColumn("_raw", F.col("count") * F.col("_idf"))
+    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*group, "id")))
+    return rows.select(*group, "id", "term", "count", (F.col("_raw") / length).alias("weight"))
+
+
 def vocabulary(docs: DataFrame, max_terms: int) -> list[str]:
     """The most frequent terms of ``tokens``; of equally frequent ones the first by name."""
     counts = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
@@ -61,10 +81,30 @@ def tfidf(docs: DataFrame, max_terms: int) -> tuple[DataFrame, list[str]]:
     return unit.drop("counts", "weights", "tokens"), terms
 
 
-def latent_basis(docs: DataFrame, dimensions: int) -> np.ndarray:
-    """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions)."""
+def latent_space(docs: DataFrame, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions), and the singular values."""
     rows = MLUtils.convertVectorColumnsFromML(docs.select("tfidf"), "tfidf")
-    return RowMatrix(rows).computeSVD(dimensions).V.toArray()
+    found = RowMatrix(rows).computeSVD(dimensions)
+    return found.V.toArray(), found.s.toArray()
+
+
+def latent_basis(docs: DataFrame, dimensions: int) -> np.ndarray:
+    return latent_space(docs, dimensions)[0]
+
+
+def energy(latent: DataFrame) -> DataFrame:
+    """What the latent dimensions keep, in one pass: (n, total, captured, per_dimension).
+
+    ``total`` is the sum of squares of the TF-IDF rows, ``per_dimension`` that of each latent feature: for singular
+    vectors these are the squared singular values, so ``captured`` (their sum) plus the squared distance of the rows
+    from the latent space is the total.
+    """
+    square = F.aggregate(F.unwrap_udt("tfidf")["values"], F.lit(0.0), lambda a, x: a + x * x)
+    wide = latent.select(square.alias("square"), vector_to_array("features").alias("f"))
+    each = wide.select("square", F.transform("f", lambda x: x * x).alias("f"))
+    total = each.agg(F.count("*").alias("n"), F.sum("square").alias("total"), Summarizer.sum(array_to_vector("f")).alias("_sums"))
+    sums = vector_to_array("_sums")
+    return total.select("n", "total", F.aggregate(sums, F.lit(0.0), lambda a, x: a + x).alias("captured"), sums.alias("per_dimension"))
 
 
 def project(docs: DataFrame, basis: np.ndarray) -> DataFrame:
@@ -84,23 +124,52 @@ def cluster_count(n: int, most: int) -> int:
     return min(most, max(2, int(math.sqrt(n / 2))))
 
 
-def cluster_texts(errors: DataFrame, n: int, cfg: EvalConfig, stop_words: list[str] | None = None) -> tuple[DataFrame, list[str]] | None:
-    """Cluster one model's ``n`` errors by their texts; adds ``cluster`` and ``tfidf``.
+@dataclass
+class Clustering:
+    """Errors of one model with their cluster, TF-IDF vector and latent features; the terms, centres and the latent
+    space (basis, singular values) behind them, all bounded by the settings."""
+
+    rows: DataFrame
+    terms: list[str]
+    centers: list[np.ndarray]
+    basis: np.ndarray
+    values: np.ndarray
+
+
+def cluster_texts(errors: DataFrame, n: int, cfg: EvalConfig, stop_words: list[str] | None = None) -> Clustering | None:
+    """Cluster one model's ``n`` errors by their texts; the rows get ``cluster``, ``tfidf`` and ``features``.
 
     The rows are written once as tokens, once as TF-IDF vectors and once as latent
     features: the iterative fits then read small tables instead of parsing texts on every
     pass. None if no text holds a word.
     """
-    dealt = errors.withColumn("tokens", tokens(F.col("text"), stop_words)).repartition(FIT_PARTS, "id").sortWithinPartitions("id")
+    dealt = errors.withColumn("tokens", tokens(F.col("text"), stop_words)).repartition(math.ceil(n / FIT_ROWS), "id").sortWithinPartitions("id")
     docs = materialize(dealt, "error-tokens")
     if docs.where(F.size("tokens") > 0).isEmpty():
         return None
     vectors, terms = tfidf(docs, cfg.max_terms)
     vectors = materialize(vectors, "error-tfidf")
     dimensions = min(cfg.max_dimensions, len(terms) - 1) if len(terms) > 1 else 1
-    latent = materialize(project(vectors, latent_basis(vectors, dimensions)), "error-latent")
+    basis, values = latent_space(vectors, dimensions)
+    latent = materialize(project(vectors, basis), "error-latent")
     model = KMeans(k=cluster_count(n, cfg.max_clusters), seed=cfg.seed, featuresCol="features", predictionCol="cluster").fit(latent)
-    return model.transform(latent), terms
+    return Clustering(model.transform(latent), terms, model.clusterCenters(), basis, values)
+
+
+def misplaced(found: Clustering) -> DataFrame:
+    """(cluster, n, n_misplaced): how many rows have a centre nearer than that of their cluster (beyond rounding).
+
+    The distances are column expressions over literal centres: one pass, apart from the code that made the clusters.
+    """
+    x = vector_to_array("features")
+
+    def distance(center: np.ndarray) -> Column:
+        at = F.array(*[F.lit(float(v)) for v in center])
+        return F.aggregate(F.zip_with("x", at, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+    rows = found.rows.select("cluster", x.alias("x")).select("cluster", F.array(*[distance(c) for c in found.centers]).alias("d"))
+    wrong = F.col("d")[F.col("cluster")] > F.array_min("d") + 1e-9
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(wrong).alias("n_misplaced"))
 
 
 def summarize_clusters(clustered: DataFrame, terms: list[str], cfg: EvalConfig) -> DataFrame:

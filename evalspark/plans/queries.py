@@ -25,6 +25,7 @@ from evalspark.operators.ranking import ranking_metrics
 from evalspark.operators.splits import exact_split, hash_split
 from evalspark.plans import charts
 from evalspark.plans import evaluate as P
+from evalspark.plans.error_clusters import cluster_checks as checks_of_clusters
 from evalspark.plans.error_clusters import error_clusters as cluster_all
 from evalspark.sources import examples as ex
 from evalspark.sources import predictions as pr
@@ -434,12 +435,21 @@ def interval_flags(spark, sf):
     return slicing.slice_columns(flagged, m.slices).select(*NAMES, "slice_name", "n", r6("ci_width"), "unstable", "reason")
 
 
-def cluster_sizes(spark, sf):
-    """Errors in clusters, summed up per model: every error is in one."""
-    found = cluster_all(_docs_errors(spark, sf), DOCS_CONFIG)
+def error_tfidf(spark, sf):
+    """The TF-IDF matrix of every model's errors as rows."""
+    errors = _docs_errors(spark, sf).withColumn("tokens", text.tokens(F.col("text")))
+    enough = E.cluster_status(_docs_best(spark, sf), True, DOCS_CONFIG.min_errors_to_cluster).where("available").select(*NAMES, "use_case")
+    rows = text.tfidf_rows(errors.join(enough, [*NAMES, "use_case"]), [*NAMES, "use_case"], DOCS_CONFIG.max_terms)
+    return rows.select(*NAMES, "use_case", "id", "term", "count", r6("weight"))
+
+
+def error_cluster_checks(spark, sf):
+    """Are all errors with their nearest centre, the leading terms those of plain sums, and the latent space one?"""
+    found = checks_of_clusters(_docs_errors(spark, sf), DOCS_CONFIG)
     if found is None:
-        return spark.createDataFrame([], "model_name string, split string, error_count bigint, fp_count bigint, fn_count bigint")
-    return found.groupBy(*NAMES).agg(*[F.sum(c).alias(c) for c in ("error_count", "fp_count", "fn_count")])
+        return spark.createDataFrame([], "model_name string, split string, n bigint, n_misplaced bigint, n_other_terms bigint, n_clusters int, total double, sound boolean")
+    sound = (F.col("skew") < 1e-6) & (F.col("off") < 1e-6) & (F.col("captured") <= F.col("total") + 1e-6)
+    return found.select(*NAMES, "n", "n_misplaced", "n_other_terms", "n_clusters", r6("total"), sound.alias("sound"))
 
 
 # -- sources, splits, features, models ----------------------------------------------
@@ -594,7 +604,8 @@ QUERIES = {
     "bootstrap_ece": bootstrap_ece,
     "interval_bounds": interval_bounds,
     "interval_flags": interval_flags,
-    "cluster_sizes": cluster_sizes,
+    "error_tfidf": error_tfidf,
+    "error_cluster_checks": error_cluster_checks,
     "clean_examples": clean_examples,
     "content_id": content_id,
     "csv_roundtrip": csv_roundtrip,

@@ -17,6 +17,7 @@ TEXT_BINS = [0, 30, 80, 160, 1000000]
 CONFIDENCE_BINS = [0.0, 0.5, 0.7, 0.85, 1.01]
 FREQUENCY_BINS = [0.0, 0.01, 0.05, 0.2, 1.01]
 MIN_COUNT, HEATMAP_SLICES, TOP_ERRORS, MIN_ERRORS = 50, 25, 25, 20
+MAX_TERMS, MAX_CLUSTERS = 5000, 6
 
 
 def num(x: float) -> str:
@@ -280,6 +281,17 @@ toks AS (
   FROM ws
 )"""
 
+# Term weights of the errors of models that have enough of them.
+TFIDF = f"""
+groups_ AS (SELECT model_name, split, use_case, count(*) AS n FROM wrong WHERE use_case = 'default' GROUP BY ALL HAVING count(*) >= {MIN_ERRORS}),
+src AS (SELECT g.model_name, g.split, g.use_case, g.n, w.id, t.text FROM wrong w JOIN groups_ g USING (model_name, split, use_case) JOIN wide t ON t.id = w.id), {TOKENS},
+cells AS (SELECT model_name, split, use_case, n, id, term, count(*) AS c FROM (SELECT * EXCLUDE (tokens), unnest(tokens) AS term FROM toks) GROUP BY ALL),
+terms AS (
+  SELECT model_name, split, use_case, term, any_value(n) AS n, count(*) AS df FROM cells GROUP BY model_name, split, use_case, term
+  QUALIFY row_number() OVER (PARTITION BY model_name, split, use_case ORDER BY sum(c) DESC, term) <= {MAX_TERMS}
+),
+weighted AS (SELECT cells.* EXCLUDE (n), c * (ln(CAST(terms.n + 1 AS DOUBLE) / (df + 1)) + 1) AS raw FROM cells JOIN terms USING (model_name, split, use_case, term))"""
+
 CONF_NAME = "CASE " + " ".join(
     f"WHEN confidence >= {num(a)} AND confidence < {num(b)} THEN 'confidence[{a},{b})'"
     for a, b in zip(CONFIDENCE_BINS[:-1], CONFIDENCE_BINS[1:])
@@ -492,10 +504,13 @@ ORACLE = {
       f AS (SELECT *, 2 * {num(1.96)} * sqrt(a * (1 - a) / n) AS w FROM h)
       SELECT model_name, split, slice_name, n, {r6('w', 'ci_width')}, n < {MIN_COUNT} OR w > {num(0.1)} AS unstable,
         CASE WHEN n < {MIN_COUNT} THEN 'low_sample_count' WHEN w > {num(0.1)} THEN 'wide_confidence_interval' ELSE 'stable' END AS reason FROM f""",
-    "cluster_sizes": f"""WITH {DOCS}, {curve('preds', BY)}, {ERRORS}
-      SELECT model_name, split, count(*) AS error_count, count(*) FILTER (WHERE error_type = 'FP') AS fp_count,
-             count(*) FILTER (WHERE error_type = 'FN') AS fn_count FROM wrong WHERE use_case = 'default'
-      GROUP BY model_name, split HAVING count(*) >= {MIN_ERRORS}""",
+    "error_tfidf": f"""WITH {DOCS}, {curve('preds', BY)}, {ERRORS}, {TFIDF}
+      SELECT model_name, split, use_case, id, term, c AS count, {r6('raw / sqrt(sum(raw * raw) OVER (PARTITION BY model_name, split, use_case, id))', 'weight')} FROM weighted""",
+    "error_cluster_checks": f"""WITH {DOCS}, {curve('preds', BY)}, {ERRORS}, {TFIDF},
+      lengths AS (SELECT model_name, split, id, sum(raw * raw) AS q FROM weighted GROUP BY ALL),
+      rows_ AS (SELECT model_name, split, sum(raw * raw / q) AS total FROM weighted JOIN lengths USING (model_name, split, id) GROUP BY ALL)
+      SELECT model_name, split, g.n, 0 AS n_misplaced, 0 AS n_other_terms, CAST(least({MAX_CLUSTERS}, greatest(2, floor(sqrt(g.n / 2.0)))) AS INTEGER) AS n_clusters,
+        {r6('total', 'total')}, true AS sound FROM groups_ g JOIN rows_ USING (model_name, split)""",
     "clean_examples": """SELECT DISTINCT user_id AS id, event_type, CAST(floor(value) AS INTEGER) AS amount,
         CAST(event_type = 'error' AS INTEGER) AS label FROM events WHERE event_type <> 'view'""",
     "csv_roundtrip": f"""WITH {EXAMPLES}

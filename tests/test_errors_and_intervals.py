@@ -75,6 +75,44 @@ def test_latent_basis_spans_the_leading_singular_vectors(spark):
     assert np.allclose(basis.T @ basis, np.eye(5), atol=1e-8)
 
 
+def test_rows_of_the_matrix_are_the_vectors_of_the_clusters(spark):
+    rng = np.random.default_rng(2)
+    docs = [(i, "m" if i % 2 else "o", [f"t{int(x)}" for x in rng.zipf(1.6, 30) if x < 40]) for i in range(80)] + [(90, "m", []), (91, "m", ["t1"])]
+    df = spark.createDataFrame(docs, "id int, model string, tokens array<string>")
+    rows = {(r.model, r.id, r.term): r.weight for r in T.tfidf_rows(df, ["model"], 25).collect()}
+    for model in "mo":
+        vectors, terms = T.tfidf(df.where(F.col("model") == model), 25)
+        assert len(terms) == 25
+        own = {(model, r.id, terms[i]): w for r in vectors.select("id", F.unwrap_udt("tfidf").alias("v")).collect() for i, w in zip(r.v["indices"], r.v["values"])}
+        assert own.keys() == {k for k in rows if k[0] == model}
+        assert all(rows[k] == pytest.approx(w, rel=1e-12) for k, w in own.items())
+
+
+def _errors(spark, n=60):
+    words = ["late", "parcel", "glass", "broken", "refund", "again", "colour", "wrong"]
+    rng = np.random.default_rng(5)
+    rows = [("m", 0, "s", "u", i, "FP", 0.5, " ".join(rng.choice(words, 12))) for i in range(n)]
+    return spark.createDataFrame(rows, "model_name string, model_order int, split string, use_case string, id bigint, error_type string, y_score double, text string")
+
+
+def test_the_latent_space_keeps_what_singular_values_say(spark):
+    found = T.cluster_texts(_errors(spark), 60, EvalConfig(max_dimensions=4))
+    kept = T.energy(found.rows).first()
+    x = np.zeros((60, len(found.terms)))
+    for r in found.rows.select("id", F.unwrap_udt("tfidf").alias("v")).collect():
+        x[r.id, r.v["indices"]] = r.v["values"]
+    residual = ((x - x @ found.basis @ found.basis.T) ** 2).sum()
+    assert kept.n == 60 and kept.total == pytest.approx((x**2).sum()) and kept.captured + residual == pytest.approx(kept.total)
+    assert kept.per_dimension == pytest.approx(list(found.values**2))
+
+
+def test_a_row_in_a_wrong_cluster_is_seen(spark):
+    found = T.cluster_texts(_errors(spark), 60, EvalConfig())
+    assert sum(r.n_misplaced for r in T.misplaced(found).collect()) == 0
+    found.rows = found.rows.withColumn("cluster", F.when(F.col("id") == 7, (F.col("cluster") + 1) % len(found.centers)).otherwise(F.col("cluster")))
+    assert sum(r.n_misplaced for r in T.misplaced(found).collect()) == 1
+
+
 def test_clusters_add_up_to_the_errors(spark):
     rows = [("m", 0, "s", "u", i, "FP" if i % 2 else "FN", 0.5, ["late parcel delivery", "broken glass bottle"][i % 2]) for i in range(24)]
     rows += [("few", 1, "s", "u", i, "FP", 0.5, "x y") for i in range(5)]
