@@ -92,8 +92,9 @@ class EvalConfig:
     def run_id(self, registry: list[dict] | None = None, data: dict | str | None = None) -> str:
         """Twelve hex digits over every setting, costs and rules included, and over the models and the data if given.
 
-        ``registry`` as for ``train_and_score``; ``data`` names what was read (paths, options). Runs that differ in
-        either must not share an id: saved predictions are replaced by id.
+        ``registry`` as for ``train_and_score``; ``data`` says what was read: paths and options, or better the fingerprints of the
+        tables (``functions.encoding.fingerprint``), which change with any row. Runs that differ in either must not
+        share an id: saved predictions are replaced by id.
         """
         known = [{k: v for k, v in m.items() if k != "estimator"} | ({"estimator": type(m["estimator"]).__name__} if "estimator" in m else {}) for m in registry or []]
         extra = ({"models": known} if registry is not None else {}) | ({"data": data} if data is not None else {})

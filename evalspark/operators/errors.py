@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalspark.config import EvalConfig
 from evalspark.functions import scores as S
 from evalspark.operators.slicing import ALL
+from evalspark.operators.order import numbered
 from evalspark.operators.text import tokens
 from evalspark.sources.predictions import KEYS
 from evalspark.storage import materialize
@@ -68,6 +69,11 @@ def with_text_of_few(worst: DataFrame, examples: DataFrame, text_col: str | None
     return with_text(worst, examples.join(wanted, on), text_col)
 
 
+def ordered_errors(errors: DataFrame) -> DataFrame:
+    """All errors with their ``position``: by model, split and use case, the most confident first, then by id."""
+    return numbered(errors, ["model_order", "split", "use_case", F.col("confidence").desc(), "id"])
+
+
 def error_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy(*KEYS, "use_case").agg(
         F.count("*").alias("error_count"),

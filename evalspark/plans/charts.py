@@ -11,7 +11,7 @@ from evalspark.sources.predictions import KEYS
 
 
 def confidence_accuracy(m: Measured) -> DataFrame:
-    """Accuracy at 0.5 over the midpoints of the confidence bins."""
+    """Accuracy at 0.5 over the midpoints of the confidence bins; ``position`` is a midpoint's place in its series."""
     middle = F.array(
         *[F.lit((s.low + s.high) / 2.0 if s.family == "confidence" else None).cast("double") for s in m.slices]
     )[F.col("slice_id")]
@@ -19,7 +19,8 @@ def confidence_accuracy(m: Measured) -> DataFrame:
         m.summary()
         .withColumn("confidence_midpoint", middle)
         .where(F.col("confidence_midpoint").isNotNull())
-        .select(*KEYS, "confidence_midpoint", "n", "accuracy")
+        .withColumn("position", F.row_number().over(Window.partitionBy(*KEYS).orderBy("confidence_midpoint")))  # a row per bin
+        .select(*KEYS, "position", "confidence_midpoint", "n", "accuracy")
     )
 
 

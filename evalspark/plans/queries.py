@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evalspark.config import EvalConfig, SliceRule
 from evalspark.functions import scores as S
+from evalspark.functions.encoding import fingerprint
 from evalspark.operators import decision as D
 from evalspark.operators import errors as E
 from evalspark.operators import features as X
@@ -21,6 +22,7 @@ from evalspark.operators import instability as I
 from evalspark.operators import metrics as M
 from evalspark.operators import models, slicing, text
 from evalspark.operators.cells import score_cells, slice_cells
+from evalspark.operators.order import level_numbers
 from evalspark.operators.ranking import ranking_metrics
 from evalspark.operators.splits import exact_split, hash_split
 from evalspark.plans import charts
@@ -31,6 +33,7 @@ from evalspark.sources import examples as ex
 from evalspark.sources import predictions as pr
 from evalspark.sources import warehouse as W
 from evalspark.sources.predictions import KEYS
+from evalspark.sources.sinks import FORMATS, read_reports, write_reports
 from evalspark.storage import fresh_path
 
 RULES = (
@@ -310,7 +313,7 @@ def evaluate_report(spark, sf):
 
 def confidence_accuracy(spark, sf):
     out = charts.confidence_accuracy(_orders(spark, sf))
-    return out.select(*NAMES, r6("confidence_midpoint"), "n", r6("accuracy"))
+    return out.select(*NAMES, "position", r6("confidence_midpoint"), "n", r6("accuracy"))
 
 
 def slice_cost_matrix(spark, sf):
@@ -349,6 +352,11 @@ def top_errors(spark, sf):
     )
 
 
+def error_order(spark, sf):
+    """Errors of the orders in one global order, which is a column of the table."""
+    return E.ordered_errors(_orders_errors(spark, sf)).select("position", *NAMES, "use_case", "error_type", "id", "y_score")
+
+
 def error_counts(spark, sf):
     return E.error_counts(_orders_errors(spark, sf)).select(*NAMES, "use_case", "error_count", "fp_count", "fn_count")
 
@@ -468,6 +476,33 @@ def content_id(spark, sf):
     return ex.clean_examples(lines).select("id", "label")
 
 
+def table_fingerprint(spark, sf):
+    """What stands for the rows of two tables in a run's id."""
+    tables = {"orders": W.table(spark, sf, "orders"), "labels": W.table(spark, sf, "labels")}
+    return reduce(DataFrame.unionAll, [fingerprint(df).select(F.lit(name).alias("table_name"), "n_rows", "fingerprint") for name, df in tables.items()])
+
+
+def level_dictionary(spark, sf):
+    """Customers as a category with a level per row: their names numbered, joined back to the orders and counted."""
+    customers = W.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat_ws("/", "c_mktsegment", "c_name").alias("customer"))
+    orders = W.table(spark, sf, "orders").join(customers, "o_custkey", "left")
+    placed = X.place_levels(orders, ["customer"], {"customer": level_numbers(customers, "customer")})
+    return placed.groupBy("customer", F.col("customer__place").alias("number")).agg(F.count("*").alias("n_orders"))
+
+
+def report_roundtrip(spark, sf):
+    """Two report tables of a run, written in every format with a manifest, and read back."""
+    path, run = fresh_path(spark, "reports"), CONFIG.run_id()
+    best = D.best_thresholds(D.cost_curve(_orders_cells(spark, sf), CONFIG)).select(*NAMES, "use_case", "best_threshold", "n")
+    tables = {"best": best, "counts": best.groupBy("use_case").agg(F.count("*").alias("models"))}
+    back = []
+    for fmt in FORMATS:
+        write_reports(tables, f"{path}/{fmt}", run, fmt)
+        found = read_reports(spark, f"{path}/{fmt}", run, {name: df.schema for name, df in tables.items()})
+        back.append(found["best"].join(found["counts"], "use_case").withColumn("format", F.lit(fmt)))
+    return reduce(DataFrame.unionByName, back)
+
+
 def csv_roundtrip(spark, sf):
     """Orders written as CSV, read back with a schema, cleaned."""
     path = fresh_path(spark, "csv")
@@ -593,6 +628,7 @@ QUERIES = {
     "slice_cost_matrix": slice_cost_matrix,
     "error_distribution": error_distribution,
     "top_errors": top_errors,
+    "error_order": error_order,
     "error_counts": error_counts,
     "cluster_status": cluster_status,
     "error_terms": error_terms,
@@ -608,6 +644,9 @@ QUERIES = {
     "error_cluster_checks": error_cluster_checks,
     "clean_examples": clean_examples,
     "content_id": content_id,
+    "table_fingerprint": table_fingerprint,
+    "level_dictionary": level_dictionary,
+    "report_roundtrip": report_roundtrip,
     "csv_roundtrip": csv_roundtrip,
     "predictions_roundtrip": predictions_roundtrip,
     "rejected_labels": rejected_labels,

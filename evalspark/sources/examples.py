@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
+from evalspark.functions.encoding import row_hash
+
 # A loader is anything that yields examples from a session.
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -30,8 +32,8 @@ def parquet_loader(path: str) -> Loader:
 
 
 def content_id(df: DataFrame) -> DataFrame:
-    """Add an ``id`` that depends on the row's content only, not on its position."""
-    return df.withColumn("id", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+    """Add an ``id`` that depends on the row's content only: not on its position, nor on the order of the columns."""
+    return df.withColumn("id", row_hash(df))
 
 
 def clean_examples(df: DataFrame, label_col: str = "label", id_col: str = "id") -> DataFrame:

@@ -86,6 +86,37 @@ preds AS (
   SELECT 'model_b', 1, 'all', label, {score(0.25, 'label', u('k', 'b'))} FROM base
 )"""
 
+
+
+def value_text(column: str, kind: str) -> str:
+    """A value as tag, length in bytes and text; ``n`` for null. Only the kinds that the tables have."""
+    if kind == "f":
+        whole, rest = f"floor({column})", f"(({column} - floor({column})) * {num(2.0**62)})"
+        digits = [whole, f"floor({rest})", f"floor(({rest} - floor({rest})) * {num(2.0**62)})"]
+        text = " || '.' || ".join(f"CAST(CAST({d} AS BIGINT) AS VARCHAR)" for d in digits)
+    elif kind == "t":
+        text = f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
+    else:
+        text = f"CAST({column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN 'n' ELSE '{kind}:' || octet_length(encode({text})) || ':' || {text} END"
+
+
+def row_text(columns: dict[str, str]) -> str:
+    return " || ".join(value_text(c, columns[c]) for c in sorted(columns))
+
+
+LINE_KINDS = dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "label"), "i") | dict.fromkeys(
+    ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "f") | {"l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"}
+ORDER_KINDS = {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "f", "o_orderdate": "t", "o_orderpriority": "s"}
+LABEL_KINDS = {"doc_id": "i", "quality": "i", "toxic": "i"}
+
+
+def fingerprint(table: str, kinds: dict[str, str]) -> str:
+    parts = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {p}, 15) AS HUGEINT)), 0) AS s{p}" for p in (1, 16))
+    return f"""SELECT '{table}' AS table_name, n_rows, substr(sha256(n_rows || ':' || CAST(s1 AS VARCHAR) || ':' || CAST(s16 AS VARCHAR)), 1, 32) AS fingerprint
+      FROM (SELECT count(*) AS n_rows, {parts} FROM (SELECT sha256({row_text(kinds)}) AS h FROM {table}))"""
+
+
 COSTS = "costs(use_case, c_tp, c_tn, c_fp, c_fn) AS (VALUES " + ", ".join(
     f"('{name}', {num(tp)}, {num(tn)}, {num(fp)}, {num(fn)})" for name, (tp, tn, fp, fn) in COST_TABLE.items()
 ) + ")"
@@ -449,7 +480,7 @@ ORACLE = {
       )
       SELECT * FROM report""",
     "confidence_accuracy": f"""WITH {ORDERS_SLICED}, bins(lo, hi) AS (VALUES {', '.join(f"({num(a)}, {num(b)})" for a, b in zip(CONFIDENCE_BINS[:-1], CONFIDENCE_BINS[1:]))})
-      SELECT model_name, split, {r6('(lo + hi) / 2', 'confidence_midpoint')}, count(*) AS n,
+      SELECT model_name, split, CAST(row_number() OVER (PARTITION BY model_name, split ORDER BY lo) AS INTEGER) AS position, {r6('(lo + hi) / 2', 'confidence_midpoint')}, count(*) AS n,
              {r6('avg(CAST(CAST(y_score >= 0.5 AS INTEGER) = label AS INTEGER))', 'accuracy')}
       FROM rows_ JOIN bins ON {CONF} >= lo AND {CONF} < hi GROUP BY model_name, split, lo, hi""",
     "slice_cost_matrix": f"""WITH {ORDERS_SLICED}, {curve('sl', SBY)},
@@ -465,6 +496,8 @@ ORACLE = {
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY model_name, split, use_case, error_type ORDER BY confidence DESC, id) AS INTEGER) AS rank FROM wrong)
       SELECT r.model_name, r.split, use_case, error_type, rank, r.id, y_score, {r6('confidence', 'confidence')}, text
       FROM r JOIN examples e ON r.id = e.id WHERE rank <= {TOP_ERRORS}""",
+    "error_order": f"""WITH {ORDERS}, {curve('preds', BY)}, {ERRORS}
+      SELECT row_number() OVER (ORDER BY model_order, split, use_case, confidence DESC, id) AS position, model_name, split, use_case, error_type, id, y_score FROM wrong""",
     "error_counts": f"""WITH {ORDERS}, {curve('preds', BY)}, {ERRORS}
       SELECT model_name, split, use_case, count(*) AS error_count, count(*) FILTER (WHERE error_type = 'FP') AS fp_count,
              count(*) FILTER (WHERE error_type = 'FN') AS fn_count FROM wrong GROUP BY ALL""",
@@ -513,6 +546,15 @@ ORACLE = {
         {r6('total', 'total')}, true AS sound FROM groups_ g JOIN rows_ USING (model_name, split)""",
     "clean_examples": """SELECT DISTINCT user_id AS id, event_type, CAST(floor(value) AS INTEGER) AS amount,
         CAST(event_type = 'error' AS INTEGER) AS label FROM events WHERE event_type <> 'view'""",
+    "content_id": f"""SELECT sha256({row_text(LINE_KINDS)}) AS id, label FROM (
+        SELECT DISTINCT *, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem) WHERE label IS NOT NULL""",
+    "table_fingerprint": fingerprint("orders", ORDER_KINDS) + " UNION ALL " + fingerprint("labels", LABEL_KINDS),
+    "level_dictionary": """WITH c AS (SELECT c_custkey, c_mktsegment || '/' || c_name AS customer FROM customer),
+      l AS (SELECT customer, row_number() OVER (ORDER BY customer) - 1 AS number FROM (SELECT DISTINCT customer FROM c))
+      SELECT customer, number, count(*) AS n_orders FROM orders LEFT JOIN c ON o_custkey = c_custkey LEFT JOIN l USING (customer) GROUP BY ALL""",
+    "report_roundtrip": f"""WITH {ORDERS}, {curve('preds', BY)}
+      SELECT model_name, split, use_case, t AS best_threshold, n, count(*) OVER (PARTITION BY use_case, format) AS models, format
+      FROM best, (SELECT unnest(['json', 'parquet', 'csv']) AS format)""",
     "csv_roundtrip": f"""WITH {EXAMPLES}
       SELECT split, region, label, count(*) AS n, {r6('sum(amount)', 'amount')}, sum(length(text)) AS text_chars FROM examples GROUP BY split, region, label""",
     "predictions_roundtrip": f"""WITH {ORDERS}
