@@ -7,8 +7,11 @@ earliest point at a covered place, so two documents agree in a component with th
 Jaccard similarity. Only points up to a time by which a document's signature is full are generated.
 
 Documents that agree in a band of components are compared by their whole bags. Compared are first all members of a
-band's bucket with its smallest document, which ties nearly all copies together; and then, in buckets where that left
-several classes, whatever is not yet in one class.
+band's bucket with its first document, which ties nearly all copies together; and then, in buckets where that left
+several classes, whatever is not yet in one class. There members are compared inside the task that holds them, and only
+links that tie two classes come out of it, so rows grow with the members and not with their pairs.
+
+Documents of equal bags are one; such a bag has a number of its own, whatever ids its documents have.
 """
 
 from __future__ import annotations
@@ -121,6 +124,17 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common_part / (total - common_part)
 
 
+def bag_names(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> list[bytes | None]:
+    """16 bytes that stand for each bag; null for an empty one."""
+    both = common.mix(shingle + weight.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    np.add.at(first, row, both)
+    np.add.at(second, row, common.mix(both + _ONE))
+    size = np.bincount(row, minlength=n)
+    names = np.stack([first, second], axis=1).tobytes()
+    return [names[16 * i : 16 * i + 16] if size[i] else None for i in range(n)]
+
+
 def _signed(docs: DataFrame, bands: int, m: int) -> DataFrame:
     """(doc_id, bag, bands); ``bag`` names equal bags; it is null for documents without words."""
 
@@ -128,14 +142,8 @@ def _signed(docs: DataFrame, bands: int, m: int) -> DataFrame:
         for rows, bounds, data in common.text_slices(batches, common.SLICE_BYTES // 2):
             n = rows.num_rows
             row, shingle, weight = bags(bounds, data)
-            both = common.mix(shingle + weight.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-            first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            np.add.at(first, row, both)
-            np.add.at(second, row, common.mix(both + _ONE))
-            size = np.bincount(row, minlength=n)
+            bag = pa.array(bag_names(row, shingle, weight, n), pa.binary())
             sign = signatures(row, shingle, weight, n, m)
-            names = np.stack([first, second], axis=1).tobytes()
-            bag = pa.array([names[16 * i : 16 * i + 16] if size[i] else None for i in range(n)], pa.binary())
             part = sign.view(np.uint32).astype(np.uint64).reshape(n, bands, -1)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)) * np.uint64(0x9E3779B97F4A7C15)
             for k in range(part.shape[2]):
@@ -146,21 +154,46 @@ def _signed(docs: DataFrame, bands: int, m: int) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id bigint, bag binary, bands array<bigint>")
 
 
+def _pack(shingle: np.ndarray, weight: np.ndarray) -> bytes:
+    """A bag as bytes: its size, the shingles, and the counts that are not 1."""
+    more = np.flatnonzero(weight > 1)
+    return b"".join([np.int64(len(shingle)).tobytes(), shingle.tobytes(), more.astype(np.int64).tobytes(), weight[more].astype(np.int64).tobytes()])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    rest = np.frombuffer(blob, np.int64, offset=8 + 8 * n).reshape(2, -1)
+    weight = np.ones(n, np.int64)
+    weight[rest[0]] = rest[1]
+    return np.frombuffer(blob, np.uint64, n, 8), weight
+
+
 def _fine_signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(of_rep, sign): one byte of each of ``FINE`` minhashes of the documents in ``wanted`` (rep)."""
+    """(of_key, sign, held): one byte of each of ``FINE`` minhashes, and the whole bag, of the bags in ``wanted`` (key, rep, bag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in common.text_slices(batches, common.SLICE_BYTES // 4):
             row, shingle, weight = bags(bounds, data)
+            cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
             sign = signatures(row, shingle, weight, rows.num_rows, FINE).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([x.tobytes() for x in sign], pa.binary())], ["of_rep", "sign"])
+            names = bag_names(row, shingle, weight, rows.num_rows)
+            own = [i for i, (x, y) in enumerate(zip(names, rows.column("bag").to_pylist(), strict=True)) if x == y]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("key").take(pa.array(own, pa.int64())),
+                    pa.array([sign[i].tobytes() for i in own], pa.binary()),
+                    pa.array([_pack(shingle[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]) for i in own], pa.binary()),
+                ],
+                ["of_key", "sign", "held"],
+            )
 
-    chosen = common.texts(docs).join(wanted.hint("shuffle_merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text")
-    return chosen.mapInArrow(run, "of_rep bigint, sign binary").groupBy("of_rep").agg(F.min("sign").alias("sign"))
+    chosen = common.texts(docs).join(wanted.hint("shuffle_merge"), F.col("doc_id") == F.col("rep")).select("key", "bag", "text")
+    found = chosen.mapInArrow(run, "of_key bigint, sign binary, held binary")
+    return found.groupBy("of_key").agg(F.min(F.struct("sign", "held")).alias("x")).select("of_key", "x.*")  # rows repeated with their id
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, group: int) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) whose whole bags are that similar.
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: float, group: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) of numbers in ``reps`` (key, rep, bag) whose whole bags are that similar.
 
     The documents ``b`` get copies of their text, one for each ``group`` partners, and meet a share of the partners each;
     so one document with very many partners is spread over many tasks, and a task holds one bag and a row.
@@ -169,8 +202,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, group: int)
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     member = pairs.join(salts.hint("merge"), "b").select(F.col("a").alias("who"), F.col("b").alias("to"), F.pmod(F.hash("a"), "salts").alias("salt"), F.lit(1).alias("second"))
     center = salts.select(F.col("b").alias("who"), F.col("b").alias("to"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("second"))
-    asked = member.unionAll(center)
-    texts = common.texts(docs).join(asked.hint("merge"), F.col("doc_id") == F.col("who")).select("to", "salt", "second", "who", "text")
+    asked = member.unionAll(center).join(reps.select("key", "rep", "bag").hint("merge"), F.col("who") == F.col("key"))
+    texts = common.texts(docs).join(asked.hint("merge"), F.col("doc_id") == F.col("rep")).select("to", "salt", "second", "who", "bag", "text")
     dealt = texts.repartition(common.partitions(spark), "to", "salt").sortWithinPartitions("to", "salt", "second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,19 +211,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, group: int)
         for rows, bounds, data in common.text_slices(batches):
             row, shingle, weight = bags(bounds, data)
             cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            names = bag_names(row, shingle, weight, rows.num_rows)
             out: list[tuple] = []
-            for i, (to, salt, second, who) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("to", "salt", "second", "who")), strict=True)):
+            for i, (to, salt, second, who, bag) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("to", "salt", "second", "who", "bag")), strict=True)):
+                if names[i] != bag:  # another text of the same id
+                    continue
                 own = shingle[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
                 if not second:
                     center_key, center = (to, salt), own
                 elif center_key == (to, salt):
-                    found = overlap(own, center)
-                    if found >= similarity:
-                        out.append((who, to, found))
+                    if overlap(own, center) >= similarity:
+                        out.append((who, to))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, similarity double")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = COMPONENTS, bands: int = BANDS, group: int = 256) -> DataFrame:
@@ -203,24 +238,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = COMPONENT
     of ``FINE`` minhashes agree that the wanted similarity has a probability below 4e-6 (4.5 standard errors).
 
     Documents with equal bags are compared once. A text of one to four words is one shingle; a null or empty text, or
-    one without words, links with nothing. A null doc_id is the smallest; rows with one id count as one document when
-    they are compared, and share their class if their bags are linked. Further columns are not read.
+    one without words, links with nothing. A null doc_id is the smallest; every row is a document of its own, also
+    where rows share an id (then all rows with the smallest id of a class are ``kept``). Further columns are not read.
     """
     signed = common.written(_signed(docs, bands, m), "signatures")
     named = signed.where("bag is not null")
-    reps = named.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = common.written(reps, "bags")
-    keys = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
-    shared = common.written(keys.join(buckets.hint("merge"), "band").select("band", "rep", "first"), "buckets")
-    star = common.written(shared.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    links = common.written(_verified(docs, star, similarity, group), "near")
-    rest = common.written(_open_pairs(docs, shared, star, components(links), similarity), "pairs")
-    more = _verified(docs, rest, similarity, group) if rest.head(1) else None
-    parts = components(links.select("a", "b") if more is None else links.unionAll(more).select("a", "b"))
-    known = reps.select(F.col("bag").alias("of_bag"), "rep").join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select("of_bag", F.coalesce("component", "rep").alias("component"))
-    sizes = named.groupBy("bag").agg(F.count("*").alias("n")).join(known, F.col("bag") == F.col("of_bag")).groupBy("component").agg(F.sum("n").alias("n"))
-    known = known.join(sizes.select(F.col("component").alias("of_size"), "n"), F.col("component") == F.col("of_size")).select("of_bag", "component", "n")
+    reps = named.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies"))
+    reps = common.written(reps.withColumn("key", F.monotonically_increasing_id()), "bags")
+    keys = reps.select("key", F.explode("bands").alias("band"))
+    buckets = keys.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    shared = common.written(keys.join(buckets.hint("merge"), "band").select("band", "key", "first"), "buckets")
+    star = common.written(shared.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    links = common.written(_verified(docs, reps, star, similarity, group), "near")
+    more = common.written(_open_links(docs, reps, shared, components(links), similarity), "links")
+    parts = components(links.unionAll(more))
+    known = reps.join(parts.hint("merge"), F.col("key") == F.col("node"), "left").select("bag", "rep", "copies", F.coalesce("component", "key").alias("part"))
+    sizes = known.groupBy("part").agg(F.min("rep").alias("component"), F.sum("copies").alias("n"))
+    known = known.select(F.col("bag").alias("of_bag"), F.col("part").alias("of_part")).join(sizes, F.col("of_part") == F.col("part")).select("of_bag", "component", "n")
     joined = signed.select("doc_id", "bag").join(known.hint("merge"), F.col("bag") == F.col("of_bag"), "left")
     component = F.coalesce("component", "doc_id")
     return joined.select(
@@ -231,49 +265,90 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = COMPONENT
     )
 
 
-def _open_pairs(docs: DataFrame, shared: DataFrame, star: DataFrame, parts: DataFrame, similarity: float, chunk: int = 1024) -> DataFrame:
-    """(a, b), a > b, of buckets where the stars left several classes: pairs of different classes not compared yet.
+def _open_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, parts: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
+    """(a, b): links that tie classes in buckets where the stars left several.
 
-    In such a bucket only the members outside its smallest document's class meet the others: members are dealt into
-    chunks, the outsiders go by each chunk, and only pairs whose fine signatures agree enough come out.
+    In such a bucket only the members outside its first document's class meet the others: members are dealt into chunks
+    and held with their bags, the outsiders go by each chunk. A pair of different classes whose fine signatures agree
+    enough is verified on the whole bags, unless links found in the chunk tie its classes already.
     """
     class_of = parts.select(F.col("node"), "component")
-    placed = shared.join(class_of.hint("merge"), F.col("rep") == F.col("node"), "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("part"))
+    placed = shared.join(class_of.hint("merge"), F.col("key") == F.col("node"), "left").select("band", "key", "first", F.coalesce("component", "key").alias("part"))
     heads = class_of.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
-    placed = placed.join(heads.hint("merge"), F.col("first") == F.col("head"), "left").select("band", "rep", "first", "part", F.coalesce("head_part", "first").alias("head_part"))
+    placed = placed.join(heads.hint("merge"), F.col("first") == F.col("head"), "left").select("band", "key", "first", "part", F.coalesce("head_part", "first").alias("head_part"))
     placed = common.written(placed, "placed")
     several = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     several = several.where("lo <> hi").select(F.col("band").alias("of_band"), "chunks")
     rows = common.written(placed.join(several.hint("merge"), F.col("band") == F.col("of_band")).drop("of_band"), "open")
-    sign = common.written(_fine_signatures(docs, rows.select("rep").distinct()), "fine")
-    rows = rows.join(sign.hint("merge"), F.col("rep") == F.col("of_rep"))
-    member = rows.where("rep <> first").select("band", F.pmod(F.hash("rep"), "chunks").alias("chunk"), F.lit(0).alias("outside"), "rep", "part", "sign")
-    outside = rows.where("part <> head_part").select("band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("outside"), "rep", "part", "sign")
+    wanted = reps.select("key", "rep", "bag").join(rows.select(F.col("key").alias("open_key")).distinct().hint("merge"), F.col("key") == F.col("open_key")).drop("open_key")
+    sign = common.written(_fine_signatures(docs, wanted), "fine")
+    rows = rows.join(sign.hint("merge"), F.col("key") == F.col("of_key"))
+    member = rows.where("key <> first").select("band", F.pmod(F.hash("key"), "chunks").alias("chunk"), F.lit(0).alias("outside"), "key", "part", "sign", "held")
+    outside = rows.where("part <> head_part").select("band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("outside"), "key", "part", "sign", "held")
     dealt = member.unionAll(outside).repartition(common.partitions(docs.sparkSession), "band", "chunk").sortWithinPartitions("band", "chunk", "outside")
     least = int(np.ceil((similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / FINE)) * FINE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, table = None, [], None
+        group, here = None, _Chunk(least, similarity)
         for batch in batches:
-            out: list[np.ndarray] = []
-            for band, part_of, second, rep, part, blob in zip(*(batch.column(c).to_pylist() for c in ("band", "chunk", "outside", "rep", "part", "sign")), strict=True):
-                if group != (band, part_of):
-                    group, held, table = (band, part_of), [], None
-                if not second:
-                    held.append((rep, part, blob))
-                    continue
-                if not held:
-                    continue
-                if table is None:
-                    ids, classes, blobs = zip(*held, strict=True)
-                    table = np.array(ids), np.array(classes), np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FINE)
-                agree = np.count_nonzero(table[2] == np.frombuffer(blob, np.uint8), axis=1)
-                other = table[0][(agree >= least) & (table[1] != part)]
-                if len(other):
-                    out.append(np.stack([np.maximum(other, rep), np.minimum(other, rep)], axis=1))
+            out: list[tuple[int, int]] = []
+            for band, number, second, key, part, blob, held in zip(*(batch.column(c).to_pylist() for c in ("band", "chunk", "outside", "key", "part", "sign", "held")), strict=True):
+                if group != (band, number):
+                    group, here = (band, number), _Chunk(least, similarity)
+                if second:
+                    out += here.links(key, part, blob, held)
+                else:
+                    here.hold(key, part, blob, held)
             if out:
-                found = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-    found = dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-    return found.join(star.select(F.col("a").alias("sa"), F.col("b").alias("sb")), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+class _Chunk:
+    """Some members of a bucket, and which classes the links found so far tie together."""
+
+    def __init__(self, least: int, similarity: float) -> None:
+        self.least, self.similarity = least, similarity
+        self.keys: list[int] = []
+        self.parts: list[int] = []
+        self.blobs: list[bytes] = []
+        self.held: list = []
+        self.table: np.ndarray | None = None
+        self.root: dict[int, int] = {}
+
+    def hold(self, key: int, part: int, sign: bytes, held: bytes) -> None:
+        for x, y in ((self.keys, key), (self.parts, part), (self.blobs, sign), (self.held, held)):
+            x.append(y)
+
+    def find(self, part: int) -> int:
+        root = part
+        while (up := self.root.get(root, root)) != root:
+            root = up
+        while (up := self.root.get(part, part)) != root:
+            self.root[part] = root
+            part = up
+        return root
+
+    def links(self, key: int, part: int, sign: bytes, held: bytes) -> list[tuple[int, int]]:
+        """Links of one outsider, each of which ties its class to another one."""
+        if not self.keys:
+            return []
+        if self.table is None:
+            self.table = np.frombuffer(b"".join(self.blobs), np.uint8).reshape(-1, FINE)
+            self.blobs = []
+        agree = np.count_nonzero(self.table == np.frombuffer(sign, np.uint8), axis=1)
+        near = np.flatnonzero(agree >= self.least)
+        out, own = [], None
+        for i in near[np.argsort(-agree[near], kind="stable")].tolist():
+            a, b = self.find(part), self.find(self.parts[i])
+            if a == b:
+                continue
+            if own is None:
+                own = _unpack(held)
+            if isinstance(self.held[i], bytes):
+                self.held[i] = _unpack(self.held[i])
+            if overlap(own, self.held[i]) >= self.similarity:
+                self.root[max(a, b)] = min(a, b)
+                out.append((max(key, self.keys[i]), min(key, self.keys[i])))
+        return out

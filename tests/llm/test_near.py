@@ -142,6 +142,78 @@ def test_near_duplicates_edges(docs, words):
 # --- passages
 
 
+def test_rows_of_one_id_are_documents_of_their_own(docs, words):
+    """(1, A), (1, B), and near copies of each: both are linked, whichever row comes first."""
+    a, b = words(100, 1), words(100, 2)
+    near = [f"{t} one more" for t in (a, b)]
+    for order in ([a, b], [b, a]):
+        got = bagminhash.near_duplicates(docs([*order, *near, a, "other words here", ""], [1, 1, 2, 3, 1, 1, 1])).collect()
+        # A twice and its near copy; B and its near copy; two more rows with the id 1
+        assert sorted((r.doc_id, r.component_id, r.group_size) for r in got) == [(1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 2)]
+        assert all(r.kept == (r.doc_id == 1) for r in got)
+
+
+def test_a_bucket_of_many_different_copies(spark, docs, monkeypatch):
+    """2,000 variants of one text: far ones are not linked directly, and no more links come out of a chunk than it ties."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+    texts = []
+    for _ in range(2000):
+        own = list(base)
+        for at in rng.integers(0, 300, 9):
+            own[at] = f"v{rng.integers(0, 10**9)}"
+        texts.append(" ".join(own))
+    rows = docs(texts)
+    seen = []
+    plain = bagminhash._open_links
+    monkeypatch.setattr(bagminhash, "_open_links", lambda *args: seen.append(plain(*args)) or seen[0])
+    got = {r.doc_id: r.component_id for r in bagminhash.near_duplicates(rows).select("doc_id", "component_id").collect()}
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts]
+    root = list(range(2000))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    index = {}
+    for i, g in enumerate(grams):
+        for x in g:
+            index.setdefault(x, []).append(i)
+    shared = np.zeros((2000, 2000), np.int32)
+    for who in index.values():
+        if len(who) > 1:
+            shared[np.ix_(who, who)] += 1
+    sizes = np.array([len(g) for g in grams])
+    for x, y in zip(*np.nonzero(np.triu(shared / (sizes[:, None] + sizes - shared) >= 0.8, 1)), strict=True):
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    assert got == {i: find(i) for i in range(2000)}
+    assert seen[0].count() < 24 * 5 * 2000
+
+
+def test_chunks_give_out_only_links_that_tie_classes():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(120)]
+    ones = [np.ones(len(x), np.int64) for x in sets]
+    chunk = bagminhash._Chunk(0, 0.5)
+    for i in range(100):
+        chunk.hold(i, i, bytes(bagminhash.FINE), bagminhash._pack(sets[i], ones[i]))
+    links = [x for i in range(100, 120) for x in chunk.links(i, i, bytes(bagminhash.FINE), bagminhash._pack(sets[i], ones[i]))]
+    assert len(links) < 120
+    near = {(i, j) for i in range(100, 120) for j in range(100) if bagminhash.overlap((sets[i], ones[i]), (sets[j], ones[j])) >= 0.5}
+    assert set(links) <= near
+    for i, j in near:
+        assert chunk.find(i) == chunk.find(j)
+
+
+def test_bags_survive_packing():
+    shingle, weight = np.array([3, 9, 2**63 + 5], np.uint64), np.array([1, 7, 2])
+    for n in range(4):
+        a, b = bagminhash._unpack(bagminhash._pack(shingle[:n], weight[:n]))
+        assert np.array_equal(a, shingle[:n]) and np.array_equal(b, weight[:n])
+
+
 def test_compact_windows_hold_every_passage_once():
     rng = np.random.default_rng(5)
     for _ in range(60):
