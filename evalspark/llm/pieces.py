@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,17 @@ class _Remembered(dict):
             self[stretch] = found
         return found
 
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Encode the ones not known yet, in order, so that each goes on where it departs from the one before."""
+        short = {s for s in stretches if len(s) <= self.length}
+        new = short - self.keys()
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = short
+        search = SharedBeginnings(self.vocabulary)
+        for s in sorted(new):
+            self[s] = search.ids(s.replace(" ", _SPACE)).tobytes()
+
 
 class Vocabulary:
     """Pieces with ids and scores; ``bpe``: scores are merge ranks. Characters without a piece become byte pieces, or
@@ -211,6 +222,70 @@ class StreamingViterbi:
         return out
 
 
+class SharedBeginnings:
+    """The same search over many short texts, one after the other: what it knows of the boundaries inside the beginning
+    that a text shares with the one before is kept."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v = vocabulary
+        self.text = ""
+        self.score: list[float | None] = [0.0]
+        self.back: list[int] = [0]
+        self.last: list[int] = [-1]
+
+    def ids(self, text: str) -> array:
+        v, before, n = self.v, self.text, len(text)
+        same, most = 0, min(n, len(before))
+        while same < most and text[same] == before[same]:
+            same += 1
+        score, back, last, usable, apart, by_rank = self.score, self.back, self.last, v.usable, v.apart, v.bpe
+        score[same + 1 :], back[same + 1 :], last[same + 1 :] = [None] * (n - same), [0] * (n - same), [-1] * (n - same)
+        self.text = text
+        for j in range(max(0, same - v.longest + 1), n):
+            own = score[j]
+            if own is None:
+                continue
+            before_piece, k = last[j], j + 1
+            if j < same:  # only pieces that end behind the shared beginning are new
+                if same == n or text[j:same] not in usable:
+                    continue
+                k = same + 1
+            piece = usable.get(text[j:k])
+            if k == j + 1 and (piece is None or piece < 0) and text[j] not in v.ids and (score[k] is None or (not by_rank and own + v.unknown_score > score[k])):
+                score[k], back[k], last[k] = own + v.unknown_score, j, -1
+            while piece is not None:
+                if piece >= 0:
+                    if by_rank:
+                        if score[k] is None and (before_piece < 0 or (apart[x] if (x := before_piece << 32 | piece) in apart else v.keeps_apart(before_piece, piece))):
+                            score[k], back[k], last[k] = 0.0, j, piece
+                    elif score[k] is None or own + v.scores[piece] > score[k]:
+                        score[k], back[k], last[k] = own + v.scores[piece], j, piece
+                k += 1
+                if k > n:
+                    break
+                piece = usable.get(text[j:k])
+        out: list[int] = []
+        at = n
+        while at:
+            piece = last[at]
+            out += (piece,) if piece >= 0 else v.spell_out(text[at - 1])[::-1]
+            at = back[at]
+        out.reverse()
+        return array("i", out)
+
+
+def encode_all(vocabulary: Vocabulary, texts: list[str]) -> list[array]:
+    """``encode`` of many texts: their new stretches are searched together."""
+    split = [vocabulary.split(" " + t) if t else [] for t in texts]
+    known = vocabulary.known
+    known.learn(chain.from_iterable(split))
+    out = []
+    for stretches in split:
+        out.append(array("i"))
+        out[-1].frombytes(b"".join(map(known.__getitem__, stretches)))
+    return out
+
+
 def encode(vocabulary: Vocabulary, text: str) -> array:
     """Ids of a text, with the format's space before it; none for an empty text.
 
@@ -250,7 +325,7 @@ def encode_table(docs: DataFrame, model: str = MODEL) -> DataFrame:
         v = sent.value
         for rows, _, _ in common.text_slices(batches):
             texts = rows.column("text").to_pylist()
-            found = [encode(v, t) for t in texts]
+            found = encode_all(v, texts)
             same = [decode(v, ids) == t for ids, t in zip(found, texts, strict=True)]
             size = np.array([len(x) for x in found], np.int32)
             flat = np.frombuffer(b"".join(map(memoryview, found)), np.int32)

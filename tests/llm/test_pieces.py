@@ -28,6 +28,28 @@ def test_ids_are_the_librarys(vocabulary, library, table):
         assert pieces.decode(vocabulary, ids) == t == library.decode(list(ids))
 
 
+def test_texts_searched_together_have_the_same_ids(library, table, monkeypatch):
+    """Also where words share beginnings, hold characters without a piece, and the bound on known ones is passed."""
+    rng = random.Random(7)
+    v = pieces.Vocabulary.read(pieces.MODEL)
+    texts = ODD + [" ".join("".join(rng.choices("theinosr.é𐍈☃", k=rng.randint(1, 9))) for _ in range(300)) for _ in range(8)]
+    texts += [r.text for r in table("documents").limit(80).collect()]
+    for most in (500_000, 200):
+        v.known.most = most
+        for k in range(0, len(texts), 7):
+            assert [list(x) for x in pieces.encode_all(v, texts[k : k + 7])] == [library.encode(t) for t in texts[k : k + 7]]
+
+
+def test_unigram_texts_searched_together(vocabulary):
+    rng = random.Random(5)
+    own = list({"".join(rng.choices("ab▁c", k=rng.randint(1, 4))) for _ in range(30)})
+    v = pieces.Vocabulary(["<unk>", *own], [0.0, *(-rng.random() * 5 - 0.1 for _ in own)], ["other"] + ["normal"] * len(own), False)
+    search = pieces.SharedBeginnings(v)
+    for t in sorted("".join(rng.choices("abcd▁", k=rng.randint(1, 12))) for _ in range(500)):
+        plain = pieces.StreamingViterbi(v)
+        assert list(search.ids(t)) == plain.push(t) + plain.finish()
+
+
 def test_streaming_gives_the_same_ids_and_holds_little(vocabulary):
     rng = random.Random(2)
     text = "".join(rng.choices("theinosr", k=20_000))
