@@ -27,7 +27,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return common.with_ids(docs, mixing.mixed(docs).where("kept"))
+    return common.with_ids(docs, mixing.mixed(docs, mixing.TARGETS, share=mixing.KEPT_SHARE).where("kept"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

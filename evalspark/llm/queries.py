@@ -23,7 +23,7 @@ def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(read(spark, sf_dir, "documents"))
+    return mixing.mixed(read(spark, sf_dir, "documents"), mixing.TARGETS, share=mixing.KEPT_SHARE)
 
 
 def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

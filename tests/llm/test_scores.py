@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.llm import mixing, quality, toxicity, urls
+from evalspark.llm import mixing, quality, topics, toxicity, urls
 
 
 # --- quality
@@ -118,20 +118,44 @@ def test_toxicity_edges(docs, spark):
 # --- mixing
 
 
-def test_raking_meets_the_targets(spark):
+def _numpy_raked(tokens, goals, rounds=25):
+    table = tokens.copy()
+    for _ in range(rounds):
+        for axis, goal in enumerate(goals):
+            sums = table.sum(axis=tuple(a for a in range(3) if a != axis), keepdims=True)
+            table = np.minimum(table * np.array(goal).reshape([-1 if a == axis else 1 for a in range(3)]) / sums, tokens)
+    return table
+
+
+@pytest.mark.parametrize("budget", [2000.0, 9000.0])
+def test_raking_meets_the_goals(spark, budget):
     rng = np.random.default_rng(3)
     rows = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(10, 1000))) for i in range(4) for j in range(3) for k in range(3)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
     want = {"source": [0.1, 0.2, 0.3, 0.4], "lang": [0.5, 0.25, 0.25], "topic": [0.2, 0.2, 0.6]}
-    targets = {d: spark.createDataFrame([(f"{d[0]}{i}", p) for i, p in enumerate(w)], "value string, share double") for d, w in want.items()}
-    got = mixing.rake(cells, targets).toPandas()
-    table = np.array([r[3] for r in rows], float).reshape(4, 3, 3)
-    for _ in range(200):  # the same by numpy
-        for axis, d in enumerate(want):
-            sums = table.sum(axis=tuple(a for a in range(3) if a != axis), keepdims=True)
-            table = table * np.array(want[d]).reshape([-1 if a == axis else 1 for a in range(3)]) / sums
+    one = spark.createDataFrame([(budget,)], "budget double")
+    wanted = {d: {f"{d[0]}{i}": p for i, p in enumerate(w)} for d, w in want.items()}
+    targets = {d: mixing.goals(cells, d, wanted[d], 1.0, one) for d in want}
+    got = mixing.rake(cells, targets, tolerance=0, most_rounds=25).toPandas()
+    tokens = np.array([r[3] for r in rows], float).reshape(4, 3, 3)
+    goals = [[r.goal for r in sorted(targets[d].collect(), key=lambda r: r.value)] for d in want]
+    assert all(abs(sum(g) - budget) < 1e-6 for g in goals)
     own = got.sort_values(["source", "lang", "topic"]).weight.to_numpy()
-    assert np.allclose(own, table.reshape(-1), atol=1e-6)
+    assert np.allclose(own, _numpy_raked(tokens, goals).reshape(-1), rtol=1e-6) and (own <= tokens.reshape(-1)).all()
+    for axis, goal in enumerate(goals if budget == 2000 else []):  # the larger budget contradicts some cells
+        assert np.allclose(own.reshape(4, 3, 3).sum(axis=tuple(a for a in range(3) if a != axis)), goal, rtol=1e-2)
+
+
+@pytest.mark.parametrize("budget", [0.5, 20.0, 100.0, 119.0, 120.0, 500.0])
+def test_scarce_values_are_kept_whole_and_the_others_make_up_for_them(spark, budget):
+    own, share = {"a": 10.0, "b": 60.0, "c": 50.0}, {"a": 0.6, "b": 0.3, "c": 0.1}
+    cells = spark.createDataFrame([(v, int(n)) for v, n in own.items()], "source string, tokens bigint")
+    got = {r.value: r.goal for r in mixing.goals(cells, "source", share, 1.0, spark.createDataFrame([(budget,)], "budget double")).collect()}
+    low, high = 0.0, 1e9  # the level by halving
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(own[v], level * share[v]) for v in own) < budget else (low, level)
+    assert all(got[v] == pytest.approx(min(own[v], high * share[v]), rel=1e-6) for v in own)
 
 
 def test_mixing_keeps_by_probability(docs):
@@ -140,21 +164,48 @@ def test_mixing_keeps_by_probability(docs):
     source = [("a", "b", "c")[int(x)] for x in rng.choice(3, n, p=[0.6, 0.3, 0.1])]
     lang = [("en", "de")[int(x)] for x in rng.choice(2, n, p=[0.8, 0.2])]
     df = docs(["w " * 49 + "w"] * n, source=source, lang=lang)
-    got = mixing.mixed(df, {"source": {"a": 1, "b": 1, "c": 1}, "lang": {"en": 1, "de": 1}}).toPandas()
-    assert len(got) == n and got.probability.between(0, 1).all() and abs(got.probability.max() - 1) < 1e-9
+    wanted = {"source": {"a": 1, "b": 1, "c": 1}, "lang": {"en": 1, "de": 1}}
+    got = mixing.mixed(df, wanted, share=0.25).toPandas()
+    assert len(got) == n and got.probability.between(0, 1).all()
+    assert abs((got.probability * got.tokens).sum() / got.tokens.sum() - 0.25) < 0.0025
     kept = got[got.kept]
     for d, k in (("source", 3), ("lang", 2)):
         assert (abs(kept[d].value_counts(normalize=True) - 1 / k) < 0.06).all()
-    again = mixing.mixed(df.repartition(7), {"source": {"a": 1, "b": 1, "c": 1}, "lang": {"en": 1, "de": 1}}).toPandas()
+    again = mixing.mixed(df.repartition(7), wanted, share=0.25).toPandas()
     assert set(again[again.kept].doc_id) == set(kept.doc_id)
     few = mixing.mixed(df, tokens=5000).toPandas()
-    assert abs((few.probability * few.tokens).sum() - 5000) < 1
+    assert abs((few.probability * few.tokens).sum() - 5000) < 50
+
+
+def test_a_stray_document_takes_nothing_from_the_others(docs, table):
+    real = table("documents", "sf0.01").select("doc_id", "text", "lang", "source")
+    stray = docs(["a stray document of words"], [10**9], lang=["xx"], source=["elsewhere"]).select("doc_id", "text", "lang", "source")
+    shares = []
+    for df in (real, real.unionAll(stray)):
+        got = mixing.mixed(df, mixing.TARGETS, share=mixing.KEPT_SHARE).toPandas()
+        shares.append((got.probability * got.tokens).sum() / got.tokens.sum())
+    assert abs(shares[0] - mixing.KEPT_SHARE) < 0.007 and abs(shares[1] - shares[0]) < 0.01 * shares[0]
 
 
 def test_mixing_edges(docs):
     assert mixing.mixed(docs([])).count() == 0
     got = mixing.mixed(docs([None, "", "a b", "c"], [1, 2, None, 4], source=["s", None, None, "s"], lang=[None, "x", "x", None])).toPandas()
     assert got.tokens.tolist().count(0) == 2 and not got[got.tokens == 0].kept.any() and "(null)" in set(got.source)
+    assert set(got[got.tokens == 0].topic) == {"none"}
+    given = mixing.mixed(docs(["a b", "c"]), topic=F.lit("one")).toPandas()
+    assert set(given.topic) == {"one"}
+
+
+def test_topics_part_texts_of_different_words(docs):
+    rng = np.random.default_rng(6)
+    words = [[f"{k}x{i}" for i in range(200)] for k in "abc"]
+    texts = [" ".join(rng.choice(words[i % 3], 80)) for i in range(240)]
+    model = topics.train(docs(texts), topics=3)
+    got = topics.with_topics(docs(texts).select("doc_id", "text"), model, "doc_id").toPandas()
+    assert got.groupby(got.doc_id % 3).topic.nunique().tolist() == [1, 1, 1] and got.topic.nunique() == 3
+    again = topics.train(docs(texts).repartition(5), topics=3)
+    assert np.array_equal(again.centers, model.centers)
+    assert len(topics.train(docs(["one", "one", None]), topics=3).centers) == 1 and len(topics.train(docs([])).centers) == 0
 
 
 # --- urls
