@@ -2,7 +2,7 @@
 
 Drawing rows with replacement is done by weights: a row counts as often as a Poisson number says, rows that are alike
 together. The numbers come from hashes (``functions.draws``), so an interval is the same on any partitioning, and no
-Python takes part.
+Python takes part, but in a metric that the caller gives as a Python function (``bootstrap_metric``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +109,30 @@ def bootstrap_sums(
     return _interval(totals.where(F.col("w") > 0), key, metric({n: F.col(n) for n in ("w", *sums)}), cfg.ci_alpha)
 
 
+#: Any metric of a resample: arrays (label, score, weight), scores ascending -> a number, or None where it has none.
+SampleMetric = Callable[[np.ndarray, np.ndarray, np.ndarray], float | None]
+
+
+def bootstrap_metric(scores: DataFrame, key: list[str], metric: SampleMetric, cfg: EvalConfig) -> DataFrame:
+    """Interval of any metric, also one that is no function of sums.
+
+    ``metric`` sees one resample of one group at a time, as Arrow batches put together: each distinct label and score
+    with how often its rows were drawn. So a task holds the distinct scores of a group, and the shuffle carries them once
+    for each draw; metrics that are functions of sums are cheaper by ``bootstrap_sums``. Draws without a value are left out.
+    """
+    cells = scores.groupBy(*key, "y_score", "label").agg(F.count("*").alias("_n")).withColumn("_tag", _tag(key, cfg))
+    drawn = R.with_draws(cells, cfg.bootstrap_iters, "_n", "_tag").where("weight > 0").select(*key, "draw", "label", "y_score", "weight")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.select(*key, "draw").schema.fields]
+
+    def once(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y_score", "label"])
+        value = metric(rows["label"].to_numpy(), rows["y_score"].to_numpy(), rows["weight"].to_numpy())
+        return rows[[*key, "draw"]].head(1).assign(value=None if value is None else float(value))
+
+    values = drawn.groupBy(*key, "draw").applyInPandas(once, ", ".join([*fields, "value double"]))
+    return _interval(values.where(F.col("value").isNotNull()), key, F.col("value"), cfg.ci_alpha)
+
+
 def bootstrap_mean(scores: DataFrame, key: list[str], value: Column, cfg: EvalConfig) -> DataFrame:
     """Interval of the mean of ``value``, an expression on label and score (the Brier score, say)."""
     return bootstrap_sums(scores, key, {"total": value}, lambda s: s["total"] / s["w"], cfg)

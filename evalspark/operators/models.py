@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,33 @@ def score(model: Model, encoded: DataFrame, name: str, order: int) -> DataFrame:
     )
 
 
+def logistic_gradient(model: LogisticRegressionModel, rows: DataFrame, regularisation: float) -> DataFrame:
+    """(n, gradient): the mean loss' gradient with its L2 penalty at the model's coefficients, the intercept's last.
+
+    One pass over ``rows`` (features, label): features are summed with the errors p - y as weights, those above and
+    those below zero apart, since weights are not negative. At the optimum every entry is 0.
+    """
+    scored = model.transform(rows).withColumn("_error", vector_to_array("probability")[1] - F.col("label"))
+    above, below = F.greatest(F.col("_error"), F.lit(0.0)), F.greatest(-F.col("_error"), F.lit(0.0))
+    sums = scored.agg(
+        F.count("*").alias("n"),
+        F.sum("_error").alias("_total"),
+        vector_to_array(Summarizer.sum(F.col("features"), above)).alias("_above"),
+        vector_to_array(Summarizer.sum(F.col("features"), below)).alias("_below"),
+    )
+    penalty = F.array(*[F.lit(regularisation * float(c)) for c in model.coefficients.toArray()])
+    loss = F.zip_with("_above", "_below", lambda a, b: a - b)
+    entries = F.zip_with(loss, penalty, lambda x, p: x / F.col("n") + p)
+    return sums.select("n", F.concat(entries, F.array(F.col("_total") / F.col("n"))).alias("gradient"))
+
+
+def score_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n, n_different): rows scored by either, and those whose scores differ or that one side lacks."""
+    key = ["model_name", "split", "id"]
+    both = a.select(*key, F.col("y_score").alias("_a")).join(b.select(*key, F.col("y_score").alias("_b")), key, "full")
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_different"))
+
+
 def train_and_score(encoded: DataFrame, registry: list[dict], save_to: str | None = None, most_rows: int | None = None) -> DataFrame:
     """Fit every model on the train split and score all splits into one long table.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from evalspark.operators.ranking import ranking_metrics
 from evalspark.operators.splits import exact_split, hash_split
 from evalspark.plans import charts
 from evalspark.plans import evaluate as P
+from evalspark.plans.refusals import refused_inputs as refusals
 from evalspark.plans.error_clusters import cluster_checks as checks_of_clusters
 from evalspark.plans.error_clusters import error_clusters as cluster_all
 from evalspark.sources import examples as ex
@@ -34,7 +37,7 @@ from evalspark.sources import predictions as pr
 from evalspark.sources import warehouse as W
 from evalspark.sources.predictions import KEYS
 from evalspark.sources.sinks import FORMATS, read_reports, write_reports
-from evalspark.storage import fresh_path
+from evalspark.storage import fresh_path, materialize
 
 RULES = (
     SliceRule("label_positive", "label == 1", "Positive examples"),
@@ -422,6 +425,17 @@ def bootstrap_ece(spark, sf):
     return _rounded_interval(I.bootstrap_ece(W.orders_predictions(spark, sf), KEYS, CONFIG))
 
 
+def _median_of_positives(label, score, weight):
+    """The lowest score that half of the drawn positives do not exceed."""
+    score, weight = score[label == 1], weight[label == 1]
+    return score[np.searchsorted(np.cumsum(weight) * 2, weight.sum())] if len(score) else None
+
+
+def bootstrap_median(spark, sf):
+    """Interval of a metric that is no function of sums, given as a Python function."""
+    return _rounded_interval(I.bootstrap_metric(W.orders_predictions(spark, sf), KEYS, _median_of_positives, CONFIG))
+
+
 def interval_bounds(spark, sf):
     """Where the estimates lie in their intervals: as a share of the width, and whether inside."""
     preds = W.orders_predictions(spark, sf)
@@ -581,6 +595,29 @@ def train_score_vectors(spark, sf):
     return _ranked(scored).drop("slice_id", "model_order")
 
 
+def logistic_checks(spark, sf):
+    """Is the fitted logistic regression at the optimum, and does its saved copy score alike?"""
+    encoded = materialize(X.encode(W.orders_examples(spark, sf)), "features")
+    train = materialize(encoded.where("split = 'train'").orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS), "training-rows")
+    ((_, estimator),) = models.build_models(REGISTRY[:1], train.count())
+    fitted = estimator.fit(train)
+    path = fresh_path(spark, "model")
+    fitted.write().overwrite().save(path)
+    scored, again = (models.score(m, encoded, "logreg", 0) for m in (fitted, models.load_model(REGISTRY[0]["type"], path)))
+    gradient = models.logistic_gradient(fitted, train, estimator.getRegParam())
+    scale = train.select(vector_to_array("features").alias("f")).agg(F.max(F.array_max(F.transform("f", F.abs))).alias("scale"))  # features are as they are
+    steep = F.array_max(F.transform("gradient", F.abs)) / F.col("scale")
+    at = gradient.crossJoin(scale).select(F.col("n").alias("n_train"), (steep < 1e-4).alias("at_optimum"))
+    return at.crossJoin(models.score_differences(scored, again).withColumnRenamed("n", "n_scored"))
+
+
+def refused_inputs(spark, sf):
+    """What a run on the lines of orders would refuse: rules, and columns among the features."""
+    rules = (*RULES, SliceRule("sum", "l_quantity + l_tax"), SliceRule("broken", "l_quantity >"), SliceRule("small", "l_quantity < 5"))
+    lines = W.table(spark, sf, "lineitem").withColumn("amount", F.col("l_extendedprice"))
+    return refusals(lines, EvalConfig(rules=rules))
+
+
 # -- line items: larger tables, no id ------------------------------------------------
 
 def lineitem_cost_curve(spark, sf):
@@ -638,6 +675,7 @@ QUERIES = {
     "bootstrap_brier": bootstrap_brier,
     "bootstrap_auc": bootstrap_auc,
     "bootstrap_ece": bootstrap_ece,
+    "bootstrap_median": bootstrap_median,
     "interval_bounds": interval_bounds,
     "interval_flags": interval_flags,
     "error_tfidf": error_tfidf,
@@ -656,6 +694,8 @@ QUERIES = {
     "one_hot": one_hot,
     "train_score": train_score,
     "train_score_vectors": train_score_vectors,
+    "logistic_checks": logistic_checks,
+    "refused_inputs": refused_inputs,
     "lineitem_cost_curve": lineitem_cost_curve,
     "lineitem_roc_auc": lineitem_roc_auc,
 }

@@ -231,6 +231,9 @@ AUC_DRAWS = f"""SELECT {BY}, draw, sum(p * (upto - q / 2.0)) / (sum(p) * sum(q))
     SELECT *, sum(q) OVER (PARTITION BY {BY}, draw ORDER BY y_score) AS upto FROM (
       SELECT {BY}, draw, y_score, sum(w) FILTER (label = 1) AS p1, coalesce(p1, 0) AS p, coalesce(sum(w) FILTER (label = 0), 0) AS q FROM drawn GROUP BY {BY}, draw, y_score))
   GROUP BY {BY}, draw HAVING sum(p) > 0 AND sum(q) > 0"""
+MEDIAN_DRAWS = f"""SELECT {BY}, draw, min(y_score) FILTER (2 * upto >= whole) AS v FROM (
+    SELECT *, sum(w) OVER (PARTITION BY {BY}, draw ORDER BY y_score) AS upto, sum(w) OVER (PARTITION BY {BY}, draw) AS whole FROM drawn WHERE label = 1 AND w > 0)
+  GROUP BY {BY}, draw"""
 ECE_DRAWS = f"""SELECT {BY}, draw, sum(CASE WHEN ece_bin IS NOT NULL THEN abs(g) ELSE 0 END) / sum(n) AS v FROM (
     SELECT {BY}, draw, ece_bin, sum(w) AS n, sum(w * (CAST(CAST(y_score >= 0.5 AS INTEGER) = label AS INTEGER) - y_score)) AS g
     FROM (SELECT *, {BIN} AS ece_bin FROM drawn) GROUP BY {BY}, draw, ece_bin) GROUP BY {BY}, draw HAVING sum(n) > 0"""
@@ -518,6 +521,7 @@ ORACLE = {
     "bootstrap_brier": f"WITH {ORDERS}, {DRAWN}, {interval_cte('ci', BRIER_DRAWS)} SELECT model_name, split, {CI} FROM ci",
     "bootstrap_auc": f"WITH {ORDERS}, {DRAWN}, {interval_cte('ci', AUC_DRAWS)} SELECT model_name, split, {CI} FROM ci",
     "bootstrap_ece": f"WITH {ORDERS}, {DRAWN}, {interval_cte('ci', ECE_DRAWS)} SELECT model_name, split, {CI} FROM ci",
+    "bootstrap_median": f"""WITH {ORDERS}, {DRAWN}, {interval_cte('ci', MEDIAN_DRAWS)} SELECT model_name, split, {CI} FROM ci""",
     "bootstrap_intervals": f"""WITH {ORDERS_SLICED},
       c AS (SELECT model_name, split, slice_name, {COUNTS_HALF} FROM sl GROUP BY ALL),
       k AS (SELECT * FROM (SELECT model_name, split, slice_name, n, {ACC} AS accuracy, unnest(['tn', 'fp', 'fn', 'tp']) AS cell, unnest([tn, fp, fn, tp]) AS c FROM c)),
@@ -568,6 +572,15 @@ ORACLE = {
                count(*) OVER (PARTITION BY o_orderstatus = 'F') AS n FROM orders)
       SELECT id, label, CASE WHEN k <= round(n * 0.2) THEN 'test' WHEN k <= round(n * 0.2) + round(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r""",
     "one_hot": f"""WITH {EXAMPLES} SELECT id, {r6('amount', 'amount')}, {', '.join(f"CASE WHEN region = '{r}' THEN 1 ELSE 0 END AS region_{r.lower().replace(' ', '_')}" for r in REGIONS)} FROM examples""",
+    "logistic_checks": f"""SELECT least(1000, count(*) FILTER (split = 'train')) AS n_train, true AS at_optimum, count(*) AS n_scored, 0 AS n_different
+      FROM (SELECT {SPLIT} AS split FROM orders)""",
+    "refused_inputs": """WITH rules(name, columns) AS (VALUES ('label_positive', ['label']), ('label_negative', ['label']), ('region_america', ['region']),
+        ('high_value', ['amount']), ('web', ['channel']), ('small', ['l_quantity'])),
+      have AS (SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'lineitem' UNION ALL SELECT 'amount', 'DOUBLE')
+      SELECT 'rule' AS kind, name, c AS column_name, 'missing_column' AS reason FROM (SELECT name, unnest(columns) AS c FROM rules) WHERE c NOT IN (SELECT column_name FROM have)
+      UNION ALL SELECT 'rule', 'sum', NULL, 'not_boolean' UNION ALL SELECT 'rule', 'broken', NULL, 'unreadable'
+      UNION ALL SELECT 'column', 'label', 'label', 'missing_label'
+      UNION ALL SELECT 'column', column_name, column_name, 'not_numeric' FROM have WHERE data_type IN ('TIMESTAMP', 'DATE')""",
     "lineitem_cost_curve": f"""WITH {LINES}, {curve('preds', BY)}
       SELECT model_name, split, use_case, t AS threshold, {r6('expected_cost', 'expected_cost')} FROM curve""",
     "lineitem_roc_auc": f"""WITH {LINES}, {rank_cte('preds', BY)}

@@ -256,3 +256,21 @@ def test_draws_without_a_value_are_left_out(spark):
     df = spark.createDataFrame([("m", 0, "s", 1, 0, 0, 0), ("m", 0, "t", 0, 0, 0, 0)], "model_name string, model_order int, split string, tn int, fp int, fn int, tp int")
     got = {r.split: (r.ci_low, r.ci_high) for r in I.bootstrap_confusion(df, KEYS, EvalConfig()).collect()}
     assert got == {"s": (1.0, 1.0), "t": (None, None)}
+
+
+def test_any_metric_of_a_resample(make):
+    """Each draw handed to a function, against the same draws put together by hand."""
+    rng = np.random.default_rng(3)
+    rows = [("m", i, int(rng.random() < 0.4), float(rng.integers(0, 25)) / 25) for i in range(200)] + [("n", i, 0, 0.5) for i in range(5)]
+
+    def median(label, score, weight):
+        return np.median(np.repeat(score[label == 1], weight[label == 1])) if (label == 1).any() else None
+
+    got = {r.model_name: r for r in I.bootstrap_metric(make(rows), KEYS, median, EvalConfig(bootstrap_iters=30)).collect()}
+    drawn = {}
+    for y, s, d, w in _drawn(make(rows).where("model_name = 'm'"), 30):
+        if y == 1:
+            drawn.setdefault(d, []).extend([s] * w)
+    values = [np.median(v) for v in drawn.values()]
+    assert (got["m"].ci_low, got["m"].ci_high) == pytest.approx((np.quantile(values, 0.025), np.quantile(values, 0.975)))
+    assert "n" not in got  # no draw has a value

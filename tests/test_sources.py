@@ -1,11 +1,15 @@
 """Reading, hygiene, splits, features, models and storage of predictions."""
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from evalspark import EvalConfig, SliceRule
 from evalspark.operators import features as X
 from evalspark.operators import models
 from evalspark.operators.splits import exact_split, hash_split
+from evalspark.plans.refusals import refused_inputs
 from evalspark.sources import examples as ex
 from evalspark.sources import predictions as pr
 from evalspark.sources import warehouse as W
@@ -142,3 +146,34 @@ def test_registered_boosted_trees_have_every_round(spark):
 
     fits = dict(build_models(REGISTRY, 1000))
     assert fits["xgb"].getMaxIter() == 400 and fits["xgb"].getStepSize() == 0.05 and fits["xgb"].getMaxDepth() == 6
+
+
+def test_gradient_is_that_of_the_penalised_loss(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 4)), rng.integers(0, 2, 200)
+    df = spark.createDataFrame([(i, "train", int(b), Vectors.dense(a)) for i, (a, b) in enumerate(zip(x, y))], ["id", "split", "label", "features"])
+    (_, estimator), = models.build_models([{"name": "a", "type": "logistic_regression", "params": {"C": 0.05, "max_iter": 200}}], 200)
+    for iterations in (1, 200):
+        fitted = estimator.copy({estimator.maxIter: iterations}).fit(df)
+        w, b = fitted.coefficients.toArray(), fitted.intercept
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        want = np.r_[x.T @ error / 200 + estimator.getRegParam() * w, error.mean()]
+        got = models.logistic_gradient(fitted, df, estimator.getRegParam()).first()
+        assert got.n == 200 and np.allclose(got.gradient, want, atol=1e-12)
+        assert (np.abs(got.gradient).max() < 1e-5) == (iterations == 200)
+
+
+def test_different_scores_are_counted(spark):
+    a = spark.createDataFrame([("m", "s", 1, 0.5), ("m", "s", 2, 0.5), ("m", "s", 3, None)], "model_name string, split string, id int, y_score double")
+    b = spark.createDataFrame([("m", "s", 1, 0.5), ("m", "s", 2, 0.6), ("m", "s", 3, None), ("m", "s", 4, 0.1)], a.schema)
+    assert tuple(models.score_differences(a, b).first()) == (4, 2)
+
+
+def test_refused_inputs_are_listed_without_reading_rows(spark):
+    df = spark.createDataFrame([], "id int, label int, text string, c string, x double, d date, b boolean, `odd name` array<int>")
+    rules = (SliceRule("fine", "x > 1 and c in ('a b', 'nope')"), SliceRule("gone", "nope == 1"), SliceRule("number", "x + 1"), SliceRule("broken", "x >"), SliceRule("type", "x > d"))
+    got = {tuple(r) for r in refused_inputs(df, EvalConfig(rules=rules)).collect()}
+    assert got == {("rule", "gone", "nope", "missing_column"), ("rule", "number", None, "not_boolean"), ("rule", "broken", None, "unreadable"), ("rule", "type", None, "unreadable"),
+                   ("column", "d", "d", "not_numeric"), ("column", "odd name", "odd name", "not_numeric")}
+    assert ("column", "label", "label", "missing_label") in {tuple(r) for r in refused_inputs(df.drop("label"), EvalConfig()).collect()}
+    assert refused_inputs(df.drop("d", "odd name"), EvalConfig()).count() == 0
