@@ -1,9 +1,11 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-Unit vectors are ordered by the cells of a grid on their leading principal dimensions. The order is cut into blocks;
-blocks meet only if their boxes are within epsilon of each other (an equality join on the first dimension's cells
-finds them), and two blocks are joined by halving them until the parts are provably distant or small.
-Projections shorten distances, so nothing within epsilon is skipped.
+Unit vectors are ordered by the cells of a grid on their leading principal dimensions. The order is cut into leaves of
+few vectors, and some leaves in a row are a group. A directory of the leaves' boxes says which leaves are within epsilon
+of each other (an equality join on the first dimension's cells finds them); all others are skipped and don't travel. What
+two groups have to compare is a tile: a leaf goes to a tile once, however many leaves it meets there, and two leaves are
+joined by halving them until the parts are provably distant or small. Projections shorten distances, so nothing within
+epsilon is skipped.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components, local_forest
 
-_LEAF = 256
+_LEAF = 64  # intervals up to this size are compared at once
+LEAF, LEAVES = 256, 16  # vectors of a leaf, and leaves of a group
+GROUP_BYTES = 8 << 20  # of a group's vectors; with longer vectors it has fewer leaves
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
@@ -78,8 +82,8 @@ def principal_axes(different: DataFrame, lead: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _blocks(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, lead: int, size: int) -> DataFrame:
-    """(block, dims, ids, copies, low, high, vectors): runs of the grid order."""
+def _leaves(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, lead: int, size: int) -> DataFrame:
+    """(leaf, block, dims, ids, copies, low, high, vectors): runs of the grid order, and the group (block) of each."""
     cells = [f"c{k}" for k in range(lead)]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,18 +98,23 @@ def _blocks(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, l
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        block: list[int] = [0, 0, 0]  # its first vector, its leaves so far, their dimensions
 
         def out() -> pa.RecordBatch:
             ids, copies, dims, units = zip(*held, strict=True)
             d = dims[0]
+            if not block[1] or block[1] >= min(LEAVES, max(1, GROUP_BYTES // (8 * d * size))) or block[2] != d:
+                block[:] = ids[0], 0, d
+            block[1] += 1
             x = np.frombuffer(b"".join(units), np.float64).reshape(-1, d) @ axes[d]
             low, high = x.min(axis=0) - 1e-9, x.max(axis=0) + 1e-9
-            row = [[int(ids[0])], [d], [np.array(ids, np.int64).tobytes()], [np.array(copies, np.int64).tobytes()], [low.tolist()], [high.tolist()], [b"".join(units)]]
+            row = [[int(ids[0])], [block[0]], [d], [np.array(ids, np.int64).tobytes()], [np.array(copies, np.int64).tobytes()], [low.tolist()], [high.tolist()], [b"".join(units)]]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary()), strict=True)], ["block", "dims", "ids", "copies", "low", "high", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], ["leaf", "block", "dims", "ids", "copies", "low", "high", "vectors"])
 
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("rep", "copies", "dims", "vector")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("number", "copies", "dims", "vector")), strict=True):
                 if held and (len(held) >= size or held[0][2] != row[2]):
                     yield out()
                 held.append(row)
@@ -113,21 +122,23 @@ def _blocks(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, l
             yield out()
 
     kinds = ", ".join(f"{c} int" for c in cells)
-    placed = different.select("rep", "copies", "dims", "vector").mapInArrow(project, f"rep bigint, copies bigint, dims int, vector binary, {kinds}")
-    ordered = placed.repartitionByRange(common.partitions(different.sparkSession), "dims", *cells, "rep").sortWithinPartitions("dims", *cells, "rep")
-    schema = "block bigint, dims int, ids binary, copies binary, low array<double>, high array<double>, vectors binary"
-    return ordered.select("rep", "copies", "dims", "vector").mapInArrow(cut, schema)
+    placed = different.select("number", "copies", "dims", "vector").mapInArrow(project, f"number bigint, copies bigint, dims int, vector binary, {kinds}")
+    ordered = placed.repartitionByRange(common.partitions(different.sparkSession), "dims", *cells, "number").sortWithinPartitions("dims", *cells, "number")
+    schema = "leaf bigint, block bigint, dims int, ids binary, copies binary, low array<double>, high array<double>, vectors binary"
+    return ordered.select("number", "copies", "dims", "vector").mapInArrow(cut, schema)
 
 
-def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """(left, right): blocks, each with itself too, whose boxes are within epsilon. No block meets one whose cells are not adjacent."""
-    boxes = blocks.select("block", "dims", "low", "high")
+def _near_leaves(leaves: DataFrame, epsilon: float) -> DataFrame:
+    """(left, right, block_l, block_r): leaves, each with itself too, whose boxes are within epsilon; from the boxes alone.
+    No leaf meets one whose cells are not adjacent. A tile is named by its groups in ascending order."""
+    boxes = leaves.select("leaf", "block", "dims", "low", "high")
     cell = lambda c: F.floor(c / epsilon)
-    a = boxes.select(F.col("block").alias("left"), F.col("dims").alias("d"), F.col("low").alias("l"), F.col("high").alias("h"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
-    b = boxes.select(F.col("block").alias("right"), "dims", "low", "high", F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("near"))
+    a = boxes.select(F.col("leaf").alias("left"), F.col("block").alias("x"), F.col("dims").alias("d"), F.col("low").alias("l"), F.col("high").alias("h"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
+    b = boxes.select(F.col("leaf").alias("right"), F.col("block").alias("y"), "dims", "low", "high", F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("near"))
     gaps = F.zip_with(F.zip_with("l", "high", lambda x, y: x - y), F.zip_with("low", "h", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
-    return a.join(b, (F.col("cell") == F.col("near")) & (F.col("d") == F.col("dims")) & (F.col("left") <= F.col("right")) & (apart <= epsilon * epsilon)).select("left", "right").distinct()
+    near = a.join(b, (F.col("cell") == F.col("near")) & (F.col("d") == F.col("dims")) & (F.col("left") <= F.col("right")) & (apart <= epsilon * epsilon))
+    return near.select("left", "right", F.least("x", "y").alias("block_l"), F.greatest("x", "y").alias("block_r")).distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -168,44 +179,35 @@ def join_intervals(a: tuple, b: tuple, axes: np.ndarray, epsilon: float, thresho
         yield from join_intervals(left, right, axes, epsilon, threshold, own)
 
 
-def _links(blocks: DataFrame, near: DataFrame, axes: dict[int, np.ndarray], epsilon: float, threshold: float) -> DataFrame:
-    """(a, b, links): with ``b`` null, links of vector ``a`` found in a pair of blocks; else ``b`` is a smaller vector of a's part of the graph."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right, d, ids, copies, vectors, ids2, copies2, vectors2 in zip(*(batch.column(n).to_pylist() for n in ("left", "right", "dims", "ids", "copies", "vectors", "ids2", "copies2", "vectors2")), strict=True):
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, d) for v in (vectors, vectors2))
-                own, other = np.frombuffer(ids, np.int64), np.frombuffer(ids2, np.int64)
-                n, m = np.frombuffer(copies, np.int64), np.frombuffer(copies2, np.int64)
-                of_own, of_other = np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)
-                forest: list[tuple[np.ndarray, np.ndarray]] = []
-                sides = ((x, x @ axes[d], np.arange(len(x))), (y, y @ axes[d], np.arange(len(y))))
-                for i, j, found in join_intervals(*sides, axes[d], epsilon, threshold, left == right):
-                    of_own[i] += found @ m[j]
-                    of_other[j] += n[i] @ found
-                    p, q = np.nonzero(found)
-                    forest.append(local_forest(own[i[p]], other[j[q]]))
-                if not forest:
-                    continue
-                a, b = local_forest(*(np.concatenate(c) for c in zip(*forest, strict=True)))
-                if left == right:
-                    of_own, of_other = of_own + of_other, np.zeros(0, np.int64)
-                    other = other[:0]
-                who, how = np.r_[own, other], np.r_[of_own, of_other]
-                who, how = who[how > 0], how[how > 0]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[who, a]),
-                    pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(b, pa.int64())]),
-                    pa.array(np.r_[how, np.zeros(len(a), np.int64)]),
-                ], ["a", "b", "links"])
-
-    first = near.join(blocks.drop("low", "high"), F.col("left") == F.col("block")).drop("block")
-    second = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vectors").alias("vectors2"))
-    pairs = first.join(second, F.col("right") == F.col("block2")).drop("block2")
-    return pairs.mapInArrow(run, "a bigint, b bigint, links bigint")
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, block: int = 8192) -> DataFrame:
+def _links(leaves: DataFrame, near: DataFrame, axes: dict[int, np.ndarray], epsilon: float, threshold: float) -> DataFrame:
+    """(a, b, links): with ``b`` null, links of vector ``a`` found in a tile; else ``b`` is a smaller vector of a's part of the graph."""
+
+    def tile(pairs: pa.Table, sides: pa.Table) -> pa.Table:
+        held = {}
+        for leaf, d, ids, copies, vectors in zip(*(sides.column(n).to_pylist() for n in ("of_leaf", "dims", "ids", "copies", "vectors")), strict=True):
+            x = np.frombuffer(vectors, np.float64).reshape(-1, d)
+            held[leaf] = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), np.zeros(len(x), np.int64), (x, x @ axes[d], np.arange(len(x))), d
+        forest: list[tuple[np.ndarray, np.ndarray]] = []
+        for left, right in zip(pairs.column("left").to_pylist(), pairs.column("right").to_pylist(), strict=True):
+            (own, n, of_own, x, d), (other, m, of_other, y, _) = held[left], held[right]
+            for i, j, found in join_intervals(x, y, axes[d], epsilon, threshold, left == right):
+                of_own[i] += found @ m[j]
+                of_other[j] += n[i] @ found
+                p, q = np.nonzero(found)
+                forest.append(local_forest(own[i[p]], other[j[q]]))
+        none = np.zeros(0, np.int64)
+        a, b = local_forest(*(np.concatenate(c) for c in zip(*forest, strict=True))) if forest else (none, none)
+        who, how = (np.concatenate([none, *(x[k] for x in held.values())]) for k in (0, 2))
+        who, how = who[how > 0], how[how > 0]
+        second = pa.chunked_array([pa.nulls(len(who), pa.int64()), pa.array(b, pa.int64())])
+        return pa.table([pa.array(np.r_[who, a]), second, pa.array(np.r_[how, np.zeros(len(a), np.int64)])], ["a", "b", "links"])
+
+    sides = near.select("block_l", "block_r", F.explode(F.array("left", "right")).alias("to")).distinct().join(leaves.select(F.col("leaf").alias("of_leaf"), "dims", "ids", "copies", "vectors"), F.col("to") == F.col("of_leaf")).drop("to")
+    sides = sides.select(F.col("block_l").alias("bl"), F.col("block_r").alias("br"), "of_leaf", "dims", "ids", "copies", "vectors")
+    return near.groupBy("block_l", "block_r").cogroup(sides.groupBy("bl", "br")).applyInArrow(tile, "a bigint, b bigint, links bigint")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, leaf: int = LEAF) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
     Two vectors are linked if their cosine, in double precision, is at least ``threshold`` (which must be positive).
@@ -213,18 +215,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, blo
     ``kept``: it is that one. Null, empty and zero vectors, and those with null or non-finite components, link with nothing, as do
     vectors of different lengths. Equal vectors are joined once, with their number; a null vec_id is the smallest
     id; each row counts as a vector even if its id repeats. Other columns are not read. ``lead``: dimensions of the grid;
-    ``block``: vectors that travel together.
+    ``leaf``: vectors that travel together.
     """
     epsilon = math.sqrt(2 - 2 * threshold) * (1 + 1e-9)
     rows = common.written(_prepared(vectors), "vectors")
-    different = common.written(rows.where("key is not null").groupBy("key", "dims").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "different")
+    different = rows.where("key is not null").groupBy("key", "dims").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    different = common.written(different.withColumn("number", F.monotonically_increasing_id()), "different")
     axes = principal_axes(different, lead)
-    blocks = common.written(_blocks(different, axes, epsilon, lead, block), "blocks")
-    found = common.written(_links(blocks, _near_blocks(blocks, epsilon), axes, epsilon, threshold), "found")
+    leaves = common.written(_leaves(different, axes, epsilon, lead, leaf), "leaves")
+    near = common.written(_near_leaves(leaves, epsilon), "directory")
+    found = common.written(_links(leaves, near, axes, epsilon, threshold), "found")
     parts = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    known = different.select("key", "rep", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("key").alias("of_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    known = different.select("key", "number", "rep", "copies").join(counts, F.col("number") == F.col("a"), "left").join(parts, F.col("number") == F.col("node"), "left")
+    known = known.select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "number").alias("part"))
+    least = known.groupBy(F.col("part").alias("of_part")).agg(F.min("rep").alias("component"))
+    known = known.join(least, F.col("part") == F.col("of_part")).select(F.col("key").alias("of_key"), "links", "component")
     joined = rows.select("vec_id", "key").join(known.hint("merge"), F.col("key") == F.col("of_key"), "left")
     component = F.coalesce("component", "vec_id")
     return joined.select(

@@ -41,14 +41,37 @@ def vectors(rng, d=16):
     return [v.tolist() for v in [*x, *copies]]
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_links_and_components(spark, block, monkeypatch):
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    near, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, near), (1, far), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0, 0.01]), (4, [0.0, 1.0, 0.01]), (1, [0.0, 0.0, 1.0]), (1, near)]
+    got = egojoin.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), leaf=2).collect()
+    # the two equal rows link with each other, 2 and 3; the second row of id 1 with 4; the third with none
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 1)]
+
+
+def test_distant_leaves_are_skipped_and_travel_once_a_tile(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    x = np.repeat(centers, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    seen = {}
+    plain = egojoin._links
+    monkeypatch.setattr(egojoin, "_links", lambda leaves, near, *more: seen.update(leaves=leaves.count(), pairs=near.count(), sent=near.selectExpr("block_l", "block_r", "explode(array(left, right)) AS leaf").distinct().count()) or plain(leaves, near, *more))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in egojoin.near_vectors(df, leaf=16).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T) >= 0.95
+    assert {k: v[0] for k, v in got.items()} == dict(enumerate((links.sum(axis=1) - 1).tolist()))
+    assert seen["pairs"] < 0.5 * seen["leaves"] * (seen["leaves"] + 1) / 2 and seen["sent"] < 2 * seen["pairs"]
+
+
+@pytest.mark.parametrize("leaf", [7, 1024])
+def test_links_and_components(spark, leaf, monkeypatch):
     monkeypatch.setattr(egojoin, "_LEAF", 5)
     rows = vectors(np.random.default_rng(1))
     n = len(rows)
     extra = [None, [], [0.0] * 16, [float("nan")] * 16, [1.0, None] + [0.0] * 14, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0], rows[0]]
     df = spark.createDataFrame([(k, v, 1, "x") for k, v in enumerate(rows + extra)], "vec_id bigint, embedding array<double>, label int, key string")
-    got = {r.vec_id: r for r in egojoin.near_vectors(df, block=block).collect()}
+    got = {r.vec_id: r for r in egojoin.near_vectors(df, leaf=leaf).collect()}
     x = np.array([*rows, [0.0] * 16])
     x[n] = rows[0]
     unit = x / np.linalg.norm(x, axis=1)[:, None]
