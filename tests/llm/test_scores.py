@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,12 +83,48 @@ def test_labels_of_held_out_rows_are_not_learned(table):
 
 
 def test_held_out_toxicity(table):
+    """Fitted on the labelled documents of even id, judged on the odd ones."""
     docs, labels = table("documents", "sf0.1"), table("labels", "sf0.1")
-    learn = labels.where("doc_id % 2 = 0")
-    got = toxicity.severity(docs, learn).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
-    assert got[got.toxic_x].toxic.mean() > 0 if "toxic_x" in got else True
-    frame = got.iloc[:, ~got.columns.duplicated()]
-    assert len(frame) > 1000
+    got = toxicity.severity(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").selectExpr("doc_id", "toxic AS label"), "doc_id").toPandas()
+    assert (got.label == 1).sum() > 200 and (got.label == 0).sum() > 1500
+    assert got[got.label == 1].toxic.mean() >= 0.93
+    assert got[got.label == 0].toxic.mean() <= 0.01
+
+
+def test_ordinal_likelihood_against_its_definition():
+    """The sum of log(P(grade >= k) - P(grade >= k + 1)), written out; and the gradient by differences."""
+    rng = np.random.default_rng(2)
+    n, f, levels, ridge = 30, 6, 3, 0.02
+    has = rng.random((n, f)) < 0.4
+    doc, at = np.nonzero(has)
+    grade, weight = rng.integers(0, levels + 1, n), rng.random(n)
+    par = rng.normal(size=f + levels) * 0.7
+    value, grad = toxicity.likelihood(par, doc, at, grade, weight, f, levels, ridge)
+    t = [par[f], par[f] + np.exp(par[f + 1]), par[f] + np.exp(par[f + 1]) + np.exp(par[f + 2])]
+    total = 0.0
+    for i in range(n):
+        x = sum(par[k] for k in range(f) if has[i, k])
+        above = [1.0, *(1 / (1 + np.exp(-(x - c))) for c in t), 0.0]
+        total -= weight[i] * np.log(above[grade[i]] - above[grade[i] + 1])
+    assert value == pytest.approx(total + ridge / 2 * sum(c * c for c in par[:f]))
+    for k in range(len(par)):
+        step = np.eye(len(par))[k] * 1e-6
+        high, low = (toxicity.likelihood(par + s, doc, at, grade, weight, f, levels, ridge)[0] for s in (step, -step))
+        assert grad[k] == pytest.approx((high - low) / 2e-6, rel=1e-5, abs=1e-7)
+
+
+def test_features_are_words_beginnings_and_levels():
+    """Each document's features against a plain count."""
+    texts = ["abcdefgh abcdefgh abcdefxx", "Abcde abcde abcde abcde é", "", "abcdef"]
+    data = [t.encode() for t in texts]
+    doc, slot, count = toxicity._present(np.r_[0, np.cumsum([len(t) for t in data])], np.frombuffer(b"".join(data), np.uint8))
+    want = []
+    for t in texts:
+        words = [w.encode() for w in t.lower().split()]
+        have = Counter(words) + Counter((k, w[:k]) for w in words for k in toxicity.BEGINNINGS if len(w) > k)
+        want.append(sorted(n for n in have.values() for level in toxicity.LEVELS if n >= level))
+    assert [sorted(count[doc == i].tolist()) for i in range(4)] == want
+    assert all(len(set(slot[doc == i].tolist())) == len(want[i]) for i in range(4))
 
 
 def test_toxicity_flags_planted_words(docs, spark):
