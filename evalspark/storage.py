@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or one in the warehouse; both are shared by all executors."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_evalspark"
+    """The folder named by ``spark.checkpoint.dir``, or one in the warehouse; both are shared by all executors.
+
+    On a cluster a warehouse on the machine's own disk is not: that is an error, as executors could not read each
+    other's tables.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: the warehouse {warehouse} is local to a machine")
+        folder = f"{warehouse}/_evalspark"
     return folder.rstrip("/")
 
 
