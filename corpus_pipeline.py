@@ -3,7 +3,6 @@ the rest is encoded. Every stage reads what the one before wrote."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage drops a row by its doc_id: rows that share an id stay or go together. A stage's table is deleted once
+    the next one is written.
+    """
     docs = common.read(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = f"{folder}/{k}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    before = None
+    for name, stage in STAGES:
+        docs = before = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}", instead_of=before)
     return docs

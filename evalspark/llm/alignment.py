@@ -477,7 +477,7 @@ def _long_fragments(long: DataFrame, sent, t: Tokenizers) -> DataFrame:
     now = common.written(parts.repartition(n, "key", "part").mapInArrow(make, _FRAGMENT), "fragments")
     while (now.agg(F.max("part")).head()[0] or 0) > 0:
         dealt = now.repartition(n, "key", F.expr(f"part div {FAN}")).sortWithinPartitions("key", "part")
-        now = common.written(dealt.mapInArrow(join, _FRAGMENT), "fragments")
+        now = common.written(dealt.mapInArrow(join, _FRAGMENT), "fragments", instead_of=now)
     return now
 
 

@@ -28,17 +28,35 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or the warehouse where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return folder.rstrip("/")
+    """A folder of this application that all executors see: in ``spark.checkpoint.dir``, or in the warehouse where that
+    is unset, as in tests; on a cluster a warehouse on the machine's own disk is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: the warehouse {warehouse} is local to a machine")
+        folder = f"{warehouse}/_evalspark"
+    return f"{folder.rstrip('/')}/evalspark/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once, and a lost executor loses nothing of it."""
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: it is computed once, and a lost executor loses nothing of it.
+
+    ``instead_of``: a table written before that nothing reads any more once ``df`` is written; it is deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    if instead_of is not None:
+        drop(spark, instead_of._written_path)
+    return out
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_column(name: str) -> Column:

@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least.hint("merge"), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least.hint("merge"), F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = common.written(small.where("a <> b").distinct(), "links")
+        edges = common.written(small.where("a <> b").distinct(), "links", instead_of=edges)
         after = state(edges)
         if after == before:
             break
