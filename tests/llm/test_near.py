@@ -359,3 +359,30 @@ def test_evidence_split_between_holders_counts_together(docs, words):
     for (_, key), others in heads.items():
         first[key] = min(first.get(key, 10**9), *others)
     assert all(first[key] in others for (_, key), others in heads.items())
+
+
+def test_a_copy_is_found_beside_repeats_of_its_ends(docs, words):
+    """The source repeats the passage's first words before it and its last words after it."""
+    passage = words(50, 71).split()
+    source = " ".join([*passage[:12], *words(30, 72).split(), *passage, *words(30, 73).split(), *passage[-12:]])
+    got = {r.doc_id: r for r in windows.repeated_passages(docs([source, f"{words(40, 74)} {' '.join(passage)} {words(40, 75)}"])).collect()}
+    assert got[1].n_spans == 1
+
+
+def test_every_supported_alignment_is_tried():
+    """Against all pairs of windows, with shingles that occur many times in the other document."""
+    rng = np.random.default_rng(12)
+    least = 10
+    for trial in range(60):
+        other = rng.integers(0, 12 if trial % 2 else 40, 80).astype(np.uint64)
+        passage = np.r_[rng.integers(100, 200, 5), other[20:40], rng.integers(0, 40, 10)].astype(np.uint64)
+        passage[rng.integers(5, 25)] = 999
+        order = np.argsort(other, kind="stable")
+        spans = windows.similar_spans(passage, (other[order], order.astype(np.int64)), least, 0.8)
+        covered = np.zeros(len(passage), bool)
+        for _, _, x, y in spans:
+            covered[x:y] = True
+        for s in range(len(passage) - least + 1):
+            own = passage[s : s + least]
+            exact = any(np.array_equal(own, other[b : b + least]) for b in range(len(other) - least + 1))
+            assert covered[s : s + least].all() or not exact, (trial, s)
