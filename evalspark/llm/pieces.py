@@ -70,15 +70,21 @@ class Vocabulary:
         inner = {a + b for p in self.ids for a, b in pairwise(p)}
         known = set("".join(self.ids))
         # Boundaries that no piece spans: before the first space of a run, between letters or digits and other
-        # characters, and around white space without a piece; each only if the vocabulary is so.
+        # characters (or only where letters end), and around white space without a piece; each only if the vocabulary is so.
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in known)
         stretch = [f"[{alone}]"] if alone else []
         if any(x[1] == _SPACE != x[0] for x in inner):
             stretch.append(f"[^{alone}]+" if alone else r"[\s\S]+")
-        elif any(_SPACE not in x and bool(_letter(x[0])) != bool(_letter(x[1])) for x in inner):
-            stretch += [f" *[^ {alone}]+", " +"]
         else:
-            stretch += [r" *[^\W_]+", rf" *(?:[^\w {alone}]|_)+", " +"]
+            pairs = [x for x in inner if _SPACE not in x]
+            odd = {c for x in pairs if bool(_letter(x[0])) != bool(_letter(x[1])) for c in x if _letter(c)}
+            letters = {c for x in pairs for c in x if _letter(c)} - odd
+            if len(odd) > 16 or any((x[0] in letters) != (x[1] in letters) for x in pairs):
+                stretch += [f" *[^ {alone}]+", " +"]
+            else:  # a few characters count with the other side
+                apart = "".join(map(re.escape, sorted(odd)))
+                other = rf"(?:[^\w {alone}]|[_{apart}])+"
+                stretch += [rf" *[^\W_{apart}]+", rf" *{other}", " +"]
         self.split = re.compile("|".join(stretch)).findall
         self.apart: dict[int, bool] = {}
         #: Pieces that a path may use (of a BPE vocabulary those that merging arrives at), and as -1 their beginnings.
