@@ -76,9 +76,12 @@ def _linear(model: OrdinalModel, doc: np.ndarray, word: np.ndarray, n: int) -> n
 
 def telling_words(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, z: float = Z) -> tuple[np.ndarray, np.ndarray]:
     """Words whose share of documents differs between the classes by ``z`` standard errors, and the signed difference."""
-    with_toxic = np.bincount(word, toxic[doc], _SLOTS)
-    with_any = np.bincount(word, minlength=_SLOTS)
-    n, n_toxic = len(toxic), max(1, int(toxic.sum()))
+    return _telling(np.bincount(word, toxic[doc], _SLOTS), np.bincount(word, minlength=_SLOTS), len(toxic), int(toxic.sum()), z)
+
+
+def _telling(with_toxic: np.ndarray, with_any: np.ndarray, n: int, n_toxic: int, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the numbers of toxic and of all documents that have each feature."""
+    n_toxic = max(1, n_toxic)
     n_clean = max(1, n - n_toxic)
     pooled = with_any / max(n, 1)
     gap = with_toxic / n_toxic - (with_any - with_toxic) / n_clean
@@ -104,7 +107,7 @@ def fit(bounds: np.ndarray, data: np.ndarray, toxic: np.ndarray, levels: int = 3
     Of several ridges the one is taken that does best on every fifth document when fitted on the others: most toxic ones
     flagged, a falsely flagged share counting three times.
     """
-    features = _present(bounds, data)
+    features = _gathered(bounds, data, toxic)
     if len(ridges) > 1 and len(toxic) >= 50:
         aside = np.arange(len(toxic)) % 5 == 0
         right = [_gain(_fit(*_part(features, ~aside), toxic[~aside], levels, steps, r), _part(features, aside), toxic[aside]) for r in ridges]
@@ -112,6 +115,22 @@ def fit(bounds: np.ndarray, data: np.ndarray, toxic: np.ndarray, levels: int = 3
     return _fit(*features, toxic, levels, steps, ridges[0])
 
 
+def _gathered(bounds: np.ndarray, data: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_present`` of the sample a slice at a time: counted first, then only features kept that come near to telling."""
+    with_toxic, with_any = np.zeros(_SLOTS), np.zeros(_SLOTS, np.int64)
+    for a, b in common.slices(bounds):
+        doc, word, _ = _present(bounds[a : b + 1] - bounds[a], data[bounds[a] : bounds[b]])
+        with_toxic += np.bincount(word, toxic[a + doc], _SLOTS)
+        with_any += np.bincount(word, minlength=_SLOTS)
+    near = np.zeros(_SLOTS, bool)
+    near[_telling(with_toxic, with_any, len(toxic), int(toxic.sum()), 0.75 * Z)[0]] = True
+    held = [(np.zeros(0, np.int64),) * 3]
+    for a, b in common.slices(bounds):
+        doc, word, count = _present(bounds[a : b + 1] - bounds[a], data[bounds[a] : bounds[b]])
+        held.append((a + doc[near[word]], word[near[word]], count[near[word]]))
+    return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _part(features: tuple, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The features of the chosen documents, numbered anew."""
     doc, word, count = features
