@@ -51,15 +51,23 @@ def tfidf_rows(docs: DataFrame, group: list[str], max_terms: int) -> DataFrame:
 
     ``docs`` has the group columns, ``id`` (once in a group) and ``tokens``. A group's vocabulary are its ``max_terms``
     most frequent terms, of equally frequent ones the first by name; weights as in ``tfidf``. Everything is a sum by
-    (group, term) or (group, id): counts combine in the tasks, and no vocabulary passes through the driver.
+    (group, term) or (group, id): counts combine in the tasks, and no vocabulary passes through the driver. Texts are
+    parsed once, into a written table of counts; a group's terms are ranked in parts before the parts' best meet.
     """
+    spark = docs.sparkSession
     sizes = docs.groupBy(*group).agg(F.count("*").alias("_n"))
-    cells = docs.select(*group, "id", F.explode("tokens").alias("term")).groupBy(*group, "id", "term").agg(F.count("*").alias("count"))
+    # The outer form: of the inner one Spark makes a filter on the tokens, and parses all texts of the table for it.
+    found = docs.select(*group, "id", F.posexplode_outer("tokens").alias("_pos", "term")).where("_pos IS NOT NULL")
+    cells = materialize(found.groupBy(*group, "id", "term").agg(F.count("*").alias("count")), "term-counts")
     terms = cells.groupBy(*group, "term").agg(F.sum("count").alias("_total"), F.count("*").alias("_df"))
-    rank = Window.partitionBy(*group).orderBy(F.col("_total").desc(), "term")
-    kept = terms.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= max_terms).join(sizes, group)
+    part = F.pmod(F.xxhash64("term"), F.lit(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    kept = terms.withColumn("_part", part)
+    for keys in ([*group, "_part"], group):
+        rank = Window.partitionBy(*keys).orderBy(F.col("_total").desc(), "term")
+        kept = kept.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= max_terms)
     idf = F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1
-    rows = cells.join(kept.select(*group, "term", idf.alias("_idf")), [*group, "term"]).withColumn("_raw", F.col("count") * F.col("_idf"))
+    weights = kept.join(sizes, group).select(*group, "term", idf.alias("_idf"))  # at most max_terms rows of a group
+    rows = cells.join(F.broadcast(weights), [*group, "term"]).withColumn("_raw", F.col("count") * F.col("_idf"))
     length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*group, "id")))
     return rows.select(*group, "id", "term", "count", (F.col("_raw") / length).alias("weight"))
 

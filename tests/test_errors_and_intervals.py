@@ -88,6 +88,27 @@ def test_rows_of_the_matrix_are_the_vectors_of_the_clusters(spark):
         assert all(rows[k] == pytest.approx(w, rel=1e-12) for k, w in own.items())
 
 
+def test_texts_are_parsed_once_and_only_those_of_the_errors(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(text):
+        parsed.add(1)
+        return text.split()
+
+    texts = spark.createDataFrame([(i, f"a b{i % 7} c{i % 3} a") for i in range(100)], "id int, text string")
+    wrong = spark.createDataFrame([("m", i) for i in range(0, 40, 2)], "model string, id int")
+    docs = wrong.join(texts, "id").withColumn("tokens", counted("text"))
+    assert T.tfidf_rows(docs, ["model"], 25).count() == 60 and parsed.value == 20
+
+
+def test_terms_are_ranked_in_parts(spark):
+    docs = spark.createDataFrame([(i, "m", [f"t{i}", f"t{i + 1}", "a"]) for i in range(300)], "id int, model string, tokens array<string>")
+    got = T.tfidf_rows(docs, ["model"], 7)
+    assert {r.term for r in got.select("term").distinct().collect()} == {"a", "t1", "t10", "t100", "t101", "t102", "t103"}
+    assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()  # no task sorts all terms of a group
+
+
 def _errors(spark, n=60):
     words = ["late", "parcel", "glass", "broken", "refund", "again", "colour", "wrong"]
     rng = np.random.default_rng(5)
