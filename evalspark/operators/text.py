@@ -25,8 +25,8 @@ from evalspark.storage import materialize
 # Fixed value: a word is two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
 # Errors are dealt by id into tasks of about so many before a fit: how many tasks depends on the errors alone, so fits
-# don't depend on how the input was dealt.
-FIT_ROWS = 100_000
+# don't depend on how the input was dealt. A task holds their texts and tokens.
+FIT_ROWS = 5_000
 
 
 def words(text: Column, stop_words: list[str] | None = None) -> Column:

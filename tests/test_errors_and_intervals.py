@@ -127,6 +127,19 @@ def test_the_latent_space_keeps_what_singular_values_say(spark):
     assert kept.per_dimension == pytest.approx(list(found.values**2))
 
 
+def test_errors_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    dealt = []
+    write = T.materialize
+
+    def recorded(df, name):
+        dealt.append((name, df.rdd.getNumPartitions()))
+        return write(df, name)
+
+    monkeypatch.setattr(T, "materialize", recorded)
+    assert T.cluster_texts(_errors(spark, 12_000), 12_000, EvalConfig()) is not None
+    assert dealt[0] == ("error-tokens", 3)
+
+
 def test_a_row_in_a_wrong_cluster_is_seen(spark):
     found = T.cluster_texts(_errors(spark), 60, EvalConfig())
     assert sum(r.n_misplaced for r in T.misplaced(found).collect()) == 0
