@@ -91,9 +91,12 @@ def tfidf(docs: DataFrame, max_terms: int) -> tuple[DataFrame, list[str]]:
 
 def latent_space(docs: DataFrame, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """The leading right singular vectors of the uncentred TF-IDF rows (terms x dimensions), and the singular values."""
-    rows = MLUtils.convertVectorColumnsFromML(docs.select("tfidf"), "tfidf")
-    found = RowMatrix(rows).computeSVD(dimensions)
-    return found.V.toArray(), found.s.toArray()
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(docs.select("tfidf"), "tfidf"))
+    held = matrix._java_matrix_wrapper._java_model.rows().cache()  # read once per step otherwise; what doesn't fit still is
+    found = matrix.computeSVD(dimensions)
+    basis, values = found.V.toArray(), found.s.toArray()
+    held.unpersist(False)
+    return basis, values
 
 
 def latent_basis(docs: DataFrame, dimensions: int) -> np.ndarray:

@@ -140,6 +140,20 @@ def test_errors_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     assert dealt[0] == ("error-tokens", 3)
 
 
+def test_the_latent_space_reads_the_vectors_once(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf(VectorUDT())
+    def vector(i):
+        read.add(1)
+        return Vectors.sparse(150, sorted({i % 150, 7 * i % 150, 11 * i % 150}), [1.0] * len({i % 150, 7 * i % 150, 11 * i % 150}))
+
+    basis, values = T.latent_space(spark.range(400).select(vector("id").alias("tfidf")), 5)
+    assert basis.shape == (150, 5) and len(values) == 5 and read.value <= 800  # every step of the search read them all before
+
+
 def test_a_row_in_a_wrong_cluster_is_seen(spark):
     found = T.cluster_texts(_errors(spark), 60, EvalConfig())
     assert sum(r.n_misplaced for r in T.misplaced(found).collect()) == 0
