@@ -95,7 +95,7 @@ def mixed(
 
     ``targets``: wanted weights of the values of ``source``, ``lang`` or ``topic``; a dimension without them gets its own
     shares raised to ``temper``. ``tokens``: how many to keep in expectation, by default ``share`` of all. ``topic``: an
-    expression on ``text``; by default topics are learned from a bounded sample (``topics.train``) and given to every
+    expression on ``text``; by default topics are learned from all documents (``topics.train``) and given to every
     whole text. Where the dimensions contradict each other, wanted weights are met before own shares. The draw is a hash of doc_id and ``seed``: the same documents are kept in every run and on every
     partitioning; rows that share an id share the draw.
 

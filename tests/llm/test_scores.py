@@ -246,6 +246,20 @@ def test_topics_part_texts_of_different_words(docs):
     assert len(topics.train(docs(["one", "one", None]), topics=3).centers) == 1 and len(topics.train(docs([])).centers) == 0
 
 
+def test_topics_are_learned_from_all_documents(docs):
+    many = ["sun sea sand"] * 4500
+    few = [f"iron steel coal n{k}" for k in range(40)]
+    df = docs(many + few)
+    model = topics.train(df, topics=2)
+    held = np.zeros(topics.DIMENSIONS)
+    for t in many + few:
+        d = t.encode()
+        held += topics._counts(np.array([0, len(d)]), np.frombuffer(d, np.uint8))[0] > 0
+    assert np.allclose(model.idf, np.log((len(many + few) + 1) / (held + 1)) + 1)  # a sample of 4,000 gave other counts
+    got = topics.with_topics(df.select("doc_id", "text"), model, "doc_id").toPandas()
+    assert got.groupby(got.doc_id < 4500).topic.nunique().tolist() == [1, 1] and got.topic.nunique() == 2
+
+
 # --- urls
 
 BY_HAND = [
