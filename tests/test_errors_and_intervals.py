@@ -136,8 +136,8 @@ def test_errors_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
         return write(df, name)
 
     monkeypatch.setattr(T, "materialize", recorded)
-    assert T.cluster_texts(_errors(spark, 12_000), 12_000, EvalConfig()) is not None
-    assert dealt[0] == ("error-tokens", 3)
+    assert T.cluster_texts(_errors(spark, 6_000), 6_000, EvalConfig()) is not None
+    assert dealt[0] == ("error-tokens", 2)
 
 
 def test_the_latent_space_reads_the_vectors_once(spark):
