@@ -361,6 +361,32 @@ def test_evidence_split_between_holders_counts_together(docs, words):
     assert all(first[key] in others for (_, key), others in heads.items())
 
 
+def test_open_pairs_in_parts_give_the_same_spans(docs, variants):
+    table = docs([" ".join(w) for w in variants])
+    whole, parts = ([(r.doc_id, r.n_spans, r.spans) for r in windows.repeated_passages(table, slice_keys=k).orderBy("doc_id").collect()] for k in (10**9, 2500))
+    assert [(d, n, [(s.start, s.stop) for s in x]) for d, n, x in whole] == [(d, n, [(s.start, s.stop) for s in x]) for d, n, x in parts]
+    assert sum(n for _, n, _ in whole) >= 24
+
+
+def test_parts_hold_every_pair_once_and_no_part_grows_with_the_square(spark):
+    """A group of 60 documents that all meet, and small groups."""
+    pairs = [(d, o, list(range(10))) for d in range(60) for o in range(d)] + [(1000 + 3 * k + d, 1000 + 3 * k, [1, 2]) for k in range(50) for d in (1, 2)]
+    parts = [[(r.doc_id, r.other, r["keys"]) for r in p.collect()] for p in windows._slices(windows._kept(spark.createDataFrame(pairs, "doc_id bigint, other bigint, keys array<bigint>"), "pairs"), 2000)]
+    assert sorted(x for p in parts for x in p) == sorted(pairs)
+    assert len(parts) == 9 and max(sum(len(keys) for _, _, keys in p) for p in parts) < 3 * 2000
+
+
+def test_shuffled_files_go_with_the_table_that_needed_them(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, written = spark.conf.get(setting), [], windows.common.written
+    windows.common.written = lambda df, *more: seen.append(spark.conf.get(setting)) or written(df, *more)
+    try:
+        assert windows._kept(spark.range(100).repartition(4, "id"), "numbers").count() == 100
+    finally:
+        windows.common.written = written
+    assert seen == ["true"] and spark.conf.get(setting) == before
+
+
 def test_a_copy_is_found_beside_repeats_of_its_ends(docs, words):
     """The source repeats the passage's first words before it and its last words after it."""
     passage = words(50, 71).split()
