@@ -4,7 +4,8 @@ Unit vectors are ordered by the cells of a grid on their leading principal dimen
 few vectors, and some leaves in a row are a group. A directory of the leaves' boxes says which leaves are within epsilon
 of each other (an equality join on the first dimension's cells finds them); all others are skipped and don't travel. What
 two groups have to compare is a tile: a leaf goes to a tile once, however many leaves it meets there, and two leaves are
-joined by halving them until the parts are provably distant or small. Projections shorten distances, so nothing within
+joined by halving them until the parts are provably distant or small. Tiles are compared in rounds, so that what travels at a
+time is bounded by the vectors and not by their pairs. Projections shorten distances, so nothing within
 epsilon is skipped.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +25,56 @@ from . import common
 from .components import components, local_forest
 
 _LEAF = 64  # intervals up to this size are compared at once
-LEAF, LEAVES = 256, 16  # vectors of a leaf, and leaves of a group
+LEAF, LEAVES = 256, 16  # vectors of a leaf, and leaves of a group at least
+GROUPS = 32  # more leaves a group rather than more groups, up to
 GROUP_BYTES = 8 << 20  # of a group's vectors; with longer vectors it has fewer leaves
+ROUND_BYTES = 256 << 20
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, dims, vector): ``key`` names equal vectors; null for those that link with nothing. ``vector`` has unit length."""
+    """(vec_id, key, dims, vector): ``key`` names equal vectors; null for those that link with nothing. ``vector`` has their
+    numbers, in four bytes each where these hold them exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units, dims = [], [], []
-            for v in batch.column("embedding").to_pylist():
-                x = None if v is None or any(c is None for c in v) else np.array(v, np.float64) + 0.0
-                if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
-                    keys.append(None), units.append(None), dims.append(0)
-                    continue
-                scaled = x / np.abs(x).max()  # no overflow in the square
-                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                units.append((scaled / math.sqrt(float(scaled @ scaled))).tobytes())
-                dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "key", "dims", "vector"])
+            column = batch.column("embedding")
+            values = column.values.to_numpy(zero_copy_only=False)  # a null within a vector becomes NaN
+            start = column.offsets.to_numpy()
+            size = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(start))
+            keys, packed, dims = np.full(len(size), None, object), np.full(len(size), None, object), np.zeros(len(size), np.int32)
+            for d in np.unique(size[size > 0]).tolist():
+                places = np.flatnonzero(size == d)
+                for at in np.array_split(places, -(-len(places) * d // (1 << 20))):
+                    x = values[start[at][:, None] + np.arange(d)] + 0.0
+                    good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                    at, x = at[good], x[good]
+                    with np.errstate(over="ignore"):
+                        narrow = x.astype(np.float32)
+                    short = (narrow == x).all(axis=1)
+                    dims[at] = d
+                    for i, v, w, fits in zip(at.tolist(), x, narrow, short.tolist(), strict=True):
+                        keys[i], packed[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), (w if fits else v).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(dims), pa.array(packed, pa.binary())], ["vec_id", "key", "dims", "vector"])
 
     rows = vectors.select(common.id_column("vec_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(run, "vec_id bigint, key binary, dims int, vector binary")
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The rows at unit length, in double precision."""
+    x = x / np.abs(x).max(axis=1, initial=0).astype(np.float64)[:, None]  # no overflow in the square
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(common.flat(column)[1].tobytes(), np.float64).reshape(-1, dims)
+    bounds, data = common.flat(column)
+    size = np.diff(bounds)
+    out = np.empty((len(size), dims))
+    for kind, width in ((np.float32, 4), (np.float64, 8)):
+        own = size == width * dims
+        if own.any():
+            out[own] = np.frombuffer(data[np.repeat(own, size)].tobytes(), kind).reshape(-1, dims)
+    return _unit(out)
 
 
 def principal_axes(different: DataFrame, lead: int) -> dict[int, np.ndarray]:
@@ -82,8 +107,8 @@ def principal_axes(different: DataFrame, lead: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _leaves(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, lead: int, size: int) -> DataFrame:
-    """(leaf, block, dims, ids, copies, low, high, vectors): runs of the grid order, and the group (block) of each."""
+def _leaves(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, lead: int, size: int, most: int = LEAVES) -> DataFrame:
+    """(leaf, block, dims, ids, copies, low, high, vectors): runs of the grid order, and the group (block) of each, of ``most`` leaves."""
     cells = [f"c{k}" for k in range(lead)]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +128,13 @@ def _leaves(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, l
         def out() -> pa.RecordBatch:
             ids, copies, dims, units = zip(*held, strict=True)
             d = dims[0]
-            if not block[1] or block[1] >= min(LEAVES, max(1, GROUP_BYTES // (8 * d * size))) or block[2] != d:
+            if not block[1] or block[1] >= min(most, max(1, GROUP_BYTES // (8 * d * size))) or block[2] != d:
                 block[:] = ids[0], 0, d
             block[1] += 1
-            x = np.frombuffer(b"".join(units), np.float64).reshape(-1, d) @ axes[d]
+            unit = _matrix(pa.array(units, pa.binary()), d)
+            if any(len(v) != 4 * d for v in units):  # one width in a leaf
+                units = [v if len(v) == 8 * d else np.frombuffer(v, np.float32).astype(np.float64).tobytes() for v in units]
+            x = unit @ axes[d]
             low, high = x.min(axis=0) - 1e-9, x.max(axis=0) + 1e-9
             row = [[int(ids[0])], [block[0]], [d], [np.array(ids, np.int64).tobytes()], [np.array(copies, np.int64).tobytes()], [low.tolist()], [high.tolist()], [b"".join(units)]]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
@@ -128,17 +156,20 @@ def _leaves(different: DataFrame, axes: dict[int, np.ndarray], epsilon: float, l
     return ordered.select("number", "copies", "dims", "vector").mapInArrow(cut, schema)
 
 
-def _near_leaves(leaves: DataFrame, epsilon: float) -> DataFrame:
+def _near_leaves(leaves: DataFrame, epsilon: float, part: int = 0, parts: int = 1) -> DataFrame:
     """(left, right, block_l, block_r): leaves, each with itself too, whose boxes are within epsilon; from the boxes alone.
-    No leaf meets one whose cells are not adjacent. A tile is named by its groups in ascending order."""
+    No leaf meets one whose cells are not adjacent. A tile is named by its groups in ascending order; ``part``: of the tiles,
+    those whose first group is dealt to that one of ``parts``."""
     boxes = leaves.select("leaf", "block", "dims", "low", "high")
     cell = lambda c: F.floor(c / epsilon)
-    a = boxes.select(F.col("leaf").alias("left"), F.col("block").alias("x"), F.col("dims").alias("d"), F.col("low").alias("l"), F.col("high").alias("h"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
-    b = boxes.select(F.col("leaf").alias("right"), F.col("block").alias("y"), "dims", "low", "high", F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("near"))
+    own = boxes.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == part)
+    a = own.select(F.col("leaf").alias("left"), F.col("block").alias("block_l"), F.col("dims").alias("d"), F.col("low").alias("l"), F.col("high").alias("h"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
+    b = boxes.select(F.col("leaf").alias("right"), F.col("block").alias("block_r"), "dims", "low", "high", F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("near"))
     gaps = F.zip_with(F.zip_with("l", "high", lambda x, y: x - y), F.zip_with("low", "h", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
-    near = a.join(b, (F.col("cell") == F.col("near")) & (F.col("d") == F.col("dims")) & (F.col("left") <= F.col("right")) & (apart <= epsilon * epsilon))
-    return near.select("left", "right", F.least("x", "y").alias("block_l"), F.greatest("x", "y").alias("block_r")).distinct()
+    once = (F.col("block_l") < F.col("block_r")) | ((F.col("block_l") == F.col("block_r")) & (F.col("left") <= F.col("right")))
+    near = a.join(b, (F.col("cell") == F.col("near")) & (F.col("d") == F.col("dims")) & once & (apart <= epsilon * epsilon))
+    return near.select("left", "right", "block_l", "block_r").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -185,7 +216,7 @@ def _links(leaves: DataFrame, near: DataFrame, axes: dict[int, np.ndarray], epsi
     def tile(pairs: pa.Table, sides: pa.Table) -> pa.Table:
         held = {}
         for leaf, d, ids, copies, vectors in zip(*(sides.column(n).to_pylist() for n in ("of_leaf", "dims", "ids", "copies", "vectors")), strict=True):
-            x = np.frombuffer(vectors, np.float64).reshape(-1, d)
+            x = _unit(np.frombuffer(vectors, np.float32 if len(vectors) * 2 == len(ids) * d else np.float64).reshape(-1, d))
             held[leaf] = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), np.zeros(len(x), np.int64), (x, x @ axes[d], np.arange(len(x))), d
         forest: list[tuple[np.ndarray, np.ndarray]] = []
         for left, right in zip(pairs.column("left").to_pylist(), pairs.column("right").to_pylist(), strict=True):
@@ -207,7 +238,29 @@ def _links(leaves: DataFrame, near: DataFrame, axes: dict[int, np.ndarray], epsi
     return near.groupBy("block_l", "block_r").cogroup(sides.groupBy("bl", "br")).applyInArrow(tile, "a bigint, b bigint, links bigint")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, leaf: int = LEAF) -> DataFrame:
+def _all_links(leaves: DataFrame, axes: dict[int, np.ndarray], epsilon: float, threshold: float, round_bytes: int) -> DataFrame:
+    """``_links`` of all tiles. Each leaf travels to as many tiles as there are groups, which together grows with the square of the
+    vectors: the tiles are compared in rounds in which about ``round_bytes`` travel, or twice the leaves themselves if that is more."""
+    groups, size = leaves.agg(F.count_distinct("block"), F.sum(F.length("vectors") + F.length("ids") + F.length("copies"))).head()
+    rounds = max(1, min(groups, math.ceil(groups * (size or 0) / max(round_bytes, 2 * (size or 0), 1))))
+    found: list[DataFrame] = []
+    for k in range(rounds):
+        near = common.kept(_near_leaves(leaves, epsilon, k, rounds), "directory")
+        found.append(common.kept(_links(leaves, near, axes, epsilon, threshold), "found", instead_of=near))
+        if len(found) == 16 and k + 1 < rounds:
+            found = [_together(found)]
+    return found[0] if len(found) == 1 else _together(found)
+
+
+def _together(found: list[DataFrame]) -> DataFrame:
+    """What several rounds found, the links of a vector added up."""
+    out = common.kept(reduce(DataFrame.unionAll, found).groupBy("a", "b").agg(F.sum("links").alias("links")), "found")
+    for x in found:
+        common.drop(x.sparkSession, x._written_path)
+    return out
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, leaf: int = LEAF, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
     Two vectors are linked if their cosine, in double precision, is at least ``threshold`` (which must be positive).
@@ -215,16 +268,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 8, lea
     ``kept``: it is that one. Null, empty and zero vectors, and those with null or non-finite components, link with nothing, as do
     vectors of different lengths. Equal vectors are joined once, with their number; a null vec_id is the smallest
     id; each row counts as a vector even if its id repeats. Other columns are not read. ``lead``: dimensions of the grid;
-    ``leaf``: vectors that travel together.
+    ``leaf``: vectors that travel together; ``round_bytes``: of vectors that travel at a time, which bounds the disk.
     """
     epsilon = math.sqrt(2 - 2 * threshold) * (1 + 1e-9)
-    rows = common.written(_prepared(vectors), "vectors")
-    different = rows.where("key is not null").groupBy("key", "dims").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    different = common.written(different.withColumn("number", F.monotonically_increasing_id()), "different")
+    whole = common.kept(_prepared(vectors), "vectors")
+    different = whole.where("key is not null").groupBy("key", "dims").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    different = common.kept(different.withColumn("number", F.monotonically_increasing_id()), "different")
+    rows = common.kept(whole.select("vec_id", "key"), "keys", instead_of=whole)
     axes = principal_axes(different, lead)
-    leaves = common.written(_leaves(different, axes, epsilon, lead, leaf), "leaves")
-    near = common.written(_near_leaves(leaves, epsilon), "directory")
-    found = common.written(_links(leaves, near, axes, epsilon, threshold), "found")
+    leaves = common.kept(_leaves(different, axes, epsilon, lead, leaf, max(LEAVES, different.count() // (GROUPS * leaf))), "leaves")
+    different = common.kept(different.select("key", "number", "rep", "copies"), "numbers", instead_of=different)
+    found = _all_links(leaves, axes, epsilon, threshold, round_bytes)
+    common.drop(vectors.sparkSession, leaves._written_path)
     parts = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     known = different.select("key", "number", "rep", "copies").join(counts, F.col("number") == F.col("a"), "left").join(parts, F.col("number") == F.col("node"), "left")

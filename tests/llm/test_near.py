@@ -64,6 +64,29 @@ def test_distant_leaves_are_skipped_and_travel_once_a_tile(spark, monkeypatch):
     assert seen["pairs"] < 0.5 * seen["leaves"] * (seen["leaves"] + 1) / 2 and seen["sent"] < 2 * seen["pairs"]
 
 
+def test_tiles_are_compared_in_rounds(spark, monkeypatch):
+    """Random vectors, where no leaf is skipped: every tile once, a few groups' tiles at a time, and no round's table stays."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8))
+    x[::2] = x[::2].astype(np.float32)  # half of them need only four bytes a number
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = classes(1500, list(zip(*np.nonzero(near), strict=True)))
+    plain, sent = egojoin._links, []
+    monkeypatch.setattr(egojoin, "_links", lambda leaves, pairs, *more: sent.append([(r.block_l, r.block_r, r.leaf) for r in pairs.selectExpr("block_l", "block_r", "explode(array(left, right)) AS leaf").distinct().collect()]) or plain(leaves, pairs, *more))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(egojoin.common.shared_folder(spark)).getParent()
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {x.getPath().getName() for f in (files.listStatus(folder) if files.exists(folder) else []) for x in files.listStatus(f.getPath())}
+    before = tables()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in egojoin.near_vectors(df, 0.9, leaf=4, round_bytes=1).collect()}
+    assert got == {i: (near[i].sum(), want[i]) for i in range(1500)}
+    every = [t for r in sent for t in r]
+    assert len(sent) > 8 and len(set(every)) == len(every) and max(map(len, sent)) < len(every) / 3
+    assert not {"vectors", "different", "leaves", "directory"} & {n.split("-")[0] for n in tables() - before}
+
+
 @pytest.mark.parametrize("leaf", [7, 1024])
 def test_links_and_components(spark, leaf, monkeypatch):
     monkeypatch.setattr(egojoin, "_LEAF", 5)
