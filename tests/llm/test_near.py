@@ -391,6 +391,21 @@ def test_open_pairs_in_parts_give_the_same_spans(docs, variants):
     assert sum(n for _, n, _ in whole) >= 24
 
 
+def test_pairs_are_named_in_parts(spark):
+    """40 open documents that all meet each other and 30 earlier ones, and pairs of two: no part's rows grow with the square."""
+    met = [(d, k, 0) for d in range(1, 70) for k in range(8)] + [(1000 + 2 * i + 1, 100 + 8 * i + k, 1000 + 2 * i) for i in range(30) for k in range(8)]
+    left = [(d, k) for d, k, _ in met if d >= 30]
+    kept = lambda rows, kind: windows._kept(spark.createDataFrame(rows, kind), "rows")
+    parts, folders = [], []
+    for p in windows._all_meetings(kept(left, "doc_id bigint, key bigint"), kept(met, "doc_id bigint, key bigint, other bigint"), 5, 16, 2000):
+        parts.append([(r.doc_id, r.other, tuple(sorted(r["keys"]))) for r in p.collect()])
+        folders.append(p._written_path)
+        windows.common.drop(spark, p._written_path)
+    every = [x for p in parts for x in p]
+    assert sorted(every) == sorted([(d, o, tuple(range(8))) for d in range(30, 70) for o in range(d)] + [(1001 + 2 * i, 1000 + 2 * i, tuple(range(100 + 8 * i, 108 + 8 * i))) for i in range(30)])
+    assert len(parts) >= 5 and max(map(len, parts)) * 8 < 3 * 2000
+
+
 def test_parts_hold_every_pair_once_and_no_part_grows_with_the_square(spark):
     """A group of 60 documents that all meet, and small groups."""
     pairs = [(d, o, list(range(10))) for d in range(60) for o in range(d)] + [(1000 + 3 * k + d, 1000 + 3 * k, [1, 2]) for k in range(50) for d in (1, 2)]
